@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..runtime import materialize, table
 from .chunking import split_items
 from .cooccurrence import baskets, pair_lift
+from .garbled import find_garbled
 from .packing import pack
 from .tokens import count_corpus, encode_corpus
 
@@ -51,7 +52,15 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, "doc_id", "tokens", CONTAINER)
 
 
-QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers}
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_garbled(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "restored", "chains")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_restored(spark, sf_dir).select("doc_id")
+
+
+QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_restored": p9_restored}
 SQL = {
     "p4_found": r"""
 WITH e AS (
