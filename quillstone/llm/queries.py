@@ -11,6 +11,7 @@ from .cooccurrence import baskets, pair_lift
 from .garbled import find_garbled
 from .packing import pack
 from .tokens import count_corpus, encode_corpus
+from .validity import failure_rates, file_verdicts
 
 TOGETHER = ["contains", "implements", "co_occurs_with"]
 #: (kind, table, key, text, limit, overlap, code)
@@ -18,6 +19,18 @@ OVERSIZED = [("section", "document_sections", "section_id", "content", 1200, 100
 CONTAINER = 2048
 
 
+def p2_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_verdicts(table(spark, sf_dir, "source_files"), keep=("repo",))
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return failure_rates(p2_verdicts(spark, sf_dir))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_verdicts(table(spark, sf_dir, "source_files")).filter("not valid").select("file_id").distinct()
+
+
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_lift(baskets(table(spark, sf_dir, "relationships"), TOGETHER), 5, 3)
 
@@ -60,7 +73,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_restored(spark, sf_dir).select("doc_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p2_verdicts": p2_verdicts, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_restored": p9_restored}
 SQL = {
     "p4_found": r"""
 WITH e AS (
