@@ -10,6 +10,7 @@ from .chunking import split_items
 from .cooccurrence import baskets, pair_lift
 from .garbled import find_garbled
 from .packing import pack
+from .pairing import documented_functions
 from .tokens import count_corpus, encode_corpus
 from .validity import failure_rates, file_verdicts
 
@@ -39,6 +40,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_pairs(spark, sf_dir).select("term_a", "term_b")
 
 
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented_functions(table(spark, sf_dir, "source_files"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_pairs(spark, sf_dir).select("file_id", "line_no", "func_name")
+
+
 def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
     out = None
     for kind, name, key, text, limit, overlap, code in OVERSIZED:
@@ -73,7 +82,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_restored(spark, sf_dir).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p2_verdicts": p2_verdicts, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_restored": p9_restored}
+QUERIES = {"p2_found": p2_found, "p2_rates": p2_rates, "p2_verdicts": p2_verdicts, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p6_pieces": p6_pieces, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found, "p9_restored": p9_restored}
 SQL = {
     "p4_found": r"""
 WITH e AS (
