@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import records
+from . import records, retrieval
 
-_MODULES = [records]
+_MODULES = [records, retrieval]
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
-FLAGSHIP = QUERIES["p1_found"]
+FLAGSHIP = QUERIES["hybrid_search"]
