@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -76,10 +77,10 @@ class _Text:
                 self.comments.append((a, b, kind))
             elif kind is None:
                 self.literals[a] = b
-            parts += [text[last:a], re.sub(r"[^\n]", " ", m.group()) if kind else _inside(m.group())]
+            parts += [text[last:a], _blank(m.group())]
             last = b
         self.code = "".join([*parts, text[last:]])
-        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        self.starts = [0, *itertools.accumulate(len(x) + 1 for x in text.split("\n"))][:-1]
 
     def line(self, at: int) -> int:
         """Line from 1."""
@@ -114,9 +115,9 @@ class _Text:
         return [x[0] for x in found], [(x[0], x[1], x[2]) for x in found]
 
 
-def _inside(literal: str) -> str:
-    """A literal of the same extent without its inner characters."""
-    return re.sub(r"[^\n]", "x", literal) if "\n" not in literal else re.sub(r"[^\n]", " ", literal)
+def _blank(span: str) -> str:
+    """A span of the same extent and lines without its characters."""
+    return " " * len(span) if "\n" not in span else "\n".join(" " * len(x) for x in span.split("\n"))
 
 
 def _without_branches(code: str, text: str) -> str:

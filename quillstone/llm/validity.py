@@ -82,14 +82,30 @@ def _lexer(language: str) -> re.Pattern[str]:
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[]|\\.|\[(?:[^\]\\]|\\.)*\])+/[a-zA-Z]*")
 #: Preprocessor words, which the mask must keep.
 _CPP = "ifdef ifndef elif endif define undef include pragma error line defined"
-#: What becomes ``a``: identifiers (in Python but for the prefixes of strings).
-_MASKS = {
-    language: re.compile(rf"(?<![\w$])(?!(?:{'|'.join((words + (' ' + _CPP if language == 'c' else '')).split())})(?![\w$]))[^\W\d][\w$]*+" + ("(?![\"'])" if language == "python" else ""), re.IGNORECASE if language == "tal" else 0)
-    for language, words in KEYWORDS.items()
-}
-_DIGITS = re.compile(r"(?<![\w.])[1-9]\d*(?![\w.])")
+#: Identifiers (in Python but for the prefixes of strings) and numbers.
+_WORDS = {language: re.compile((r"(?:[^\W\d]|\$)[\w$]*+" if language in ("java", "javascript") else r"[^\W\d]\w*+") + ("(?![\"'])" if language == "python" else "") + r"|\d[\w.]*+") for language in KEYWORDS}
+
+
+class _Masks(dict):
+    """What stands for a word: itself if it is reserved, ``a`` for an identifier, ``1`` for a plain number."""
+
+    def __init__(self, language: str) -> None:
+        self.reserved = frozenset((KEYWORDS[language] + (" " + _CPP if language == "c" else "")).split())
+        self.lower = language == "tal"
+
+    def __missing__(self, word: str) -> str:
+        if word[0].isdigit():
+            out = "1" if word.isdecimal() and word[0] != "0" else word
+        else:
+            out = word if (word.lower() if self.lower else word) in self.reserved else "a"
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = out
+        return out
+
+
 _CRLF = re.compile(r"\r\n?")
-_MANY = re.compile(r"(?<![\w$])(?:a ){4,}")
+_MANY = re.compile(r"a (?:a ){3,}")
 
 
 class Failure(NamedTuple):
@@ -116,6 +132,7 @@ class Checker:
         self.states: list[State] = []
         self._ids: dict[State, int] = {}
         self._steps: dict[tuple[int, str], int | tuple[str, str]] = {}
+        self._masks, self._word = _Masks(language), _WORDS[language]
         self.words = frozenset(KEYWORDS[language].split())
         self._line = {"python": self._python, "tal": self._tal, "c": self._c, "go": self._go, "javascript": self._javascript, "java": self._plain}[language]
         self.begin = self._id(State("", self.grammar.start, stack=(0,) if language == "python" else ()))
@@ -129,8 +146,8 @@ class Checker:
 
     def mask(self, text: str) -> str:
         """The text with ``a`` for identifiers and ``1`` for decimal numbers."""
-        text = _MASKS[self.language].sub("a", text)
-        return _MANY.sub("a a a a ", _DIGITS.sub("1", text))
+        masks = self._masks
+        return _MANY.sub("a a a a ", self._word.sub(lambda m: masks[m[0]], text))
 
     def check(self, text: str) -> Failure | None:
         text = _CRLF.sub("\n", text.removeprefix("﻿"))
