@@ -124,7 +124,8 @@ def pair_lift(items: DataFrame, least: int, lift: float, block: int = BLOCK_ITEM
     # Every block of a large basket meets every other one once, each meeting in a group of its own.
     meet = blocks.filter("k > 1").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     meet = meet.groupBy("basket", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("two"))
-    large = meet.select(F.col("two")[0]["ids"].alias("x"), F.when(F.col("lo") != F.col("hi"), F.try_element_at("two", F.lit(2))["ids"]).alias("y")).filter("y is not null or size(x) > 0")
+    meet = meet.filter("lo = hi or size(two) = 2")  # a bucket may be empty
+    large = meet.select(F.col("two")[0]["ids"].alias("x"), F.when(F.col("lo") != F.col("hi"), F.try_element_at("two", F.lit(2))["ids"]).alias("y"))
     gram = small.unionByName(large).mapInPandas(_gram, "a long, b long, n long")
     counts = gram.groupBy("a", "b").agg(F.sum("n").alias("n_ab")).filter(F.col("n_ab") >= least)
     one = stats.select(F.col("id").alias("a"), F.col("item").alias("item_a"), F.col("n_item").alias("one"))

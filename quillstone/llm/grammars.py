@@ -66,7 +66,7 @@ suffix = '.' [ targs ] ( ID | 'this' | 'super' ) | '.' 'class' | '[' expr ']' |
 
 C = """
 unit = { external } ;
-external = ';' | [ '__extension__' ] specs [ declarator ( block | { kr } block | declrest ';' ) | ';' ] | declarator block | 'asm' '(' STR ')' ';' | '_Static_assert' '(' expr ',' STR ')' ';' ;
+external = ';' | [ '__extension__' ] specs ( declarator ( block | { kr } block | declrest ';' ) | ';' ) | declarator block | 'asm' '(' STR ')' ';' | '_Static_assert' '(' expr ',' STR ')' ';' ;
 kr = specs declarator { ',' declarator } ';' ;
 declrest = [ asmattr ] [ '=' init ] { ',' declarator [ asmattr ] [ '=' init ] } ;
 asmattr = attr { attr } ;

@@ -291,7 +291,9 @@ class Checker:
             if c == "\\":
                 i += 1
             elif depth:
-                if c in "\"'" and (m := re.compile(rf"{c}(?:[^{c}\\]|\\.)*{c}").match(line, i)):
+                if c == "`" and (inner := self._template(line, i + 1, 0)[0]) >= 0:
+                    i = inner - 1
+                elif c in "\"'" and (m := re.compile(rf"{c}(?:[^{c}\\]|\\.)*{c}").match(line, i)):
                     i = m.end() - 1
                 else:
                     depth += (c == "{") - (c == "}")
