@@ -82,8 +82,8 @@ def _lexer(language: str) -> re.Pattern[str]:
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[]|\\.|\[(?:[^\]\\]|\\.)*\])+/[a-zA-Z]*")
 #: Preprocessor words, which the mask must keep.
 _CPP = "ifdef ifndef elif endif define undef include pragma error line defined"
-#: Identifiers (in Python but for the prefixes of strings) and numbers.
-_WORDS = {language: re.compile((r"(?:[^\W\d]|\$)[\w$]*+" if language in ("java", "javascript") else r"[^\W\d]\w*+") + ("(?![\"'])" if language == "python" else "") + r"|\d[\w.]*+") for language in KEYWORDS}
+#: Identifiers (but for prefixes of Python strings and what opens an expression in a template) and numbers.
+_WORDS = {language: re.compile((r"(?:[^\W\d]|\$(?!\{))(?:\w|\$(?!\{))*+" if language in ("java", "javascript") else r"[^\W\d]\w*+") + ("(?![\"'])" if language == "python" else "") + r"|\d[\w.]*+") for language in KEYWORDS}
 
 
 class _Masks(dict):
