@@ -19,7 +19,7 @@ def markdown_sections(docs: DataFrame, key: str, text: str, preamble: bool = Fal
     rows = docs.select(F.col(key).alias("doc"), F.posexplode(parts).alias("n", "part"))
     headed = F.col("part").rlike(r"^#{1,6}[ \t]+\S")
     title = F.when(headed, F.trim(F.regexp_extract("part", r"^#{1,6}[ \t]+([^\n]*)", 1))).otherwise("")
-    content = F.trim(F.when(headed, F.regexp_replace("part", r"^[^\n]*\n?", "")).otherwise(F.col("part")))
+    content = F.regexp_replace(F.when(headed, F.regexp_replace("part", r"^[^\n]*\n?", "")).otherwise(F.col("part")), r"^\s+|\s+$", "")
     return rows.filter(headed if not preamble else F.col("part") != "").select("doc", "n", title.alias("title"), content.alias("content"))
 
 

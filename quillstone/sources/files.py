@@ -31,7 +31,7 @@ def read_files(spark: SparkSession, path: str, recursive: bool = True, extension
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     for pattern in exclude or []:
         files = files.filter(~name.rlike(translate(pattern).replace(r"\Z", "$").replace(r"\z", "$")))
-    return files.withColumn("text", F.decode("content", "UTF-8"))
+    return files.withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
 
 
 def route(path: Column, text: Column) -> Column:
