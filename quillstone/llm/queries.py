@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, table
+from ..runtime import materialize, spread, table
 from .chunking import split_items
 from .cooccurrence import baskets, pair_lift
 from .garbled import find_garbled
@@ -21,7 +21,7 @@ CONTAINER = 2048
 
 
 def p2_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return file_verdicts(table(spark, sf_dir, "source_files"), keep=("repo",))
+    return file_verdicts(spread(table(spark, sf_dir, "source_files")), keep=("repo",))
 
 
 def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return file_verdicts(table(spark, sf_dir, "source_files")).filter("not valid").select("file_id").distinct()
+    return file_verdicts(spread(table(spark, sf_dir, "source_files"))).filter("not valid").select("file_id").distinct()
 
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documented_functions(table(spark, sf_dir, "source_files"))
+    return documented_functions(spread(table(spark, sf_dir, "source_files")))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
     out = None
     for kind, name, key, text, limit, overlap, code in OVERSIZED:
-        one = split_items(table(spark, sf_dir, name), key, text, limit, overlap, code, with_text)
+        one = split_items(spread(table(spark, sf_dir, name)), key, text, limit, overlap, code, with_text)
         one = one.select(F.lit(kind).alias("item_kind"), F.col(key).alias("item_id"), *(c for c in one.columns if c != key))
         out = one if out is None else out.unionByName(one)
     return out
@@ -66,16 +66,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return encode_corpus(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = materialize(count_corpus(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    sizes = materialize(count_corpus(spread(table(spark, sf_dir, "documents")), "doc_id", "text"))
     return pack(sizes, "doc_id", "tokens", CONTAINER)
 
 
 def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_garbled(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "restored", "chains")
+    return find_garbled(spread(table(spark, sf_dir, "documents")), "doc_id", "text").select("doc_id", "restored", "chains")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
