@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..runtime import by_key
 from .lexical import idf, ranked
 
 #: Queries of one block of dense search; a block's matrix is what each task holds.
@@ -20,14 +21,14 @@ QUERY_BLOCK = 1024
 
 def unit(vectors: DataFrame, doc: str = "doc") -> DataFrame:
     """Each document's weights over their Euclidean norm."""
-    norms = vectors.groupBy(doc).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"))
-    return vectors.join(norms, doc).filter("_norm > 0").withColumn("w", F.col("w") / F.col("_norm")).drop("_norm")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(doc)))
+    return vectors.withColumn("_norm", norm).filter("_norm > 0").withColumn("w", F.col("w") / F.col("_norm")).drop("_norm")
 
 
 def features(docs: DataFrame, key: str, text: str, stop_first: bool = True) -> DataFrame:
     """``(doc, term, tf)`` of words and adjacent pairs, without stop words (dropped before or after pairing)."""
     words = T.tokens(F.coalesce(F.col(text), F.lit("")))
-    base = docs.select(F.col(key).alias("doc"), (T.without_stopwords(words) if stop_first else words).alias("words"))
+    base = by_key(docs.select(F.col(key).alias("doc"), F.col(text)), "doc").select("doc", (T.without_stopwords(words) if stop_first else words).alias("words"))
     every = F.concat("words", T.bigrams(F.col("words")))
     rows = base.select("doc", F.explode(every if stop_first else T.without_stopwords(every)).alias("term"))
     return rows.groupBy("doc", "term").agg(F.count("*").alias("tf"))
@@ -36,11 +37,14 @@ def features(docs: DataFrame, key: str, text: str, stop_first: bool = True) -> D
 def hash_slot(term: Column, n: int) -> tuple[Column, Column]:
     """Index (MD5 modulo n) and sign (parity of SHA-1) of a term; 128 bits folded by 32-bit limbs."""
     digest = F.md5(term.cast("binary"))
-    at = F.lit(0).cast("long")
-    for i in range(4):
-        at = (at * (1 << 32) % n + F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long")) % n
-    odd = F.conv(F.substring(F.sha1(term.cast("binary")), 40, 1), 16, 10).cast("int") % 2
-    return at.cast("int"), F.when(odd == 0, 1.0).otherwise(-1.0)
+    if n & (n - 1) == 0 and n <= 1 << 28:  # the last digits suffice
+        at = F.conv(F.substring(digest, 26, 7), 16, 10).cast("int") % n
+    else:
+        at = F.lit(0).cast("long")
+        for i in range(4):
+            at = (at * (1 << 32) % n + F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long")) % n
+    even = F.substring(F.sha1(term.cast("binary")), 40, 1).isin(*"02468ace")
+    return at.cast("int"), F.when(even, 1.0).otherwise(-1.0)
 
 
 def hash_embed(docs: DataFrame, key: str, text: str, n: int = 1024, boosted: list[str] | None = None) -> DataFrame:
@@ -53,8 +57,6 @@ def hash_embed(docs: DataFrame, key: str, text: str, n: int = 1024, boosted: lis
 
 def tfidf_fit(docs: DataFrame, key: str, text: str, min_df: int = 1, most: int = 10_000) -> DataFrame:
     """Vocabulary ``(term, df, total, idf, idx)``: the terms with the highest counts, ties by name."""
-    from pyspark.sql import Window
-
     n = docs.agg(F.count("*").alias("n")).scalar()
     stats = features(docs, key, text, stop_first=False).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
     # The global order is taken over the best of each of many buckets, not over all terms in one task.
@@ -70,11 +72,12 @@ def tfidf_transform(docs: DataFrame, key: str, text: str, vocabulary: DataFrame)
 
 def bm25_embed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """BM25 weights as a vector over terms, ``(doc, term, w)``."""
-    rows = docs.select(F.col(key).alias("doc"), T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("words")).withColumn("dl", F.size("words"))
+    rows = by_key(docs.select(F.col(key).alias("doc"), F.col(text)), "doc").select("doc", T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("words")).withColumn("dl", F.size("words"))
     corpus = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     tf = rows.select("doc", "dl", F.explode("words").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n, avgdl = corpus.select("n").scalar(), corpus.select("avgdl").scalar()
+    both = corpus.select(F.struct("n", "avgdl")).scalar()
+    n, avgdl = both["n"], both["avgdl"]
     w = idf(n, F.col("df")) * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / avgdl))
     return unit(tf.join(df, "term").select("doc", "term", w.alias("w")))
 

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.loglines import log_entries
 from ..operators.packed import split_packed
-from ..runtime import table
+from ..runtime import spread, table
 
 PACKED_FIELDS = ["keywords", "related_keywords", "business_capability"]
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_packed(table(spark, sf_dir, "keywords"), "entry_id", PACKED_FIELDS)
+    return split_packed(spread(table(spark, sf_dir, "keywords")), "entry_id", PACKED_FIELDS)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
