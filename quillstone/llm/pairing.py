@@ -51,6 +51,8 @@ _DECLARED = {
     "python": re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<name>[^\W\d]\w*)", re.M),
     "tal": re.compile(r"(?i)\b(?:sub)?proc\s+(?P<name>[^\W\d][\w^]*)"),
 }
+#: Indent and words before a function's name on its line.
+_LEAD = re.compile(r"([ \t]*)(?:(?:export|default|async|static|get|set|const|let|var|function)\b\s*)*[*#]?\s*$")
 _ANNOTATION = re.compile(r"\s*@(?!interface\b)[\w.]+\s*(?:\((?:[^()]|\([^()]*\))*\))?")
 
 
@@ -160,6 +162,10 @@ def functions(text: str, language: str) -> Iterator[Function]:
         begin = _declaration(t.code, m.start() if language == "javascript" and not m.groupdict().get("m") else at)
         if language == "go":
             begin = m.start()
+        elif language == "javascript":  # statements may end without a semicolon
+            row = t.code.rfind("\n", 0, at) + 1
+            if lead := _LEAD.match(t.code, row, at):
+                begin = lead.end(1)
         annotated = begin
         while a := _ANNOTATION.match(t.code, begin, at):
             begin = re.compile(r"\s*").match(t.code, a.end()).end()

@@ -79,6 +79,11 @@ def test_python():
     assert f["g"].line == 11 and f["f"].line == 3
 
 
+def test_no_semicolons():
+    text = "const a = 1\n// Moves the wire to the queue.\nexport async function move(b) {\n  return b\n}\nclass A {\n  x = 1\n  // Splits the batch into two halves.\n  static async split(a) {\n  }\n}\nlet z = 2\n// Adds one to the given number.\nconst add = (a) => a + 1\n"
+    assert {n: bool(f.docstring) for n, f in found(text, "javascript").items()} == {"move": True, "split": True, "add": True}
+
+
 def test_others():
     assert found(TAL, "tal")["walk"].docstring.count("!") == 2 and "ext" not in found(TAL, "tal")
     c = found(C, "c")
