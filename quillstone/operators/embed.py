@@ -147,3 +147,39 @@ def dense_topk(vectors: DataFrame, key: str, vec: str, queries: DataFrame, qid:
     if out is None:
         return spark.createDataFrame([], "qid long, doc long, score double, rank int")
     return ranked(out, k)
+
+
+def custom_embed(docs: DataFrame, key: str, text: str, function) -> DataFrame:
+    """``(doc, idx, w)`` of the non-zero values of a caller's ``function``: list of texts -> list of vectors.
+
+    It is called on batches, in the tasks. Null texts are empty ones."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            vectors = function([t or "" for t in x[text]])
+            rows = [(k, i, float(w)) for k, v in zip(x[key], vectors, strict=True) for i, w in enumerate(v) if w]
+            yield pd.DataFrame(rows, columns=["doc", "idx", "w"]).astype({"doc": x[key].dtype})
+
+    return docs.select(key, text).mapInPandas(run, f"doc {kind}, idx int, w double")
+
+
+def embedder(kind: str, **given):
+    """An embedder by name, as a function of (docs, key, text). ``given``: ``n`` for hash; ``vocabulary`` (fitted) for
+    tfidf; ``dims`` for payment; ``dims``, ``n`` and ``share`` for payment_hybrid; ``function`` for custom."""
+    if kind == "hash":
+        return lambda d, k, t: hash_embed(d, k, t, given.get("n", 1024), given.get("boosted"))
+    if kind == "tfidf":
+        if "vocabulary" not in given:
+            raise ValueError("a tfidf embedder needs a fitted vocabulary")
+        return lambda d, k, t: tfidf_transform(d, k, t, given["vocabulary"])
+    if kind == "bm25":
+        return bm25_embed
+    if kind == "payment":
+        return lambda d, k, t: max_dim_embed(d, k, t, given["dims"])
+    if kind == "payment_hybrid":
+        n_dims = given.get("n_dims", 80)
+        return lambda d, k, t: weighted_concat(max_dim_embed(d, k, t, given["dims"]).withColumnRenamed("dim", "idx"), hash_embed(d, k, t, given.get("n", 512)), given.get("share", 0.7), n_dims)
+    if kind == "custom":
+        return lambda d, k, t: custom_embed(d, k, t, given["function"])
+    raise ValueError(f"no embedder is called {kind}")

@@ -73,3 +73,10 @@ def positions(rows: DataFrame, group: str, order: str, block: int = 4096) -> Dat
     sizes = sizes.withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = Window.partitionBy(group, "_b").orderBy(order)
     return cut.join(sizes, [group, "_b"]).withColumn("position", F.row_number().over(inside) - 1 + F.col("_s")).drop("_b", "_s")
+
+
+def trace_chunks(traced: DataFrame) -> DataFrame:
+    """Traces as chunks: ``(chunk_id, semantic_type, text)``; one with an error is an error trace."""
+    kind = F.when(F.col("has_error"), "error_trace").otherwise("transaction")
+    text = F.concat_ws("\n", F.concat(F.lit("Trace: "), "trace"), F.concat(F.lit("Entries: "), F.col("entries").cast("string")), F.concat_ws(" - ", "start_ts", "end_ts"), F.when(F.col("codes") != "", F.concat(F.lit("Codes: "), "codes")))
+    return traced.select(F.concat(F.lit("log_"), F.substring(F.md5(F.col("trace").cast("string").cast("binary")), 1, 12)).alias("chunk_id"), kind.alias("semantic_type"), text.alias("text"))

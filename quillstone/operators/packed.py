@@ -111,9 +111,11 @@ def split_packed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     long = long.withColumn("listed", listed).withColumn("shape", _skeleton(F.col("listed"), _LITERAL[1]))
     literal = F.col("shape").rlike(_LIST)
     long = long.withColumn("tokens", F.when(literal, F.col("listed")).otherwise(_tokens(F.col("text"), _PLAIN)))
-    plain = F.translate(_skeleton(F.col("tokens"), _PLAIN[1]), "0", "w")
+    run = f"{_PLAIN[0]}++(?:[{SPACES}]++{_PLAIN[0]}++)*+"
+    plain = F.regexp_replace(F.regexp_replace("text", run, "w"), f"[{SPACES}]++", " ")
     cut = long.select("_key", "field", "tokens", F.when(literal, F.col("shape")).otherwise(plain).alias("skeleton"))
-    rules, small = bounded_broadcast(cut.select("skeleton").distinct().mapInPandas(_rules, "skeleton string, rules array<struct<a:int,b:int,q:string>>"))
+    shapes = cut.select("skeleton").distinct().mapInPandas(_rules, "skeleton string, rules array<struct<a:int,b:int,q:string>>")
+    rules, small = bounded_broadcast(shapes, size=F.length("skeleton") + 40 * F.size("rules"))
     joined = cut.join(rules, "skeleton") if small else salted_join(cut, rules, ["skeleton"], "inner", by="_key")
     spans = joined.select("_key", "field", "tokens", F.posexplode("rules").alias("pos", "r"))
     raw = F.array_join(F.slice("tokens", F.col("r.a") + 1, F.col("r.b") - F.col("r.a")), "")

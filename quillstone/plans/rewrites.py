@@ -67,3 +67,8 @@ c AS (SELECT func_id, me, l, lower(unnest(regexp_extract_all(b, '\b([A-Za-z_]\w*
 s AS (SELECT *, sum(heading::INT) OVER (PARTITION BY doc ORDER BY spot ROWS UNBOUNDED PRECEDING) AS section FROM k)
 SELECT doc, section::BIGINT AS section, coalesce(max(CASE WHEN heading THEN trim(line) END), '') AS title, count(*) FILTER (NOT heading) AS paragraphs, md5(coalesce(string_agg(line, chr(10) || chr(10) ORDER BY spot) FILTER (NOT heading), '')) AS digest FROM s GROUP BY doc, section""",
 }
+
+_EACH = Q._BM25.replace("FROM asked)", "FROM pk)").replace(Q._ASKED + ",", f"{Q._ASKED}, {_PARTS}, pk AS (SELECT qid || ':' || part AS qid, query AS q FROM pa),")
+SQL["decompose_search"] = f"""WITH {_EACH}, ls AS (SELECT split_part(qid, ':', 1)::BIGINT AS qid, split_part(qid, ':', 2) AS list, doc, score FROM {Q._top('bm', 20)}), {Q._RRF},
+bf AS (SELECT rn.qid, doc, source AS file, score FROM rn LEFT JOIN documents ON doc_id = doc QUALIFY row_number() OVER (PARTITION BY rn.qid, coalesce(source, doc::VARCHAR) ORDER BY round(score, 9) DESC, doc) = 1)
+SELECT qid, doc, file, round(score, 6) AS score, rank FROM {Q._top('bf', 10)}"""

@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows that an operator may broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
+#: And most bytes, where the rows' sizes are known.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,12 +49,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """The materialized frame with a broadcast hint if it has at most ``rows`` rows, else without.
+def bounded_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None, most_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, bool]:
+    """The materialized frame with a broadcast hint if it has at most ``rows`` rows and, by the ``size`` of each, at
+    most ``most_bytes`` bytes, else without.
 
     Returns the frame and whether it is broadcast, so that the caller can salt a shuffled join."""
     kept = materialize(df)
-    small = kept.limit(rows + 1).count() <= rows
+    found = kept.agg(F.count("*").alias("n"), F.sum(size if size is not None else F.lit(0)).alias("bytes")).first()
+    small = found["n"] <= rows and (found["bytes"] or 0) <= most_bytes
     return (F.broadcast(kept) if small else kept), small
 
 

@@ -47,6 +47,6 @@ def test_shuffled_rules(spark, monkeypatch, rows):
     from quillstone.operators import packed
 
     real = packed.bounded_broadcast
-    monkeypatch.setattr(packed, "bounded_broadcast", lambda df: real(df, rows))
+    monkeypatch.setattr(packed, "bounded_broadcast", lambda df, **kw: real(df, rows, **kw))
     df = spark.createDataFrame([(1, "a,b"), (2, "c"), (3, "d;e;f")], "id long, f string")
     assert split_packed(df, "id", ["f"]).count() == 6

@@ -131,3 +131,13 @@ def test_text_functions(spark):
     assert one(T.strip_html(F.lit("<nav>x</nav><p>a  b</p>"))) == "a b"
     assert one(T.bigrams(F.array(F.lit("a")))) == [] and one(T.bigrams(F.split(F.lit("a b c"), " "))) == ["a_b", "b_c"]
     assert one(T.cosine(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0)))) == 0.0
+
+
+def test_embedder_registry(spark, docs):
+    v = embed.embedder("custom", function=lambda texts: [[float(len(t)), 0.0] for t in texts])(docs, "id", "text")
+    assert {r.doc: (r.idx, r.w) for r in v.collect()}[1] == (0, 19.0)
+    fit = embed.tfidf_fit(docs, "id", "text")
+    assert embed.embedder("tfidf", vocabulary=fit)(docs, "id", "text").count() > 0 and embed.embedder("bm25")(docs, "id", "text").count() > 0
+    for bad in ("learned", "tfidf"):
+        with pytest.raises(ValueError):
+            embed.embedder(bad)
