@@ -520,8 +520,9 @@ _VERDICT = "valid boolean, line int, token string, truncated boolean"
 
 
 def file_verdicts(df: DataFrame, key: str = "file_id", path: str = "file_path", content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(key, *keep, language, valid, line, token, truncated)`` of every distinct row."""
-    rows = df.select(key, path, content, *keep).distinct()
+    """``(key, *keep, language, valid, line, token, truncated)``, each once: copies of a row are dropped by their
+    verdicts, so that no text is shuffled."""
+    rows = df.select(key, path, content, *keep)
     schema = rows.select(key, *keep).schema
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
@@ -536,7 +537,7 @@ def file_verdicts(df: DataFrame, key: str = "file_id", path: str = "file_path",
             out["truncated"] = [f.truncated if f else None for f in found]
             yield out
 
-    return rows.mapInPandas(run, f"{names}, language string, {_VERDICT}")
+    return rows.mapInPandas(run, f"{names}, language string, {_VERDICT}").distinct()
 
 
 def failure_rates(verdicts: DataFrame) -> DataFrame:
