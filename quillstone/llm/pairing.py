@@ -309,10 +309,12 @@ def says_something(raw: str | None, name: str, language: str) -> bool:
     return len(_WORD.findall(" ".join(told))) >= 4
 
 
-def documented_functions(df: DataFrame, key: str = "file_id", path: str = "file_path", content: str = "content") -> DataFrame:
-    """``(key, line_no, func_name, signature, body, docstring)`` of the documented functions of files that parse."""
+def documented_functions(df: DataFrame, key: str = "file_id", path: str = "file_path", content: str = "content", with_text: bool = True) -> DataFrame:
+    """``(key, line_no, func_name[, signature, body, docstring])`` of the documented functions of files that parse.
+
+    Copies of a file are dropped by what was found in them, so that no whole file is shuffled."""
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(key, path, content).filter(f"`{content}` is not null").distinct()
+    rows = df.select(key, path, content).filter(f"`{content}` is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -321,6 +323,8 @@ def documented_functions(df: DataFrame, key: str = "file_id", path: str = "file_
                 language = language_of(p)
                 if language and t.strip() and check(language, t) is None:
                     out += [(k, f.line, f.name, f.signature, f.body, f.docstring) for f in functions(t, language) if says_something(f.docstring, f.name, language)]
-            yield pd.DataFrame(out, columns=[key, "line_no", "func_name", "signature", "body", "docstring"]).astype({key: x[key].dtype})
+            yield pd.DataFrame([r[: len(names)] for r in out], columns=names).astype({key: x[key].dtype})
 
-    return rows.mapInPandas(run, f"`{key}` {kind}, line_no int, func_name string, signature string, body string, docstring string")
+    names = [key, "line_no", "func_name", *(("signature", "body", "docstring") if with_text else ())]
+    schema = f"`{key}` {kind}, line_no int, func_name string" + (", signature string, body string, docstring string" if with_text else "")
+    return rows.mapInPandas(run, schema).distinct()

@@ -45,7 +45,7 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p5_pairs(spark, sf_dir).select("file_id", "line_no", "func_name")
+    return documented_functions(spread(table(spark, sf_dir, "source_files")), with_text=False)
 
 
 def _pieces(spark: SparkSession, sf_dir: str, with_text: bool) -> DataFrame:
