@@ -49,6 +49,17 @@ def text_fields(line: Column) -> dict[str, Column]:
     return out
 
 
+def is_json(line: Column) -> Column:
+    """Whether a line is one JSON object; a broken one is read as text."""
+    return line.rlike(r"^[ \t]*\{.*\}[ \t\r]*$") & F.get_json_object(line, "$").isNotNull()
+
+
+def fields(line: Column) -> dict[str, Column]:
+    """Fields of a line of either form."""
+    structured, text, parsed = is_json(line), text_fields(line), json_fields(line)
+    return {n: F.when(structured, parsed[n]).otherwise(text[n]) for n in ("timestamp", "level", "trace_id", "transaction_id", "request_id", "error_code", "is_error")}
+
+
 def traces(entries: DataFrame, key: Column, order: list[str], ts: str, is_error: str, code: str, most: int = MOST_ENTRIES) -> DataFrame:
     """``(trace, entries, start_ts, end_ts, has_error, codes)`` of the first ``most`` entries of each trace.
 
@@ -64,6 +75,11 @@ def orphans(entries: DataFrame, key: Column, line: str) -> DataFrame:
     return entries.filter(key.isNull()).withColumn("trace", F.concat(F.lit("orphan_"), F.col(line)))
 
 
+def singles(orphaned: DataFrame, ts: str, is_error: str, code: str) -> DataFrame:
+    """Entries of :func:`orphans` as traces of one entry, with the columns of :func:`traces`."""
+    return orphaned.select("trace", F.lit(1).cast("long").alias("entries"), F.col(ts).alias("start_ts"), F.col(ts).alias("end_ts"), F.coalesce(is_error, F.lit(False)).alias("has_error"), F.coalesce(code, F.lit("")).alias("codes"))
+
+
 def positions(rows: DataFrame, group: str, order: str, block: int = 4096) -> DataFrame:
     """``position`` from 0 within each group, without sorting a large group in one task: blocks of the order value are
     numbered apart and moved on by the sizes of the blocks before. ``order`` is a whole number, unique in its group."""

@@ -13,7 +13,7 @@ from ..operators import logtraces as L
 from ..operators import mining as M
 from ..operators import program as P
 from ..operators import stats
-from ..runtime import table
+from ..runtime import materialize, table
 from ..sources import files
 from .fixtures import GREP_WORDS
 
@@ -168,12 +168,14 @@ def log_parse_text(s, d):
 
 
 def _entries(s, d):
-    f = L.text_fields(F.col("raw_line"))
-    return _lines(s, d).select("file_path", "line_no", f["timestamp"].alias("at"), f["transaction_id"].alias("txn"), f["is_error"].alias("bad"), f["error_code"].alias("code"))
+    f = L.fields(F.col("raw_line"))
+    key = F.coalesce(f["trace_id"], f["transaction_id"], f["request_id"])
+    return _lines(s, d).filter(F.col("raw_line").rlike(r"\S")).select("file_path", "line_no", f["timestamp"].alias("at"), key.alias("key"), f["is_error"].alias("bad"), f["error_code"].alias("code"))
 
 
 def log_traces(s, d):
-    return L.traces(_entries(s, d), F.col("txn"), ["file_path", "line_no"], "at", "bad", "code")
+    e, key = materialize(_entries(s, d)), F.col("key")
+    return L.traces(e, key, ["file_path", "line_no"], "at", "bad", "code").unionByName(L.singles(L.orphans(e, key, "line_no"), "at", "bad", "code"))
 
 
 def log_batches(s, d):

@@ -107,6 +107,33 @@ def test_traces_and_positions(spark):
         assert sorted((r.n, r.position) for r in L.positions(df, "file", "n", block).collect()) == [(i, i) for i in range(200)]
 
 
+def test_log_traces_of_json_text_and_orphans(spark, tmp_path):
+    from quillstone.plans import corpus
+
+    lines = [
+        '{"ts": "2025-01-01T00:00:01Z", "level": "info", "transaction_id": "TXN-000001"}',
+        "2025-01-01 00:00:02 INFO txn_id=TXN-000001 error_code=E7",
+        '{"ts": "2025-01-01T00:00:03Z", "severity": "fatal", "txnId": "TXN-000001", "errorCode": "E9"}',
+        '{"ts": "2025-01-01T00:00:04Z", "trace_id": "TRACE-00001", "transaction_id": "TXN-000001"}',
+        "2025-01-01 00:00:05 INFO request_id=REQ-000001",
+        '{"ts": "2025-01-01T00:00:06Z", "req_id": "REQ-000001"}',
+        "2025-01-01 00:00:07 ERROR error_code=E3",
+        '{"ts": "2025-01-01T00:00:08Z", broken txn_id=TXN-000002 }',
+        "   ",
+        '{"msg": "error_code=E5 is quoted only"}',
+    ]
+    spark.createDataFrame([("f", n, line) for n, line in enumerate(lines, 1)], "file_path string, line_no long, raw_line string").write.parquet(str(tmp_path / "log_entries.parquet"))
+    got = {r.trace: tuple(r)[1:] for r in corpus.log_traces(spark, str(tmp_path)).collect()}
+    assert got == {
+        "TXN-000001": (3, "2025-01-01T00:00:01Z", "2025-01-01T00:00:03Z", True, "E7,E9"),
+        "TRACE-00001": (1, "2025-01-01T00:00:04Z", "2025-01-01T00:00:04Z", False, ""),
+        "REQ-000001": (2, "2025-01-01 00:00:05", "2025-01-01T00:00:06Z", False, ""),
+        "orphan_7": (1, "2025-01-01 00:00:07", "2025-01-01 00:00:07", True, "E3"),
+        "TXN-000002": (1, "2025-01-01T00:00:08Z", "2025-01-01T00:00:08Z", False, ""),
+        "orphan_10": (1, None, None, False, ""),
+    }
+
+
 def test_mining(spark):
     docs = spark.createDataFrame([(1, "MT-103 and mt 103, SWIFT; beneficiary bank"), (2, "SWIFT clearing clearing"), (3, None)], "id long, t string")
     m = M.document_mentions(docs, "id", "t")
