@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import by_key
+from ..runtime import bounded_broadcast, by_key
 from .lexical import idf, ranked
 
 #: Queries of one block of dense search; a block's matrix is what each task holds.
@@ -66,7 +66,8 @@ def tfidf_fit(docs: DataFrame, key: str, text: str, min_df: int = 1, most: int =
 
 
 def tfidf_transform(docs: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
-    rows = features(docs, key, text, stop_first=False).join(vocabulary.select("term", "idf", "idx"), "term")
+    known, _ = bounded_broadcast(vocabulary.select("term", "idf", "idx"))
+    rows = features(docs, key, text, stop_first=False).join(known, "term")
     return unit(rows.select("doc", "idx", ((1 + F.log("tf")) * F.col("idf")).alias("w")))
 
 

@@ -113,12 +113,12 @@ def hash_embed_topk(s, d):
 
 
 def tfidf_fit(s, d):
-    return embed.tfidf_fit(_docs(s, d), "doc_id", "text", 2, 2000).select("term", "df", "total", R("idf").alias("idf"), "idx")
+    return embed.tfidf_fit(_docs(s, d), "doc_id", "text").select("term", "df", "total", R("idf").alias("idf"), "idx")
 
 
 def tfidf_transform(s, d):
     docs = _docs(s, d)
-    return embed.tfidf_transform(docs, "doc_id", "text", embed.tfidf_fit(docs, "doc_id", "text", 2, 2000)).select("doc", "idx", R("w").alias("w"))
+    return embed.tfidf_transform(docs, "doc_id", "text", embed.tfidf_fit(docs, "doc_id", "text")).select("doc", "idx", R("w").alias("w"))
 
 
 def bm25_embed(s, d):
@@ -235,7 +235,7 @@ def tfidf_boost(s, d):
     results = lexical.search(_built(s, d), _asked(s, d), "qid", "q", 10).join(docs.select(F.col("doc_id").alias("doc"), "text", F.col("file_path").alias("name")), "doc").withColumn("text", F.coalesce("text", F.lit("")))
     concepts = _index(s, d).groupBy("doc").agg(F.collect_set("concept").alias("concepts"))
     results = results.join(concepts, "doc", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>"))).drop("rank")
-    fit = embed.tfidf_fit(docs, "doc_id", "text", 2, 2000).select("term", "idf")
+    fit = embed.tfidf_fit(docs, "doc_id", "text").select("term", "idf")
     terms = _asked(s, d).select("qid", F.explode(F.array_distinct(F.split(F.lower("q"), " "))).alias("term")).join(fit, "term").select("qid", "term", F.col("idf").alias("tfidf"))
     return lexical.ranked(fusion.boost(results, terms), 10).select("qid", "doc", R("score").alias("score"), "rank")
 

@@ -141,3 +141,15 @@ def test_embedder_registry(spark, docs):
     for bad in ("learned", "tfidf"):
         with pytest.raises(ValueError):
             embed.embedder(bad)
+
+
+def test_tfidf_queries_keep_the_reference_vocabulary(spark, tmp_path):
+    from quillstone.plans import retrieval
+
+    rows = [(n, " ".join(f"w{i:04d}" for i in range(n * 500, n * 500 + 500)), "en", "s", "document", f"f{n}") for n in range(6)]
+    rows.append((6, "rareword rareword", "en", "s", "document", "f6"))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, source_type string, file_path string").write.parquet(str(tmp_path / "documents.parquet"))
+    fit = retrieval.tfidf_fit(spark, str(tmp_path))
+    top = fit.orderBy("idx").first()
+    assert fit.count() == 6 * (500 + 499) + 2 and (top.term, top.df, top.total) == ("rareword", 1, 2)
+    assert {r.doc for r in retrieval.tfidf_transform(spark, str(tmp_path)).select("doc").distinct().collect()} == set(range(7))
