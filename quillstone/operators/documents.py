@@ -14,13 +14,14 @@ LINE = "\r\n|\n|\r"
 
 
 def markdown_sections(docs: DataFrame, key: str, text: str, preamble: bool = False) -> DataFrame:
-    """``(doc, n, title, content)`` at each header line; what stands before the first one only if ``preamble``."""
+    """``(doc, n, title, content)`` at each header line; what stands before the first one only if ``preamble``. A text
+    without header lines is one section without title."""
     parts = F.split(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "\r\n?", "\n"), r"(?m)(?=^#{1,6}[ \t]+\S)")
-    rows = docs.select(F.col(key).alias("doc"), F.posexplode(parts).alias("n", "part"))
+    rows = docs.select(F.col(key).alias("doc"), F.size(parts).alias("parts"), F.posexplode(parts).alias("n", "part"))
     headed = F.col("part").rlike(r"^#{1,6}[ \t]+\S")
     title = F.when(headed, F.trim(F.regexp_extract("part", r"^#{1,6}[ \t]+([^\n]*)", 1))).otherwise("")
     content = F.regexp_replace(F.when(headed, F.regexp_replace("part", r"^[^\n]*\n?", "")).otherwise(F.col("part")), r"^\s+|\s+$", "")
-    return rows.filter(headed if not preamble else F.col("part") != "").select("doc", "n", title.alias("title"), content.alias("content"))
+    return rows.filter(headed | (F.col("part").rlike(r"\S") & (F.col("parts") == 1)) if not preamble else F.col("part") != "").select("doc", "n", title.alias("title"), content.alias("content"))
 
 
 def text_sections(docs: DataFrame, key: str, text: str) -> DataFrame:

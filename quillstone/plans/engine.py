@@ -11,33 +11,47 @@ from ..operators import graph as G
 from ..operators import vocabulary as V
 from ..sources import files, generations
 
+#: Characters, trimmed, that a chunk has at least.
+LEAST = 20
 CHUNK = "chunk_id string, path string, source_type string, name string, line int, text string, domains array<string>"
 
 
 def chunks(read: DataFrame) -> DataFrame:
     """Chunks of files as :func:`files.read_files` gives them, by their parser; a file without one has none."""
-    base = read.select("path", "text", files.route(F.col("path"), F.col("text")).alias("parser"), files.domains(F.col("path")).alias("domains"))
+    base = read.select("path", "content", "text", files.route(F.col("path"), F.col("text")).alias("parser"), files.domains(F.col("path")).alias("domains"))
 
     def functions(batches):
         import pandas as pd
 
         for x in batches:
-            rows = [(p, n, first, body) for p, t, lang in zip(x["path"], x["text"], x["language"], strict=True) for n, _, _, first, _, body in program.function_spans(t, lang)]
+            rows = []
+            for p, t, lang in zip(x["path"], x["text"], x["language"], strict=True):
+                found = [(p, n, first, body) for n, _, _, first, _, body in program.function_spans(t, lang) if len(body.strip(" ")) >= LEAST]
+                if not found:
+                    split = t.split("\n")
+                    found = [(p, "", a, "\n".join(split[a - 1 : b])) for a, b in documents.line_windows(t)]
+                rows += found
             yield pd.DataFrame(rows, columns=["path", "name", "line", "text"])
 
     code = base.filter("parser = 'code'").select("path", "text", T.language_of_path(F.col("path")).alias("language")).mapInPandas(functions, "path string, name string, line int, text string").withColumn("source_type", F.lit("code"))
     lines = program.code_lines(base.filter("parser = 'tal'"), "path", "text")
+    first = program.in_procedures(lines).groupBy(F.col("file_id").alias("path")).agg(F.min("line_no").alias("first"))
+    raw = F.split("text", documents.LINE)
+    outside = base.filter("parser = 'tal'").select("path", "text").join(first, "path", "left").select("path", F.array_join(F.slice(raw, F.lit(1), F.coalesce(F.col("first") - 1, F.size(raw))), "\n").alias("head"))
+    head = documents.chunks(outside, "path", "head", lambda t: documents.chunk_text(t, 1500, 150)).select(F.col("doc").alias("path"), F.lit("").alias("name"), F.col("n").cast("int").alias("line"), F.col("chunk").alias("text"), F.lit("code").alias("source_type"))
     body = program.in_procedures(lines).groupBy("file_id", "proc").agg(F.min("line_no").alias("line"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda r: r["line"]), "\n").alias("text"))
     tal = body.select(F.col("file_id").alias("path"), F.col("proc").alias("name"), "line", "text", F.lit("code").alias("source_type"))
-    told = base.filter("parser = 'document'").withColumn("text", F.when(T.extension(F.col("path")).isin("html", "htm"), T.strip_html(F.col("text"))).otherwise(F.col("text")))
+    word = T.extension(F.col("path")) == "docx"
+    docx = documents.markdown_sections(files.read_docx(base.filter("parser = 'document'").filter(word)), "path", "text", preamble=True)
+    told = base.filter("parser = 'document'").filter(~word).withColumn("text", F.when(T.extension(F.col("path")).isin("html", "htm"), T.strip_html(F.col("text"))).otherwise(F.col("text")))
     marked = T.extension(F.col("path")).isin("md", "markdown")
-    md = documents.markdown_sections(told.filter(marked), "path", "text").select(F.col("doc").alias("path"), F.col("title").alias("name"), F.col("n").alias("line"), F.col("content").alias("text"), F.lit("document").alias("source_type"))
+    md = documents.markdown_sections(told.filter(marked), "path", "text").unionByName(docx).select(F.col("doc").alias("path"), F.col("title").alias("name"), F.col("n").alias("line"), F.col("content").alias("text"), F.lit("document").alias("source_type"))
     plain = documents.text_sections(told.filter(~marked), "path", "text").select(F.col("doc").alias("path"), F.col("title").alias("name"), F.col("section").cast("int").alias("line"), F.col("content").alias("text"), F.lit("document").alias("source_type"))
     logs = base.filter("parser = 'log'").select("path", F.posexplode(F.split("text", documents.LINE)).alias("line", "text")).filter("text <> ''").select("path", F.lit("").alias("name"), (F.floor(F.col("line") / 10)).cast("int").alias("line"), "text").groupBy("path", "name", "line").agg(F.array_join(F.collect_list("text"), "\n").alias("text")).withColumn("source_type", F.lit("log"))
     every = code
-    for more in (tal, md, plain, logs):
+    for more in (tal, head, md, plain, logs):
         every = every.unionByName(more)
-    every = every.filter(F.length(F.trim("text")) >= 20).join(base.select("path", "domains"), "path")
+    every = every.filter(F.length(F.trim("text")) >= LEAST).join(base.select("path", "domains"), "path")
     return every.select(F.sha2(F.concat_ws("\u0001", "path", "name", F.col("line").cast("string"), "text"), 256).alias("chunk_id"), "path", "source_type", "name", "line", "text", "domains").dropDuplicates(["chunk_id"])
 
 

@@ -17,7 +17,7 @@ from ..functions import text as T
 
 #: Kind of source by extension.
 CODE = "c h cpp hpp cc cxx java py pyw js jsx mjs ts tsx cs go rs rb php swift kt kts scala cbl cob cobol".split()
-DOCUMENT = "md markdown html htm pdf docx rst".split()
+DOCUMENT = "md markdown html htm docx rst".split()
 LOG = "log json jsonl".split()
 
 
@@ -35,7 +35,8 @@ def read_files(spark: SparkSession, path: str, recursive: bool = True, extension
 
 
 def route(path: Column, text: Column) -> Column:
-    """Parser of a file: tal, code, log or document by extension; a .txt file by its first 1000 characters."""
+    """Parser of a file: tal, code, log or document by extension; a .txt file by its first 1000 characters. PDF
+    files, which can't be read here, have none."""
     ext = T.extension(path)
     head = F.upper(F.substring(F.coalesce(text, F.lit("")), 1, 1000))
     sniffed = F.when(F.contains(head, F.lit("PROC ")) | F.contains(head, F.lit("DEFINE ")) | F.contains(head, F.lit("LITERAL ")) | F.contains(head, F.lit("STRUCT ")), "tal").otherwise("document")

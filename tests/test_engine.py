@@ -1,5 +1,6 @@
 from quillstone.operators import vocabulary as V
-from quillstone.plans.engine import Engine
+from quillstone.plans.engine import Engine, chunks
+from quillstone.sources import files
 
 
 def test_index_search_update(spark, tmp_path):
@@ -28,3 +29,33 @@ def test_index_search_update(spark, tmp_path):
     (src / "util.py").unlink()
     assert e.index(str(tmp_path / "src")) == {"generation": 2, "files": 1, "chunks": 4}
     assert e.search(asked.filter("qid = 2"), 5).filter("name = 'Holds'").count() == 0
+
+
+def test_no_file_is_left_out(spark, tmp_path):
+    import zipfile
+
+    src = tmp_path / "all"
+    src.mkdir()
+    (src / "pay.cbl").write_text("       IDENTIFICATION DIVISION.\n       PROGRAM-ID. PAYROLL.\n" + "       MOVE NET TO GROSS.\n" * 150)
+    (src / "setup.py").write_text("import settlement\nsettlement.configure('ledger')\n")
+    (src / "head.tal").write_text("! Limits of the desk\nLITERAL max_limit = 10000;\nINT PROC a;\nBEGIN\n  CALL check_limit_of(a);\nEND;\n")
+    (src / "only.tal").write_text("STRUCT payment_record;\nBEGIN\n  INT amount;\nEND;\n")
+    (src / "plain.md").write_text("A note on nostro accounts without any header.\n")
+    (src / "scan.pdf").write_bytes(b"%PDF-1.4 some bytes that are no text at all")
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    par = lambda t, style="": f"<w:p>{style}<w:r><w:t>{t}</w:t></w:r></w:p>"
+    body = par("A foreword about sanction screening.") + par("Limits", '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>') + par("Every desk has a limit of its own.")
+    with zipfile.ZipFile(src / "memo.docx", "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>')
+    got = {}
+    for r in chunks(files.read_files(spark, str(src))).collect():
+        got.setdefault(r.path.rsplit("/", 1)[1], []).append((r.line, r.name, r.text))
+    got = {k: sorted(v) for k, v in got.items()}
+    assert set(got) == {"pay.cbl", "setup.py", "head.tal", "only.tal", "plain.md", "memo.docx"}
+    cobol = got["pay.cbl"]
+    assert cobol[0][0] == 1 and "PROGRAM-ID" in cobol[0][2] and len(cobol) > 1 and cobol[-1][2].count("MOVE") > 5
+    assert "settlement.configure" in got["setup.py"][0][2]
+    assert [n for _, n, _ in got["head.tal"]] == ["", "a"] and got["head.tal"][0][2].startswith("! Limits of the desk\nLITERAL max_limit")
+    assert "payment_record" in got["only.tal"][0][2] and "amount" in got["only.tal"][0][2]
+    assert got["plain.md"] == [(0, "", "A note on nostro accounts without any header.")]
+    assert [(n, t) for _, n, t in got["memo.docx"]] == [("", "A foreword about sanction screening."), ("Limits", "Every desk has a limit of its own.")]
