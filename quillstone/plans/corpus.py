@@ -218,7 +218,7 @@ def tal_parameters(s, d):
 
 
 def call_edges(s, d):
-    return P.calls(_tal_lines(s, d)).filter("kind = 'CALL'").select("file_id", "caller", "callee", "line_no")
+    return P.calls(_tal_lines(s, d)).select("file_id", "caller", "callee", "kind", "line_no")
 
 
 def call_graph(s, d):

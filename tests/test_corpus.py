@@ -53,6 +53,18 @@ def test_procedures_and_calls(lines):
     assert {"log_it", "helper", "other"} <= {r.callee for r in G.external_calls(procs, edges).collect()}
 
 
+def test_call_queries_use_every_kind(spark, tmp_path):
+    from quillstone.plans import corpus
+
+    text = "INT PROC rate(a);\nBEGIN\n  RETURN a;\nEND;\nPROC import;\nBEGIN\n  x := 1;\nEND;\nPROC top MAIN;\nBEGIN\n  IF (rate(1)) THEN PCAL import;\n  DO x := lookup(2) UNTIL (x > 3);\n  CALL log_it;\nEND;\nPROC tail;\nBEGIN\n  y := import(1);\nEND;\n"
+    spark.createDataFrame([(1, "a.tal", text)], "file_id long, file_path string, content string").write.parquet(str(tmp_path / "source_files.parquet"))
+    d = str(tmp_path)
+    assert {(r.caller, r.callee, r.kind, r.line_no) for r in corpus.call_edges(spark, d).collect()} == {("top", "rate", "function", 11), ("top", "import", "PCAL", 11), ("top", "lookup", "function", 12), ("top", "log_it", "CALL", 13), ("tail", "import", "function", 17)}
+    assert {(r.caller, r.callees) for r in corpus.call_graph(spark, d).collect()} == {("top", "import,log_it,lookup,rate"), ("tail", "import")}
+    assert {r.name for r in corpus.entry_points(spark, d).collect()} == {"top", "tail"}
+    assert {(r.callee, r.n) for r in corpus.external_calls(spark, d).collect()} == {("lookup", 1), ("log_it", 1)}
+
+
 def test_scans():
     assert [x[1:] for x in P.literals(TAL)] == [("max", "int", "10"), ("mask", "int", "255"), ("bits", "int", "5"), ("oct", "int", "15"), ("name", "string", "a, b"), ("rate", "real", "1.5")]
     assert [x[1:] for x in P.defines(TAL)] == [("square", "x", "(x * x)"), ("zero", "", "0")]
