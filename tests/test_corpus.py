@@ -92,6 +92,15 @@ def test_function_spans(language, text, names):
     assert [f[0] for f in P.function_spans(text, language)] == names
 
 
+def test_return_type_on_the_line_before():
+    text = "static int\nexec_query(const char *q,\n    int n)\n{\n    return n;\n}\n\nint\ndeclared(int a,\n    int b);\n\nvoid\nlast(void) {\n    if (x)\n        y();\n}\nnot_typed(a)\n"
+    assert [(f[0], f[3], f[4]) for f in P.function_spans(text, "c")] == [("exec_query", 1, 6), ("last", 12, 16)]
+    assert P.function_spans(text, "c")[0][5].startswith("static int\nexec_query(")
+    unbalanced = "long\nfirst(long a)\n{\n#ifdef A\n  if (a) {\n#else\n  if (!a) {\n#endif\n  }\n}\nlong second(long b)\n{\n}\n"
+    assert [f[0] for f in P.function_spans(unbalanced, "c")] == ["first", "second"]
+    assert [f[0] for f in P.function_spans("std::vector<int>\nDesk::rates(int n)\n{\n}\n", "cpp")] == ["Desk::rates"]
+
+
 def test_chunkers():
     text = "One two. " * 400
     pieces = D.chunk_text(text, 1000, 100)
