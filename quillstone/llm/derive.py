@@ -45,14 +45,20 @@ class Grammar:
         return self.tokens.setdefault(name, len(self.tokens))
 
     def seq(self, a: int, b: int) -> int:
+        """Sequences are kept to the right, so that the parts of ``a`` are put before ``b`` one by one."""
         if not a or not b:
             return EMPTY
-        if a == EPSILON:
-            return b
         if b == EPSILON:
             return a
-        x = self.nodes[a]
-        return self.seq(x[1], self.seq(x[2], b)) if x[0] == "s" else self._node(("s", a, b))
+        parts, nodes = [], self.nodes
+        while nodes[a][0] == "s":
+            parts.append(nodes[a][1])
+            a = nodes[a][2]
+        if a != EPSILON:
+            parts.append(a)
+        for part in reversed(parts):
+            b = self._node(("s", part, b))
+        return b
 
     def alt(self, several: list[int]) -> int:
         flat: set[int] = set()
@@ -86,55 +92,89 @@ class Grammar:
                 sequence.append(self._node(("t", self.token(name))) if p[0] == "'" or p.isupper() else self._node(("n", name)))
                 at += 1
 
-    # Properties.
+    # Properties. Each is worked out with a stack of its own, so that no depth of nesting exhausts the interpreter's.
+
+    def _needs(self, a: int) -> tuple[int, ...]:
+        x = self.nodes[a]
+        k = x[0]
+        return (x[1], x[2]) if k == "s" else x[1] if k == "|" else (x[1],) if k == "*" else (self.rules[x[1]],) if k == "n" else ()
 
     def nullable(self, a: int) -> bool:
-        found = self._null.get(a)
-        if found is None:
+        known = self._null
+        found = known.get(a)
+        if found is not None:
+            return found
+        stack = [a]
+        while stack:
+            a = stack[-1]
             x = self.nodes[a]
             k = x[0]
-            found = k == "*" or k == "s" and self.nullable(x[1]) and self.nullable(x[2]) or k == "|" and any(map(self.nullable, x[1])) or k == "n" and self.nullable(self.rules[x[1]])
-            self._null[a] = found
-        return found
+            needs = self._needs(a) if k != "*" else ()
+            if k == "s" and not known.get(x[1], True):  # what follows doesn't matter, and may lead back here
+                needs = needs[:1]
+            missing = [y for y in needs if y not in known][: 1 if k == "s" else None]
+            if missing:
+                stack += missing
+                continue
+            known[a] = k == "*" or k != "t" and (any if k == "|" else all)(known[y] for y in needs)
+            stack.pop()
+        return known[a]
 
     def first(self, a: int) -> frozenset[int]:
-        found = self._first.get(a)
-        if found is None:
+        known = self._first
+        found = known.get(a)
+        if found is not None:
+            return found
+        stack = [a]
+        while stack:
+            a = stack[-1]
             x = self.nodes[a]
             k = x[0]
             if k == "t":
-                found = frozenset([x[1]])
-            elif k == "s":
-                found = self.first(x[1]) | self.first(x[2]) if self.nullable(x[1]) else self.first(x[1])
-            elif k == "|":
-                found = frozenset().union(*map(self.first, x[1]))
-            elif k == "*":
-                found = self.first(x[1])
+                known[a] = frozenset([x[1]])
+                stack.pop()
+                continue
+            needs = self._needs(a)
+            if k == "s" and not self.nullable(x[1]):
+                needs = needs[:1]
+            missing = [y for y in needs if y not in known]
+            if missing:
+                stack += missing
             else:
-                found = self.first(self.rules[x[1]])
-            self._first[a] = found
-        return found
+                known[a] = known[needs[0]] if len(needs) == 1 else frozenset().union(*(known[y] for y in needs))
+                stack.pop()
+        return known[a]
 
     def derive(self, a: int, token: int) -> int:
-        key = (a, token)
-        found = self._derived.get(key)
-        if found is None:
+        known = self._derived
+        found = known.get((a, token))
+        if found is not None:
+            return found
+        stack = [a]
+        while stack:
+            a = stack[-1]
+            x = self.nodes[a]
+            k = x[0]
             if token not in self.first(a):
                 found = EMPTY
+            elif k == "t":
+                found = EPSILON
             else:
-                x = self.nodes[a]
-                k = x[0]
-                if k == "t":
-                    found = EPSILON
-                elif k == "s":
-                    found = self.seq(self.derive(x[1], token), x[2])
-                    if self.nullable(x[1]):
-                        found = self.alt([found, self.derive(x[2], token)])
+                needs = self._needs(a)
+                if k == "s" and not self.nullable(x[1]):
+                    needs = needs[:1]
+                missing = [y for y in needs if (y, token) not in known]
+                if missing:
+                    stack += missing
+                    continue
+                if k == "s":
+                    found = self.seq(known[x[1], token], x[2])
+                    if len(needs) == 2:
+                        found = self.alt([found, known[x[2], token]])
                 elif k == "|":
-                    found = self.alt([self.derive(y, token) for y in x[1]])
-                elif k == "*":
-                    found = self.seq(self.derive(x[1], token), a)
+                    found = self.alt([known[y, token] for y in needs])
                 else:
-                    found = self.derive(self.rules[x[1]], token)
-            self._derived[key] = found
+                    found = self.seq(known[x[1], token], a) if k == "*" else known[needs[0], token]
+            known[a, token] = found
+            stack.pop()
         return found

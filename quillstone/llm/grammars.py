@@ -141,15 +141,15 @@ for = 'for' [ expr | [ simple ] ';' [ expr ] ';' [ simple ] | [ exprs ( ':=' | '
 switch = 'switch' [ [ simple ] ';' ] [ simple ] '{' { clause } '}' ;
 clause = ( 'case' exprtypes | 'default' ) ':' stmts ;
 exprtypes = exprtype { ',' exprtype } ;
-exprtype = expr | type ;
+exprtype = expr ;
 select = 'select' '{' { ( 'case' simple | 'default' ) ':' stmts } '}' ;
 expr = unary { op unary } ;
 op = '+' | '-' | '*' | '/' | '%' | '&&' | '||' | '&' | '|' | '^' | '&^' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '<' '<' | '>' '>' ;
 unary = ( '+' | '-' | '!' | '^' | '*' | '&' | '<' '-' ) unary | primary ;
 primary = operand { suffix } ;
-operand = NUM | STR | CHR | ID | '(' exprtype ')' | 'func' params [ result ] block | complex elements | complex '(' [ args ] ')' ;
-complex = '[' [ expr | '...' ] ']' type | 'map' '[' type ']' type | 'struct' '{' [ field { ';' field } ] [ ';' ] '}' | 'chan' type | 'interface' '{' '}' ;
-suffix = '.' ID | '.' '(' ( type | 'type' ) ')' | '[' ( exprtype { ',' exprtype } [ ',' ] | [ expr ] ':' [ expr ] [ ':' expr ] ) ']' | '(' [ args ] ')' | elements ;
+operand = NUM | STR | CHR | ID | '(' expr ')' | 'func' params [ result ] [ block ] | complex ;
+complex = '[' [ expr | '...' ] ']' type | 'map' '[' type ']' type | 'struct' '{' [ field { ';' field } ] [ ';' ] '}' | 'chan' [ '<' '-' ] type | '<' '-' 'chan' type | 'interface' '{' [ method { ';' method } ] [ ';' ] '}' ;
+suffix = '.' ID | '.' '(' ( type | 'type' ) ')' | '[' ( expr ( { ',' expr } [ ',' ] | ':' [ expr ] [ ':' expr ] ) | ':' [ expr ] [ ':' expr ] ) ']' | '(' [ args ] ')' | elements ;
 args = exprtype { ',' exprtype } [ '...' ] [ ',' ] ;
 elements = '{' [ element { ',' element } [ ',' ] ] '}' ;
 element = ( expr | elements ) [ ':' ( expr | elements ) ] ;
@@ -239,18 +239,23 @@ bitor = unary { op unary } ;
 op = '+' | '-' | '*' | '/' | '//' | '%' | '**' | '&' | '|' | '^' | '<<' | '>>' | '@' ;
 unary = { '+' | '-' | '~' } [ 'await' ] atom { suffix } ;
 suffix = '.' ID | '(' [ args ] ')' | '[' subscript { ',' subscript } [ ',' ] ']' ;
-subscript = starred | [ test ] ':' [ test ] [ ':' [ test ] ] ;
+subscript = '*' bitor | ID ':=' test | test [ slice ] | slice ;
+slice = ':' [ test ] [ ':' [ test ] ] ;
 args = arg { ',' arg } [ ',' ] ;
 arg = named [ comprehension ] | ID '=' test | '*' test | '**' test ;
 comprehension = [ 'async' ] 'for' tests0 'in' or { 'if' ornamed } [ comprehension ] ;
 ornamed = [ ID ':=' ] or | 'lambda' [ lparams ] ':' test ;
-atom = ID | NUM | STR { STR } | 'None' | 'True' | 'False' | '...' | '(' [ yield | starred comprehension | tests ] ')' | '[' [ starred comprehension | tests ] ']' | '{' [ dictorset ] '}' ;
-dictorset = dictitem { ',' dictitem } [ ',' ] | test ':' test comprehension | starred comprehension | tests ;
+atom = ID | NUM | STR { STR } | 'None' | 'True' | 'False' | '...' | '(' [ yield | several ] ')' | '[' [ several ] ']' | '{' [ dictorset ] '}' ;
+several = starred ( comprehension | more ) ;
+more = { ',' starred } [ ',' ] ;
+dictorset = '**' bitor pairs | '*' bitor ( comprehension | more ) | ID ':=' test ( comprehension | more ) | test ( ':' test ( comprehension | pairs ) | comprehension | more ) ;
+pairs = { ',' dictitem } [ ',' ] ;
 dictitem = test ':' test | '**' bitor ;
 """
 
 TAL = """
 unit = { item } ;
-item = ';' | part { part } ';' ;
-part = WORD | 'BEGIN' { part | ';' } 'END' ;
+item = ';' | ( DECL | block ) { part } ';' ;
+part = WORD | DECL | block ;
+block = 'BEGIN' { part | ';' } 'END' ;
 """

@@ -14,7 +14,6 @@ declarations and commented-out code do not; exact copies of a row count once."""
 from __future__ import annotations
 
 import bisect
-import functools
 import itertools
 import re
 from collections.abc import Iterator
@@ -23,7 +22,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .validity import check, language_of
+from .validity import KEYWORDS, check, language_of
 
 _DQ, _SQ = r'"(?:[^"\\\n]|\\[\s\S])*"', r"'(?:[^'\\\n]|\\[\s\S])*'"
 _C_COMMENT = r"(?P<line>//[^\n]*)|(?P<block>/\*[\s\S]*?\*/)"
@@ -36,24 +35,34 @@ _SCAN = {
     "python": re.compile(rf'(?P<line>\#[^\n]*)|"""(?:[^\\]|\\[\s\S])*?"""|\'\'\'(?:[^\\]|\\[\s\S])*?\'\'\'|{_DQ}|{_SQ}'),
     "tal": re.compile(r'(?P<line>--[^\n]*|![^!\n]*!?)|"(?:[^"\n]|"")*"|(?P<cpp>^\?[^\n]*)', re.M),
 }
-_PAREN = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
-_NOT_NAMES = r"(?!(?:if|for|while|switch|catch|synchronized|return|new|super|this|else|do|try|function|with|await|typeof|sizeof|throw|assert|case|yield|delete|void|in|of)\b)"
-#: Declarations on blanked text; ``name`` is the function's name.
-_DECLARED = {
-    "java": re.compile(rf"(?<![.\w$]){_NOT_NAMES}(?P<name>[^\W\d][\w$]*)\s*{_PAREN}\s*(?:throws\s+[\w.,\s]+)?\{{"),
-    "c": re.compile(rf"(?<![.\w]){_NOT_NAMES}(?P<name>[^\W\d]\w*)\s*{_PAREN}\s*\{{"),
-    "go": re.compile(rf"^func\s*(?:{_PAREN}\s*)?(?P<name>[^\W\d]\w*)\s*(?:\[[^\]]*\])?\s*{_PAREN}[^\n]*?\{{", re.M),
+_NAME = r"(?:[^\W\d]|\$)[\w$]*"
+#: Where a declaration may stand on blanked text, by its name; the parentheses behind it are matched by a scan.
+_HEADS = {
+    "java": re.compile(rf"(?<![.\w$])(?P<name>{_NAME})\s*\("),
+    "c": re.compile(r"(?<![.\w])(?P<name>[^\W\d]\w*)\s*\("),
+    "go": re.compile(r"^func\b\s*", re.M),
     "javascript": re.compile(
-        rf"\bfunction\s*\*?\s*(?P<f>[^\W\d][\w$]*)\s*{_PAREN}\s*\{{"
-        rf"|\b(?:const|let|var)\s+(?P<v>(?:[^\W\d]|\$)[\w$]*)\s*=\s*(?:async\s+)?(?:function\b\s*\*?\s*[\w$]*\s*{_PAREN}\s*\{{|{_PAREN}\s*=>\s*\{{?|[^\W\d][\w$]*\s*=>\s*\{{?)"
-        rf"|(?<=[{{}};,\s])(?<!function\s)(?<!new\s){_NOT_NAMES}(?P<m>\#?(?:[^\W\d]|\$)[\w$]*)\s*{_PAREN}\s*\{{"
+        rf"(?<![\w$])(?:function\b\s*\*?\s*(?P<f>{_NAME})\s*\(|(?P<v>\#?{_NAME})\s*(?P<op>=(?![=>])|:)\s*(?:async\b\s*)?(?:function\b\s*\*?\s*(?:{_NAME})?\s*\(|(?P<arrow>\()|(?P<one>{_NAME}\s*=>\s*\{{?))|(?P<m>\#?{_NAME})\s*\()"
     ),
     "python": re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+(?P<name>[^\W\d]\w*)", re.M),
     "tal": re.compile(r"(?i)\b(?:sub)?proc\s+(?P<name>[^\W\d][\w^]*)"),
 }
+#: What may stand between a declaration's parentheses and its block.
+_TAIL = {"java": re.compile(r"(?:\s*\[\s*\])*\s*(?:throws\b[\w.,\s<>@]+)?\{"), "c": re.compile(r"\s*\{"), "javascript": re.compile(r"\s*\{"), "arrow": re.compile(r"\s*=>\s*\{?")}
+#: Declarations of parameters between the parentheses and the block, in old C.
+_OLD_C = re.compile(r"\s*(?:[^\W\d][\w\s*,\[\]]*;\s*)+\{")
+#: Reserved words of each language, which name no function there.
+_RESERVED = {language: frozenset(KEYWORDS[language].split()) for language in ("java", "c")}
+#: What stands before the name of a Java or C function; words that only open statements.
+_BEFORE = {"java": re.compile(r"[\w\s.,<>\[\]?&*$@()]*[\w>\]*]"), "c": re.compile(r"[\w\s*()]*[\w*]")}
+_STATEMENT = re.compile(r"\b(?:new|return|else|throw|case|goto|record)\b")
+_TYPE = re.compile(r"\b(?:class|enum|record|interface)\s+([\w$]+)")
 #: Indent and words before a function's name on its line.
-_LEAD = re.compile(r"([ \t]*)(?:(?:export|default|async|static|get|set|const|let|var|function)\b\s*)*[*#]?\s*$")
-_ANNOTATION = re.compile(r"\s*@(?!interface\b)[\w.]+\s*(?:\((?:[^()]|\([^()]*\))*\))?")
+_LEAD = re.compile(r"([ \t]*)(?:(?:export|default|async|static|get|set|const|let|var|function)\b\s*)*(?:[\w$]+\s*\.\s*)*[*#]?\s*$")
+_MODIFIERS = re.compile(r"(?:.*[{},;])?\s*(?:(?:static|async|get|set)\b\s*)*\*?\s*", re.S)
+_ASSIGNED = re.compile(r"(?:(?:export\s+)?(?:const|let|var)\b|static\b|(?:[\w$]+\s*\.\s*)*)\s*")
+_ANNOTATION = re.compile(r"\s*@(?!interface\b)[\w.]+\s*")
+_SPACE = re.compile(r"\s*")
 
 
 class Function(NamedTuple):
@@ -91,16 +100,66 @@ class _Text:
     def row(self, line: int) -> str:
         return self.code[self.starts[line - 1] : self.starts[line] - 1 if line < len(self.starts) else len(self.code)]
 
-    @functools.cached_property
-    def braces(self) -> dict[int, int]:
-        """End of the block of each opening brace; of a C conditional, the first branch counts."""
-        out, stack = {}, []
-        for m in re.finditer(r"[{}]", self.code):
-            if m.group() == "{":
-                stack.append(m.start())
-            elif stack:
-                out[stack.pop()] = m.end()
-        return out
+    def match(self) -> None:
+        """Pair the brackets of the code; of a C conditional, the first branch counts."""
+        self.marks: list[int] = []
+        self.within: list[int] = []  # index of the mark that encloses each mark, or -1
+        self.ends: dict[int, int] = {}  # end of the group of each opening mark
+        self.opens: dict[int, int] = {}  # index of the opening mark of each closing one, by index
+        stack: list[int] = []
+        for k, m in enumerate(re.finditer(r"[;{}()]", self.code)):
+            c, at = m.group(), m.start()
+            self.marks.append(at)
+            if c in ")}":
+                kind = "(" if c == ")" else "{"
+                if c == "}":
+                    while stack and self.code[self.marks[stack[-1]]] == "(":
+                        stack.pop()
+                if stack and self.code[self.marks[stack[-1]]] == kind:
+                    self.opens[k] = stack.pop()
+                    self.ends[self.marks[self.opens[k]]] = at + 1
+            self.within.append(stack[-1] if stack else -1)
+            if c in "({":
+                stack.append(k)
+        self.kinds: dict[int, str] = {}
+
+    def declaration(self, at: int) -> int:
+        """First character of the declaration that holds ``at``: behind the latest ; { } or unclosed parenthesis."""
+        k, code = bisect.bisect_left(self.marks, at) - 1, self.code
+        while k >= 0:
+            c = code[self.marks[k]]
+            if c == ")" and k in self.opens:
+                k = self.opens[k] - 1
+            elif c == "(" and re.fullmatch(r"\s*\*[\s*]*", code[self.marks[k] + 1 : at]):  # a function that gives a pointer to one
+                k -= 1
+            else:
+                break
+        i = self.marks[k] + 1 if k >= 0 else 0
+        return _SPACE.match(code, i, at).end()
+
+    def inside(self, at: int) -> int:
+        """Index of the bracket that encloses ``at``, or -1."""
+        k = bisect.bisect_left(self.marks, at) - 1
+        return -1 if k < 0 else k if self.code[self.marks[k]] in "({" and self.ends.get(self.marks[k], at + 1) > at else self.within[k]
+
+    def kind(self, k: int) -> str:
+        """Whether a bracket of JavaScript opens a class, an object or something else."""
+        if k < 0 or self.code[self.marks[k]] != "{":
+            return ""
+        found = self.kinds.get(k)
+        if found is None:
+            at = self.marks[k]
+            head = self.code[self.declaration(at) : at].rstrip()
+            if re.search(r"(?:^|[\s=(,])class\b(?!\s*\()", head):
+                found = "class"
+            elif re.search(r"(?:[=(,\[?&|]|\breturn|\bdefault)$", self.code[max(0, at - 200) : at].rstrip()):
+                found = "object"
+            elif head.endswith(":"):
+                found = "object" if self.kind(self.within[k]) == "object" else ""
+            else:
+                found = ""
+            self.kinds[k] = found
+        return found
 
     def documents(self) -> tuple[list[int], list[tuple[int, int, int]]]:
         """End lines, and (end line, start, end) of the comments that fill their lines, runs of line comments joined."""
@@ -139,11 +198,103 @@ def _without_branches(code: str, text: str) -> str:
     return "\n".join(out)
 
 
-def _declaration(code: str, at: int) -> int:
-    """First character of the declaration that holds ``at``: after the latest ; { } ( , or the start."""
-    i = max(code.rfind(c, 0, at) for c in ";{}") + 1
-    m = re.compile(r"\s*").match(code, i, at)
-    return m.end() if m else i
+def _java_or_c(t: _Text, language: str, m: re.Match[str]) -> tuple[int, int, int] | None:
+    """(start of the declaration, of what stands before its block, of the block) if a function is declared."""
+    name, at, code = m["name"], m.start("name"), t.code
+    if name in _RESERVED[language]:
+        return None
+    after = t.ends.get(m.end() - 1)
+    if after is None:
+        return None
+    tail = _TAIL[language].match(code, after)
+    if not tail and language == "c":
+        if code[after : after + 40].lstrip()[:1] == ")":  # the parameters of the function that it gives a pointer to
+            second = t.ends.get(code.find("(", after))
+            tail = _TAIL["c"].match(code, second) if second else None
+        elif t.inside(at) < 0:
+            tail = _OLD_C.match(code, after)
+    if not tail:
+        return None
+    begin = annotated = t.declaration(at)
+    if language == "java":
+        begin = _unannotated(t, begin, at)
+    before = code[begin:at].strip()
+    if before:
+        if not _BEFORE[language].fullmatch(before) or _STATEMENT.search(before):
+            return None
+    elif language == "c":
+        if t.inside(at) >= 0:
+            return None
+    else:
+        k = t.inside(at)
+        owner = _TYPE.search(code, t.declaration(t.marks[k]), t.marks[k]) if k >= 0 else None
+        if not owner or owner[1] != name:  # a constant of an enumeration may have a body as well
+            return None
+    return annotated, begin, tail.end() - 1
+
+
+def _unannotated(t: _Text, begin: int, at: int) -> int:
+    while a := _ANNOTATION.match(t.code, begin, at):
+        begin = t.ends.get(a.end(), a.end()) if t.code[a.end() : a.end() + 1] == "(" else a.end()
+        begin = _SPACE.match(t.code, begin, at).end()
+    return begin
+
+
+def _go_head(t: _Text, at: int) -> tuple[str, int, int] | None:
+    """(name, its place, opening brace) of a function of Go; none without a block."""
+    code = t.code
+    if code[at : at + 1] == "(":
+        if at not in t.ends:
+            return None
+        at = _SPACE.match(code, t.ends[at]).end()
+    m = re.compile(r"([^\W\d]\w*)\s*").match(code, at)
+    if not m:
+        return None
+    i = m.end()
+    if code[i : i + 1] == "[":
+        depth = 0
+        for b in re.compile(r"[\[\]]").finditer(code, i):
+            depth += 1 if b.group() == "[" else -1
+            if not depth:
+                i = _SPACE.match(code, b.end()).end()
+                break
+    i = t.ends.get(i, -1) if code[i : i + 1] == "(" else -1
+    while i >= 0:
+        b = re.compile(r"[({\n]").search(code, i)
+        if not b or b.group() == "\n":
+            return None
+        if b.group() == "{" and not re.search(r"\b(?:interface|struct)\s*$", code[i : b.start()]):
+            return m[1], m.start(1), b.start()
+        i = t.ends.get(b.start(), -1)
+    return None
+
+
+def _script_head(t: _Text, m: re.Match[str]) -> tuple[str, int, int, int] | None:
+    """(name, its place, start of the declaration, end of what stands before its body) of a function of JavaScript."""
+    code, group = t.code, "f" if m["f"] else "v" if m["v"] else "m"
+    at, name = m.start(group), m[group]
+    if group == "m" and name == "function":
+        return None
+    if m["one"]:
+        after = m.end()
+    else:
+        close = t.ends.get(m.end() - 1)
+        tail = _TAIL["arrow" if m["arrow"] else "javascript"].match(code, close) if close else None
+        if not tail:
+            return None
+        after = tail.end()
+    row = code.rfind("\n", 0, at) + 1
+    lead = _LEAD.match(code, row, at)
+    begin = lead.end(1) if lead else t.declaration(m.start())
+    if group == "m" and (t.kind(t.inside(at)) == "" or not _MODIFIERS.fullmatch(code, row, at)):
+        return None
+    if group == "v":
+        if m["op"] == ":":
+            if t.kind(t.inside(at)) != "object" or code[max(0, at - 2000) : at].rstrip()[-1:] not in ("{", ","):
+                return None
+        elif not _ASSIGNED.fullmatch(code, begin, at):
+            return None
+    return name, at, begin, after
 
 
 def functions(text: str, language: str) -> Iterator[Function]:
@@ -155,39 +306,41 @@ def functions(text: str, language: str) -> Iterator[Function]:
         return
     if language == "c":
         t.code = _without_branches(t.code, text)
+    t.match()
     ends, documents = t.documents()
-    for m in _DECLARED[language].finditer(t.code):
-        name = next(x for x in m.groups() if x)
-        at = next(m.start(k) for k, x in m.groupdict().items() if x)
-        begin = _declaration(t.code, m.start() if language == "javascript" and not m.groupdict().get("m") else at)
-        if language == "go":
-            begin = m.start()
-        elif language == "javascript":  # statements may end without a semicolon
-            row = t.code.rfind("\n", 0, at) + 1
-            if lead := _LEAD.match(t.code, row, at):
-                begin = lead.end(1)
-        annotated = begin
-        while a := _ANNOTATION.match(t.code, begin, at):
-            begin = re.compile(r"\s*").match(t.code, a.end()).end()
-        before = t.code[begin:at].strip()
-        if language in ("java", "c") and not re.fullmatch(r"[\w\s.,<>\[\]?&*$@()]*[\w>\]*]" if language == "java" else r"[\w\s*()]*[\w*]", before):
-            continue
-        if language in ("java", "c") and re.search(r"\b(?:new|return|else|throw|case|goto)\b", before):
-            continue
-        if language == "javascript" and m.groupdict().get("m") and not re.fullmatch(r"(?:(?:static|async|get|set)\s+)*\*?", before.replace(",", "").strip() + " " if before else ""):
-            continue
+    for m in _HEADS[language].finditer(t.code):
         if language == "tal":
+            name, at = m["name"], m.start("name")
+            begin = annotated = t.declaration(at)
             stop = _tal_end(t.code, m.end())
             if stop is None:
                 continue
             signature = text[begin : t.code.find(";", m.end()) + 1]
         else:
-            open_at = m.end() - 1
+            if language == "go":
+                head = _go_head(t, m.end())
+                if head is None:
+                    continue
+                name, at, open_at = head
+                begin = annotated = m.start()
+            elif language == "javascript":
+                found = _script_head(t, m)
+                if found is None:
+                    continue
+                name, at, annotated, after = found
+                begin, open_at = _unannotated(t, annotated, at), after - 1
+            else:
+                place = _java_or_c(t, language, m)
+                if place is None:
+                    continue
+                name, at = m["name"], m.start("name")
+                annotated, begin, open_at = place
             if t.code[open_at] != "{":  # an arrow function of one expression
-                stop = t.line(open_at) < len(t.starts) and t.starts[t.line(open_at)] - 1 or len(text)
+                line = t.line(open_at)
+                stop = t.starts[line] - 1 if line < len(t.starts) else len(text)
             else:
-                stop = t.braces.get(open_at, len(text))
-            signature = text[begin : m.end()]
+                stop = t.ends.get(open_at, len(text))
+            signature = text[begin : open_at + 1]
         yield Function(name, t.line(at), signature.strip(), text[begin:stop], _attached(t, ends, documents, annotated, begin))
 
 
@@ -222,7 +375,7 @@ def _tal_end(code: str, at: int) -> int | None:
 
 
 def _python(t: _Text) -> Iterator[Function]:
-    for m in _DECLARED["python"].finditer(t.code):
+    for m in _HEADS["python"].finditer(t.code):
         begin, depth, i = m.start() + len(m.group()) - len(m.group().lstrip()), 0, m.end()
         while i < len(t.code):
             c = t.code[i]
@@ -258,10 +411,16 @@ def _python(t: _Text) -> Iterator[Function]:
 _WORD = re.compile(r"[^\W\d_](?:[\w'’]|-(?=\w))*")
 _TAG = re.compile(r"^(?:[@\\][A-Za-z]\w*|:[a-z]+(?:\s+[^:\n]*)?:)(?:\s|$)")
 _SECTION = re.compile(r"^(?:Args|Arguments|Parameters|Params|Returns?|Raises|Yields|Throws):?\s*$")
+#: What a sentence says that is about documentation itself: marks of unfinished work, then unwritten, generated or
+#: to be written. Verbs such as add or write count only with documentation as their object or a mere later behind.
+_DOC = r"(?:documentation|docs?|descriptions?|comments?|docstrings?|javadoc)"
 _UNDONE = re.compile(
-    r"\b(?:todo|fixme|xxx|tbd|tbc|to be (?:done|written|documented|described|defined|filled|completed)|auto[- ]?generated|(?:was|is|been) generated|generated (?:by|code|automatically|method|function|stub)|do not edit"
-    r"|(?:not|un) ?(?:yet )?(?:documented|written|described)|undocumented|no (?:documentation|description|comment|doc)\b|documentation (?:is )?(?:missing|needed|pending|to follow|follows)|missing (?:documentation|description)"
-    r"|(?:add|write|describe|document|insert|put|fill|provide)\b.{0,40}\b(?:documentation|docs?|description|comment|docstring|later|here|this)|describe (?:this|me)|document (?:this|me)|placeholder|stub)\b",
+    r"\b(?:todo|fixme|xxx|tbd|tbc)\b|\bto be (?:done|written|documented|described|defined|filled|completed)\b|\bauto[- ]?generated\b|\bdo not edit\b|^\W*generated (?:by|code|automatically|method|function|stub)\b"
+    r"|^\W*(?:this|the)?\s*(?:\w+\s+){0,2}(?:is|was|has been|were|are) (?:automatically )?generated\b|\bundocumented\b|\b(?:not|un) ?(?:yet )?(?:documented|written|described)(?: yet)?\W*$"
+    rf"|^\W*no {_DOC}\b|\b{_DOC} (?:is |are )?(?:missing|needed|pending|to follow|follows)\b|\bmissing {_DOC}\b"
+    rf"|^\W*(?:please )?(?:add|write|insert|put|fill in|provide)\s+(?:(?:a|an|the|some|any|proper|real|better|more|missing|your)\s+)*{_DOC}\b"
+    r"|^\W*(?:please )?(?:describe|document|explain|write|add|fill|complete)\b(?:\s+(?:this|the|it|me|in))*(?:\s+(?:function|method|procedure|code|text|one))?(?:\s+(?:later|here|soon|me))*\W*$"
+    r"|^\W*(?:this (?:is |was )?)?(?:an? |the |only |just |mere )*(?:\w+ )?(?:placeholder|stub)\W*$",
     re.I,
 )
 _ARTICLES = frozenset(["a", "an", "the"])

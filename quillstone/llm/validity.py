@@ -6,18 +6,17 @@ most lines cost one lookup. A new shape is cut into tokens, and the grammar node
 derivative marks the failing token; an end that is not nullable is a truncation.
 
 C is judged with any set of macros: the branches of a conditional are alternatives of the node. TAL is judged by its
-comments, strings, BEGIN/END, closing semicolons and the marks that it has (so a conflict's lines or another
-language's text fail). Python failures are checked once more, exactly, by the interpreter's own parser.
+comments, strings, BEGIN/END, closing semicolons, the marks that it has (braces, bars, tildes, backquotes, runs of
+``=``, ``<`` or ``>`` and, outside comments and strings, characters beyond ASCII are none) and by the words that may
+open a declaration, so a conflict's lines or another language's text fail.
 
 Defined results: null contents have no verdict (null); empty and blank contents are valid, and so are files of an
 extension without grammar; exact copies of a row count once in rates; an unknown language counts under its extension."""
 
 from __future__ import annotations
 
-import ast
 import functools
 import re
-import warnings
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,7 +37,7 @@ KEYWORDS = {
     "go": "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var",
     "javascript": "async await break case catch class const continue debugger default delete do else export extends false finally for function get if import in instanceof let new null of return set static super switch this throw true try typeof var void while with yield",
     "python": "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield",
-    "tal": "begin end",
+    "tal": "begin end block byte callable char define entry external fixed forward int interrupt label literal main name priv proc real resident string struct subproc unsigned variable",
 }
 _OPS = {
     "java": "-> :: ++ -- && || == != <= >= += -= *= /= %= &= |= ^= ...",
@@ -220,9 +219,9 @@ class Checker:
                 i = m.end()
                 yield "STR", "string"
             elif mode.startswith("`"):
-                i, depth = self._template(line, 0, int(mode[1:] or 0))
+                i, depths = self._template(line, 0, tuple(map(int, mode[1:].split(","))))
                 if i < 0:
-                    yield "MODE", f"`{depth}"
+                    yield "MODE", "`" + ",".join(map(str, depths))
                     return
                 yield self._tick(), "`"
             else:
@@ -260,9 +259,9 @@ class Checker:
                 prev = "STR"
                 yield "STR", text
             elif group == "tick":
-                i, depth = self._template(line, i, 0)
+                i, depths = self._template(line, i)
                 if i < 0:
-                    yield "MODE", f"`{depth}"
+                    yield "MODE", "`" + ",".join(map(str, depths))
                     return
                 prev = self._tick()
                 yield prev, text
@@ -281,28 +280,32 @@ class Checker:
     def _tick(self) -> str:
         return "TPL" if self.language == "javascript" else "STR"
 
-    def _template(self, line: str, i: int, depth: int) -> tuple[int, int]:
-        """End of a raw or template literal from i, or -1; and the open braces of its expressions."""
+    def _template(self, line: str, i: int, open_: tuple[int, ...] = (0,)) -> tuple[int, tuple[int, ...]]:
+        """End of a raw or template literal from i, or -1 and what is open at the line end: for each nested template,
+        the open braces of its expression, or 0 in its text."""
         if self.language == "go":
             j = line.find("`", i)
-            return (j + 1 if j >= 0 else -1), 0
+            return (j + 1, ()) if j >= 0 else (-1, (0,))
+        depths = list(open_)
         while i < len(line):
             c = line[i]
             if c == "\\":
                 i += 1
-            elif depth:
-                if c == "`" and (inner := self._template(line, i + 1, 0)[0]) >= 0:
-                    i = inner - 1
-                elif c in "\"'" and (m := re.compile(rf"{c}(?:[^{c}\\]|\\.)*{c}").match(line, i)):
+            elif depths[-1]:
+                if c == "`":
+                    depths.append(0)
+                elif c in "\"'" and (m := _QUOTED[c].match(line, i)):
                     i = m.end() - 1
                 else:
-                    depth += (c == "{") - (c == "}")
+                    depths[-1] += (c == "{") - (c == "}")
             elif c == "`":
-                return i + 1, 0
+                depths.pop()
+                if not depths:
+                    return i + 1, ()
             elif c == "$" and line[i + 1 : i + 2] == "{":
-                depth, i = 1, i + 1
+                depths[-1], i = 1, i + 1
             i += 1
-        return -1, depth
+        return -1, tuple(depths)
 
     # Lines by language.
 
@@ -463,7 +466,8 @@ class Checker:
                 raise _Stop(m.group())
             if m.lastgroup in ("word", "mark", "str"):
                 word = m.group().upper()
-                node = self._derive(node, word if word in ("BEGIN", "END", ";") else "WORD", m.group())
+                kind = word if word in ("BEGIN", "END", ";") else "DECL" if word.lower() in self.words else "WORD"
+                node = self._derive(node, kind, m.group())
         return State("", node)
 
 
@@ -474,6 +478,7 @@ class _Stop(Exception):
 
 
 _TAL = re.compile(r'(?P<cm>--.*|![^!]*(?:!|$))|(?P<str>"(?:[^"]|"")*")|(?P<bad>"|<{3,}|>{3,}|={2,}|[{}|~`]|[^\x00-\x7f])|(?P<word>[A-Za-z_^][\w^]*)|(?P<ws>\s+)|(?P<mark>.)')
+_QUOTED = {q: re.compile(rf"{q}(?:[^{q}\\]|\\.)*{q}") for q in "\"'"}
 _GO_ENDS = frozenset("ID NUM STR CHR break continue fallthrough return ++ -- ) ] }".split())
 _VALUE = frozenset("ID NUM STR TPL REX ) ] } this super null true false".split())
 
@@ -504,18 +509,15 @@ def check(language: str | None, text: str | None) -> Failure | None:
     """The failure of a text, or None if it is valid."""
     if language is None or not text:
         return None
-    failure = checker(language).check(text)
-    if failure and language == "python":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text.removeprefix("﻿"))
-            return None
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            pass
+    one = checker(language)
+    failure = one.check(text)
+    if len(one.grammar.nodes) > MOST_NODES:  # kept derivatives are a cache; a worker starts anew
+        checker.cache_clear()
     return failure
 
 
+#: Nodes of a language's kept derivatives, beyond which they are dropped after a file; bounds a worker's memory.
+MOST_NODES = 1_000_000
 _VERDICT = "valid boolean, line int, token string, truncated boolean"
 
 

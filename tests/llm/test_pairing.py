@@ -121,3 +121,27 @@ def test_operator(spark):
     df = spark.createDataFrame(rows, "file_id long, file_path string, content string, docstring string")
     assert sorted((r.file_id, r.line_no, r.func_name) for r in p.documented_functions(df).collect()) == [(1, 5, "move"), (1, 18, "split")]
     assert p.documented_functions(df.limit(0)).count() == 0
+
+
+DEEP_C = "/* Runs the chain of callbacks once. */\nint f(int (*a)(int (*b)(int (*c)(int)))) {\n  return 0;\n}\n/* Picks the handler of a wire. */\nint (*pick(int kind))(int) {\n  return 0;\n}\n/* Starts with the implied type. */\nnew(a)\n  int a;\n{\n  return delete(a);\n}\nint delete(int a) { return a; }\n"
+DEEP_JAVA = "class A {\n  /** Holds the annotated method of the day. */\n  @X(a = @Y(b = @Z(c = @W({1, (2)}))))\n  void f() { }\n  /** Builds the thing without a modifier. */\n  A() { }\n  /** Gives the things of the list. */\n  int of(int a)[] { return b; }\n  enum E {\n    /** Is only a constant with a body. */\n    X(1) { }\n  }\n}\n"
+ASSIGNED = "class A {\n  // Deletes the wire of the day.\n  delete() { }\n  // Handles the fault of the wire.\n  handle = async (a) => {\n  };\n}\nconst o = {\n  // Moves the wire to its queue.\n  move: function (a) { },\n  // Catches the fault of the wire.\n  catch(e) { if (e) { } }\n};\n// Posts the wire to the ledger.\nexports.post = function (a) { };\n// Not a function, only a call.\nrun(a)\nswitch (a) { case (b): { } }\n"
+DEEP_GO = "package a\n\n// Pick gives the thing of a kind.\nfunc Pick[T interface{ ~[]int }](f func(g func(h func(int) int) int) int) interface{ X() } {\n\treturn nil\n}\n"
+
+
+def test_any_depth_and_names():
+    c = found(DEEP_C, "c")
+    assert set(c) == {"f", "pick", "new", "delete"} and all(c[n].docstring for n in ("f", "pick", "new"))
+    j = found(DEEP_JAVA, "java")
+    assert set(j) == {"f", "A", "of"} and all(x.docstring for x in j.values()) and j["f"].signature == "void f() {"
+    js = found(ASSIGNED, "javascript")
+    assert set(js) == {"delete", "handle", "move", "catch", "post"} and all(x.docstring for x in js.values())
+    go = found(DEEP_GO, "go")
+    assert go["Pick"].docstring and go["Pick"].body.endswith("nil\n}")
+
+
+def test_promises_are_about_documentation():
+    for text in ("Write this entry to the ledger.", "Sends the report generated by the batch to the bank.", "Returns the stub of the remote client.", "Add the fee to the amount later in the day."):
+        assert p.says_something(f"/** {text} */", "x", "java"), text
+    for text in ("Auto generated method stub here.", "Please add a proper description here.", "Describe this function here later.", "This method was generated by a tool.", "No documentation for this one yet."):
+        assert not p.says_something(f"/** {text} */", "x", "java"), text

@@ -21,7 +21,7 @@ BAD = {
     "go": ["package a\nfunc f() {\n\tx :=\n}\n", "func f() {}\n", "package a\nfunc f()\n{\n}\n", "package a\nfunc f() {\n<<<<<<< HEAD\n}\n"],
     "javascript": ["function f( { }", "let = = 1", "a b", "if (x { }", "const x = `open", "<!DOCTYPE html>", "{\"a\": 1, \"b\": }"],
     "python": ["def f(:\n  pass", "if x:\npass", "x = 012", "x = (1,", "'''open", "<<<<<<< HEAD\nx = 1", "for x in y\n  pass", "return x y", "x = 'open", "def f():\n    a\n  b\n"],
-    "tal": ["PROC f; BEGIN x := 1;", "PROC f; BEGIN END; END;", "x := \"open;\n", "PROC f; BEGIN\n<<<<<<< ours\nEND;\n", "import os\nx = 1\n", "int f() { return 1; }"],
+    "tal": ["PROC f; BEGIN x := 1;", "PROC f; BEGIN END; END;", "INT x := \"open;\n", "PROC f; BEGIN\n<<<<<<< ours\nEND;\n", "import os\nx = 1\n", "int f() { return 1; }"],
 }
 
 
@@ -96,3 +96,29 @@ def test_operator(spark):
     rates = {(r.repo, r.language): (r.files, r.failed, r.rate) for r in v.failure_rates(v.file_verdicts(df, keep=("repo",))).collect()}
     assert rates["r", "python"] == (2, 1, 0.5) and ("q", "go") not in rates
     assert v.file_verdicts(df.limit(0)).count() == 0
+
+
+def _nested(n):
+    o, c = "(" * n, ")" * n
+    return {
+        "java": [f"class A {{ int x = {o}1{c}; }}", "class A { void f() " + "{" * n + "}" * n + " }"],
+        "c": [f"int x = {o}1{c};", f"void f() {{ g{'(g' * n}{c}; }}", "int f(" + "int (*a)(" * n + "int" + c + ") { }"],
+        "go": [f"package a\nvar x = {o}1{c}\n", "package a\nfunc f() {" + "{" * n + "}" * n + "}\n", "package a\nvar x = a" + "{a" * n + "}" * n + "\n"],
+        "javascript": [f"x = {o}1{c};", "x = " + "(a) => (" * n + "1" + c, "x = " + "`${" * n + "1" + "}`" * n],
+        "python": [f"x = {o}1{c}\n", "x = " + "{1:" * n + "1" + "}" * n + "\n"],
+        "tal": ["PROC f;\n" + "BEGIN " * n + "END;" * n],
+    }
+
+
+@pytest.mark.parametrize("language", list(GOOD))
+def test_five_thousand_levels(language):
+    for text in _nested(5_000)[language]:
+        assert v.check(language, text) is None and v.check(language, text[: len(text) // 2]) is not None
+
+
+def test_templates_over_lines():
+    assert v.check("javascript", "x = `a ${b ? `c\n${'`'}` : d}\ne`\n") is None and v.check("javascript", "x = `a ${`b`\n") is not None
+
+
+def test_tal_needs_declarations():
+    assert v.check("tal", "SELECT * FROM a WHERE b = 1;\n") is not None
