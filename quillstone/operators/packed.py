@@ -2,8 +2,11 @@
 
 Every field is cut into tokens (a run of ordinary characters, a run of spaces, or one delimiter), and its
 *skeleton* has one character per token: ``w``, a space, or the delimiter itself. How a field splits depends on the
-skeleton only, so the rules are resolved once per distinct skeleton, broadcast if there are few enough of them, and
-applied to the token arrays by position, without Python in the path of the rows.
+skeleton only, so the rules are resolved once per distinct skeleton, broadcast if there are few enough of them (else
+joined by salted keys), and applied to the tokens by position.
+
+Cutting runs in Arrow batches: the classes of wide separators and spaces cost the regular expressions of the JVM a
+chain of tests per character, so that these two passes take a fifth of the time here.
 
 Defined results: null, blank and separator-only fields give no rows; empty pieces take no position; repeated values
 stay; an unclosed quote is an ordinary character; exact copies of a row count once; further columns are ignored."""
@@ -12,8 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import json
+import re
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import bounded_broadcast, salted_join
@@ -26,12 +32,49 @@ CONTROL = "\u0000-\u001f\u007f-\u009f\u2028\u2029"
 #: Stand for a slash and a middle dot between spaces while a field is cut.
 SLASH, DOT = "\ue000", "\ue001"
 
-_PLAIN = (f'[^{SEPARATORS}{SLASH}{DOT}"{SPACES}{CONTROL}]', f'[{SEPARATORS}{SLASH}{DOT}"{CONTROL}]')
-_LITERAL = (f"(?:[^,\\[\\]\"'\\\\{SPACES}{CONTROL}]|\\\\[\\s\\S])", f"[,\\[\\]\"'{CONTROL}\\\\]")
-_EDGES = f"^[{SPACES}{CONTROL}]+|[{SPACES}{CONTROL}]+$"
-_ELEMENT = r"""(?:"[^"]*+"|'[^']*+'|0)\s*+"""
+_MARKS = f'{SEPARATORS}{SLASH}{DOT}"'
+_PLAIN = re.compile(f'[^{_MARKS}{SPACES}{CONTROL}]+(?:[{SPACES}]+[^{_MARKS}{SPACES}{CONTROL}]+)*|[{SPACES}]+|[{_MARKS}{CONTROL}]')
+_CHAR = f"(?:[^,\\[\\]\"'\\\\{SPACES}{CONTROL}]|\\\\[\\s\\S])"
+_LITERAL = re.compile(f"{_CHAR}+(?:[{SPACES}]+{_CHAR}+)*|[{SPACES}]+|[,\\[\\]\"'{CONTROL}\\\\]")
+_IS_MARK = re.compile(f"[{_MARKS}{CONTROL}]")
+_IS_LITERAL_MARK = re.compile(f"[,\\[\\]\"'{CONTROL}\\\\]")
+_NUMBER = re.compile("[-+]?[0-9]+(?:[.][0-9]+)?")
+_EDGES = re.compile(f"^[{SPACES}{CONTROL}]+|[{SPACES}{CONTROL}]+$")
+_ENDS = re.compile(f"^[{SPACES}]+|[{SPACES}]+$")
+_SPACED_SLASH, _SPACED_DOT = re.compile(f"(?<=[{SPACES}])/(?=[{SPACES}])"), re.compile(f"(?<=[{SPACES}])\u00b7(?=[{SPACES}])")
+_BACK = {ord(SLASH): "/", ord(DOT): "\u00b7"}
+_ELEMENT = r"""(?:"[^"]*"|'[^']*'|0)\s*"""
 #: A literal's skeleton: quoted strings and numbers between commas.
-_LIST = rf"^\[\s*+(?:{_ELEMENT}(?:,\s*+{_ELEMENT})*+,?\s*+)?\]$"
+_LIST = re.compile(rf"\[\s*(?:{_ELEMENT}(?:,\s*{_ELEMENT})*,?\s*)?\]")
+
+
+class _Kinds(dict):
+    """What stands for a token in a skeleton, by its first character; words are not kept one by one."""
+
+    def __init__(self, mark: re.Pattern[str]) -> None:
+        self.mark = mark
+
+    def __missing__(self, first: str) -> str:
+        out = self[first] = first if self.mark.match(first) else " " if _ENDS.match(first) else "w"
+        return out
+
+
+_PLAIN_KINDS, _LITERAL_KINDS = _Kinds(_IS_MARK), _Kinds(_IS_LITERAL_MARK)
+
+
+def cut(text: str) -> tuple[str, list[str]]:
+    """(skeleton, tokens) of a field; nothing for one of separators' spaces only."""
+    if "/" in text or "\u00b7" in text:
+        text = _SPACED_DOT.sub(DOT, _SPACED_SLASH.sub(SLASH, text))
+    text = _EDGES.sub("", text)
+    if text.startswith("["):
+        tokens = _LITERAL.findall(text)
+        kinds = [_LITERAL_KINDS[t[0]] if t[0] != "\\" or len(t) == 1 else "w" for t in tokens]
+        shape = "".join("0" if k == "w" and _NUMBER.fullmatch(t) else k for k, t in zip(kinds, tokens, strict=True))
+        if _LIST.fullmatch(shape):
+            return shape, tokens
+    tokens = _PLAIN.findall(text)
+    return "".join([_PLAIN_KINDS[t[0]] for t in tokens]), tokens
 
 
 def _literal(s: str) -> list[tuple[int, int, str]]:
@@ -82,41 +125,81 @@ def _rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield x.assign(rules=[[{"a": a, "b": b, "q": q} for a, b, q in resolve(s)] for s in x["skeleton"]])
 
 
-def _tokens(text: Column, kind: tuple[str, str]) -> Column:
-    ordinary, delimiter = kind
-    return F.regexp_extract_all(text, F.lit(f"{ordinary}++(?:[{SPACES}]++{ordinary}++)*+|[{SPACES}]++|{delimiter}"), F.lit(0))
-
-
-def _skeleton(tokens: Column, delimiter: str) -> Column:
-    mask = F.transform(tokens, lambda t: F.when(t.rlike(f"^{delimiter}$"), t).when(t.rlike(f"^[{SPACES}]"), " ").when(t.rlike("^[-+]?[0-9]+([.][0-9]+)?$"), "0").otherwise("w"))
-    return F.array_join(mask, "")
+def _value(tokens: list[str], a: int, b: int, quoting: str) -> str:
+    """Text of the tokens from a to b."""
+    raw = tokens[a] if b == a + 1 else "".join(tokens[a:b])
+    if quoting == "q":
+        raw = raw.replace('""', '"')
+    elif quoting in "\"'" and "\\" in raw:
+        body = re.sub(r"\\x([0-9a-fA-F]{2})", r"\\u00\1", raw.replace("\\'", "'"))
+        if quoting == "'":
+            body = re.sub(r'(?<!\\)"', r'\\"', body)
+        try:
+            raw = json.loads(f'"{body}"', strict=False)
+        except ValueError:
+            pass
+    if SLASH in raw or DOT in raw:
+        raw = raw.translate(_BACK)
+    return _ENDS.sub("", raw)
+
+
+def _skeletons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for x in batches:
+        yield pd.DataFrame({"skeleton": list({s for s in (cut(t)[0] for f in x for t in x[f] if t) if s})})
 
 
-def _unescape(raw: Column, quoting: Column) -> Column:
-    """A value's text from its tokens."""
-    body = F.regexp_replace(F.regexp_replace(raw, r"\\'", "'"), r"\\x([0-9a-fA-F]{2})", r"\\u00$1")
-    body = F.when(quoting == "'", F.regexp_replace(body, r'(?<!\\)"', r'\\"')).otherwise(body)
-    parsed = F.element_at(F.from_json(F.concat(F.lit('["'), body, F.lit('"]')), "array<string>"), 1)
-    return F.when(quoting == "q", F.regexp_replace(raw, '""', '"')).when(quoting.isin('"', "'") & raw.contains("\\"), F.coalesce(parsed, raw)).otherwise(raw)
+#: Most bytes of rules that are broadcast.
+RULE_BYTES = 16 << 20
 
 
 def split_packed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """One row ``(key, field, pos, item)`` per value of the packed ``fields``."""
-    rows = df.select(key, *fields).distinct()
-    long = rows.select(F.col(key).alias("_key"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields))).alias("x"))
-    text = F.regexp_replace("x.text", f"(?<=[{SPACES}])/(?=[{SPACES}])", SLASH)
-    text = F.regexp_replace(text, f"(?<=[{SPACES}])\u00b7(?=[{SPACES}])", DOT)
-    long = long.select("_key", "x.field", F.regexp_replace(text, _EDGES, "").alias("text")).filter("text <> ''")
-    listed = F.when(F.col("text").startswith("["), _tokens(F.col("text"), _LITERAL))
-    long = long.withColumn("listed", listed).withColumn("shape", _skeleton(F.col("listed"), _LITERAL[1]))
-    literal = F.col("shape").rlike(_LIST)
-    long = long.withColumn("tokens", F.when(literal, F.col("listed")).otherwise(_tokens(F.col("text"), _PLAIN)))
-    plain = F.translate(_skeleton(F.col("tokens"), _PLAIN[1]), "0", "w")
-    cut = long.select("_key", "field", "tokens", F.when(literal, F.col("shape")).otherwise(plain).alias("skeleton"))
-    shapes = cut.select("skeleton").distinct().mapInPandas(_rules, "skeleton string, rules array<struct<a:int,b:int,q:string>>")
-    rules, small = bounded_broadcast(shapes, size=F.length("skeleton") + 40 * F.size("rules"))
-    joined = cut.join(rules, "skeleton") if small else salted_join(cut, rules, ["skeleton"], "inner", by="_key")
-    spans = joined.select("_key", "field", "tokens", F.posexplode("rules").alias("pos", "r"))
-    raw = F.array_join(F.slice("tokens", F.col("r.a") + 1, F.col("r.b") - F.col("r.a")), "")
-    item = F.regexp_replace(F.translate(_unescape(raw, F.col("r.q")), SLASH + DOT, "/\u00b7"), f"^[{SPACES}]+|[{SPACES}]+$", "")
-    return spans.select(F.col("_key").alias(key), "field", "pos", item.alias("item"))
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("_key"), *(F.col(f).cast("string").alias(f"_{n}") for n, f in enumerate(fields))).distinct()
+    shapes = rows.drop("_key").mapInPandas(_skeletons, "skeleton string").distinct()
+    rules, small = bounded_broadcast(shapes.mapInPandas(_rules, "skeleton string, rules array<struct<a:int,b:int,q:string>>"), size=F.length("skeleton") + 40 * F.size("rules"), most_bytes=RULE_BYTES)
+    schema = f"_key {kind}, field string, pos int, item string"
+
+    def put(out: list[list], k: object, field: str, tokens: list[str], spans: list) -> None:
+        for pos, (a, b, q) in enumerate(spans):
+            out[0].append(k)
+            out[1].append(field)
+            out[2].append(pos)
+            out[3].append(_value(tokens, a, b, q))
+
+    def frame(out: list[list], like: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"_key": pd.Series(out[0], dtype=like.dtype), "field": out[1], "pos": out[2], "item": out[3]})
+
+    if small:
+        table = {r["skeleton"]: [(x["a"], x["b"], x["q"]) for x in r["rules"]] for r in rules.collect()}
+        shared = df.sparkSession.sparkContext.broadcast(table)
+
+        def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = shared.value
+            for x in batches:
+                out: list[list] = [[], [], [], []]
+                for n, f in enumerate(fields):
+                    for k, t in zip(x["_key"], x[f"_{n}"], strict=True):
+                        if t:
+                            skeleton, tokens = cut(t)
+                            if skeleton:
+                                put(out, k, f, tokens, known[skeleton])
+                yield frame(out, x["_key"])
+
+        return rows.mapInPandas(apply, schema).withColumnRenamed("_key", key)
+
+    def tokens_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = [(k, f, *cut(t)) for n, f in enumerate(fields) for k, t in zip(x["_key"], x[f"_{n}"], strict=True) if t]
+            yield pd.DataFrame([r for r in out if r[2]], columns=["_key", "field", "skeleton", "tokens"]).astype({"_key": x["_key"].dtype})
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out: list[list] = [[], [], [], []]
+            for k, f, tokens, spans in zip(x["_key"], x["field"], x["tokens"], x["rules"], strict=True):
+                put(out, k, f, list(tokens), [(r["a"], r["b"], r["q"]) for r in spans])
+            yield frame(out, x["_key"])
+
+    cuts = rows.mapInPandas(tokens_of, f"_key {kind}, field string, skeleton string, tokens array<string>")
+    joined = salted_join(cuts, rules, ["skeleton"], "inner", by="_key").select("_key", "field", "tokens", "rules")
+    return joined.mapInPandas(extract, schema).withColumnRenamed("_key", key)

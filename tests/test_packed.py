@@ -50,3 +50,13 @@ def test_shuffled_rules(spark, monkeypatch, rows):
     monkeypatch.setattr(packed, "bounded_broadcast", lambda df, **kw: real(df, rows, **kw))
     df = spark.createDataFrame([(1, "a,b"), (2, "c"), (3, "d;e;f")], "id long, f string")
     assert split_packed(df, "id", ["f"]).count() == 6
+
+
+def test_shuffled_rules_give_the_same(spark, monkeypatch):
+    from quillstone.operators import packed
+
+    df = spark.createDataFrame([(i, t, "clash") for i, (t, _) in enumerate(CASES)], "id long, f string, item string")
+    want = sorted(map(tuple, split_packed(df, "id", ["f"]).collect()))
+    real = packed.bounded_broadcast
+    monkeypatch.setattr(packed, "bounded_broadcast", lambda df, **kw: real(df, 0, **kw))
+    assert sorted(map(tuple, split_packed(df, "id", ["f"]).collect())) == want
