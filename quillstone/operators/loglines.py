@@ -2,8 +2,9 @@
 
 A line starts an entry if a timestamp header expression matches it (or a top-level JSON object opens on it). The
 number of the latest start is carried over the lines of each file; further lines belong to that entry. Files are
-worked on in blocks of lines with a small pass over the blocks' last starts, so that one very large file is spread
-over many tasks. An ordered cascade of patterns then names the fields of each entry.
+worked on in blocks of lines whose ends are moved to the starts of entries, so that one very large file is spread over
+many tasks. An ordered cascade of patterns then names the fields of each entry. (An entry is one row of the result, so
+its lines meet in one task however many they are.)
 
 Defined results: lines before the first start and null lines belong to no entry; a line shipped twice counts once,
 with its earliest ``received_at``; unmarked fields are empty strings; an unreadable JSON object keeps its text."""
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import BROADCAST_ROWS, bounded_broadcast, salted_join
+
 #: Lines per block; a block is the largest share of a file that one task sorts.
 BLOCK = 4096
 
@@ -73,25 +76,42 @@ def _instant(text: Column, layout: Column, received: Column) -> Column:
 
 
 
-def log_entries(df: DataFrame, block: int = BLOCK) -> DataFrame:
+def log_entries(df: DataFrame, block: int = BLOCK, most_bounds: int = BROADCAST_ROWS) -> DataFrame:
     """Entries ``(file_path, line_no, ts, level, component, message)`` of lines ``(file_path, line_no, raw_line,
-    received_at)``."""
+    received_at)``.
+
+    A first pass notes where the first entry of each block of lines starts; the lines before it belong to the latest
+    block before that has one. So no entry crosses a block, and all lines of an entry meet after one shuffle. The table
+    of starts has a row for each block; it is broadcast if it is small, else joined by file and block."""
     clean = F.regexp_replace(F.regexp_replace("raw_line", "\u001b\\[[0-9;?]*[ -/]*[@-~]", ""), "\r+$", "")
-    lines = df.select("file_path", F.col("line_no").cast("long").alias("line_no"), "raw_line", "received_at").filter("raw_line is not null and line_no is not null")
-    lines = lines.withColumn("block", F.floor(F.col("line_no") / block)).repartition("file_path", "block")
-    lines = lines.groupBy("file_path", "block", "line_no").agg(F.max("raw_line").alias("raw_line"), F.min("received_at").alias("received_at"))
-    lines = lines.select("file_path", "block", "line_no", "received_at", clean.alias("line"))
-    lines = lines.withColumn("layout", _layout(F.col("line")))
-    lines = lines.withColumn("start", F.when(F.col("layout").isNotNull(), F.col("line_no")))
+    lines = df.select("file_path", F.col("line_no").cast("long").alias("line_no"), clean.alias("line"), "received_at").filter("line is not null and line_no is not null and file_path is not null")
+    lines = lines.withColumn("layout", _layout(F.col("line"))).withColumn("block", F.floor(F.col("line_no") / block))
+    starts = lines.groupBy("file_path", "block").agg(F.min(F.when(F.col("layout").isNotNull(), F.col("line_no"))).alias("first"))
+    bounds, small = bounded_broadcast(_carried(starts), most_bounds, F.length("file_path") + 24)
+    if small:
+        lines = lines.join(bounds, ["file_path", "block"])
+    else:
+        lines = salted_join(lines, bounds, ["file_path", "block"], "inner", salts=4, by="line_no")
+    own = F.coalesce(F.col("line_no") >= F.col("first"), F.lit(False))
+    lines = lines.withColumn("block", F.when(own, F.col("block")).otherwise(F.col("before"))).filter("block is not null").drop("first", "before")
+    # Of a line that was shipped twice, one that starts an entry counts, then the greater text.
+    lines = lines.repartition("file_path", "block").groupBy("file_path", "block", "line_no").agg(F.max(F.struct(F.col("layout").isNotNull().alias("starts"), "line", "layout")).alias("l"), F.min("received_at").alias("received_at"))
     inside = Window.partitionBy("file_path", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("start", F.last("start", True).over(inside))
-    ends = lines.groupBy("file_path", "block").agg(F.max("start").alias("end"))
-    before = Window.partitionBy("file_path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select("file_path", "block", F.max("end").over(before).alias("carried"))
-    lines = lines.join(ends, ["file_path", "block"]).withColumn("start", F.coalesce("start", "carried")).filter("start is not null")
-    part = lines.groupBy("file_path", "block", "start").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("part"), F.max(F.when(F.col("line_no") == F.col("start"), F.struct("layout", "received_at"))).alias("head"))
-    whole = part.groupBy("file_path", "start").agg(F.flatten(F.sort_array(F.collect_list("part"))).alias("lines"), F.max("head").alias("head"))
-    return _fields(whole)
+    start = F.last(F.when(F.col("l.starts"), F.col("line_no")), True).over(inside)
+    lines = lines.select("file_path", "block", "line_no", "l.line", "l.layout", "received_at", start.alias("start"))
+    head = F.max(F.when(F.col("line_no") == F.col("start"), F.struct("layout", "received_at"))).alias("head")
+    return _fields(lines.groupBy("file_path", "block", "start").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("lines"), head))
+
+
+def _carried(starts: DataFrame, wide: int = 1024) -> DataFrame:
+    """``(file_path, block, first, before)``: the latest block before each one in which an entry starts, by two passes
+    over stretches of ``wide`` blocks, so that the blocks of a huge file are not sorted in one task."""
+    every = starts.withColumn("far", F.floor(F.col("block") / wide)).withColumn("has", F.when(F.col("first").isNotNull(), F.col("block")))
+    near = Window.partitionBy("file_path", "far").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("file_path").orderBy("far").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = every.groupBy("file_path", "far").agg(F.max("has").alias("best")).select("file_path", "far", F.max("best").over(over).alias("earlier"))
+    found = every.withColumn("near", F.max("has").over(near)).join(earlier, ["file_path", "far"])
+    return found.select("file_path", "block", "first", F.coalesce("near", "earlier").alias("before"))
 
 
 def _pair(line: Column, keys: str) -> Column:
