@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
+from ..runtime import bounded_broadcast, materialize, salted_join
 
 #: Items per block of a large basket.
 BLOCK_ITEMS = 1024
@@ -25,9 +25,14 @@ BLOCK_ITEMS = 1024
 GATHER, HOLD = 4_000_000, 3_000_000
 
 
+#: What is trimmed and counts as a space.
+_SPACES = " \t\n\u000b\f\r\u00a0\u3000"
+
+
 def normal_term(c: Column) -> Column:
     """Trimmed, in lower case, each run of spaces, hyphens and underscores as one underscore; blank is null."""
-    t = F.regexp_replace(F.lower(F.regexp_replace(c, r"^[\s 　]+|[\s 　]+$", "")), r"[\s 　_-]+", "_")
+    t = F.translate(F.lower(F.btrim(c, F.lit(_SPACES))), _SPACES + "-", "_" * (len(_SPACES) + 1))
+    t = F.when(F.contains(t, F.lit("__")), F.regexp_replace(t, "_+", "_")).otherwise(t)
     return F.when(~t.isin("", "_"), t)
 
 
@@ -41,16 +46,10 @@ def baskets(relationships: DataFrame, types: list[str]) -> DataFrame:
 def _dense_ids(df: DataFrame) -> DataFrame:
     """The materialized frame with consecutive ids from 0, without a single-task sort."""
     kept = materialize(df.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = kept.groupBy(part.alias("_part")).count().orderBy("_part").collect()  # one row per partition
-    starts, total = [], 0
-    for r in sizes:
-        starts += [F.lit(r["_part"]), F.lit(total)]
-        total += r["count"]
-    if not sizes:
-        return kept.withColumn("id", F.col("_at")).drop("_at")
-    first = F.element_at(F.create_map(*starts), part)
-    return kept.withColumn("id", first + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
+    sizes = kept.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("_n"))  # one row per partition
+    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    numbered = kept.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(starts), "_part")
+    return numbered.withColumn("id", F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_start")
 
 
 def _sum(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,9 +114,13 @@ def pair_lift(items: DataFrame, least: int, lift: float, block: int = BLOCK_ITEM
     items = materialize(items)
     n = items.agg(F.count_distinct("basket")).first()[0]
     stats = _dense_ids(items.groupBy("item").agg(F.count("*").alias("n_item")).filter((F.col("n_item") >= least) & (F.col("n_item") * lift <= n)))
-    coded = items.join(stats.select("item", "id"), "item").select("basket", "id")
-    sizes = coded.groupBy("basket").agg(F.count("*").alias("size")).filter("size > 1")
-    sized = coded.join(sizes, "basket").withColumn("k", F.ceil(F.col("size") / block).cast("int"))
+    known, small = bounded_broadcast(stats, size=F.length("item") + 24)
+    ids = known.select("item", "id")
+    coded = (items.join(ids, "item") if small else salted_join(items, ids, ["item"], "inner", by="basket")).select("basket", "id")
+    # Only baskets of more than one block need their size; there is at most one for every ``block`` rows.
+    sizes, few = bounded_broadcast(coded.groupBy("basket").agg(F.count("*").alias("size")).filter(F.col("size") > block), size=F.length(F.col("basket").cast("string")) + 16)
+    sized = coded.join(sizes, "basket", "left") if few else salted_join(coded, sizes, ["basket"], "left", by="id")
+    sized = sized.withColumn("k", F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int"))
     sized = sized.withColumn("i", F.pmod(F.hash("id"), F.col("k")))
     blocks = sized.groupBy("basket", "k", "i").agg(F.collect_list("id").alias("ids"))
     small = blocks.filter("k = 1").select(F.col("ids").alias("x"), F.lit(None).cast("array<bigint>").alias("y"))
@@ -128,9 +131,10 @@ def pair_lift(items: DataFrame, least: int, lift: float, block: int = BLOCK_ITEM
     large = meet.select(F.col("two")[0]["ids"].alias("x"), F.when(F.col("lo") != F.col("hi"), F.try_element_at("two", F.lit(2))["ids"]).alias("y"))
     gram = small.unionByName(large).mapInPandas(_gram, "a long, b long, n long")
     counts = gram.groupBy("a", "b").agg(F.sum("n").alias("n_ab")).filter(F.col("n_ab") >= least)
-    one = stats.select(F.col("id").alias("a"), F.col("item").alias("item_a"), F.col("n_item").alias("one"))
-    two = stats.select(F.col("id").alias("b"), F.col("item").alias("item_b"), F.col("n_item").alias("other"))
-    pairs = counts.join(one, "a").join(two, "b").filter(F.col("n_ab") * n >= lift * F.col("one") * F.col("other"))
+    one = known.select(F.col("id").alias("a"), F.col("item").alias("item_a"), F.col("n_item").alias("one"))
+    two = known.select(F.col("id").alias("b"), F.col("item").alias("item_b"), F.col("n_item").alias("other"))
+    pairs = counts.join(one, "a").join(two, "b") if small else salted_join(salted_join(counts, one, ["a"], "inner", by="b"), two, ["b"], "inner", by="a")
+    pairs = pairs.filter(F.col("n_ab") * n >= lift * F.col("one") * F.col("other"))
     ordered = F.col("item_a") < F.col("item_b")
     return pairs.select(
         F.when(ordered, F.col("item_a")).otherwise(F.col("item_b")).alias("term_a"),
