@@ -1,22 +1,25 @@
 """Sparse embeddings ``(doc, idx, w)`` and vector search.
 
-Embedders are plans of joins and aggregations; a dense vector is only built where a caller asks for one."""
+Features are counted inside the row, in Arrow batches, so that texts don't move and a document's vector needs no
+shuffle; a dense vector is only built where a caller asks for one. Keys are meant to be unique: rows of one key are
+embedded apart. Null texts are empty ones."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections import Counter
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import bounded_broadcast, by_key
-from .lexical import idf, ranked
-
-#: Queries of one block of dense search; a block's matrix is what each task holds.
-QUERY_BLOCK = 1024
+from ..runtime import bounded_broadcast, salted_join
+from . import scan
+from . import vocabulary as V
+from .lexical import idf
+from .scan import dense as dense_topk  # noqa: F401
 
 
 def unit(vectors: DataFrame, doc: str = "doc") -> DataFrame:
@@ -25,13 +28,24 @@ def unit(vectors: DataFrame, doc: str = "doc") -> DataFrame:
     return vectors.withColumn("_norm", norm).filter("_norm > 0").withColumn("w", F.col("w") / F.col("_norm")).drop("_norm")
 
 
+def _rows(docs: DataFrame, key: str, text: str, make: Callable[[], Callable[[str], list[tuple]]], columns: str) -> DataFrame:
+    """``(doc, *columns)`` of what a function gives for each lower-case text; ``make`` builds it once in a task."""
+    kind = docs.schema[key].dataType.simpleString()
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = make()
+        for x in batches:
+            for i in range(0, len(x), 1000):
+                out = [(k, *r) for k, low in zip(x["doc"].iloc[i : i + 1000], x["low"].iloc[i : i + 1000], strict=True) for r in of(low)]
+                yield pd.DataFrame(out, columns=["doc", *names]).astype({"doc": x["doc"].dtype})
+
+    return docs.select(F.col(key).alias("doc"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low")).mapInPandas(run, f"doc {kind}, {columns}")
+
+
 def features(docs: DataFrame, key: str, text: str, stop_first: bool = True) -> DataFrame:
     """``(doc, term, tf)`` of words and adjacent pairs, without stop words (dropped before or after pairing)."""
-    words = T.tokens(F.coalesce(F.col(text), F.lit("")))
-    base = by_key(docs.select(F.col(key).alias("doc"), F.col(text)), "doc").select("doc", (T.without_stopwords(words) if stop_first else words).alias("words"))
-    every = F.concat("words", T.bigrams(F.col("words")))
-    rows = base.select("doc", F.explode(every if stop_first else T.without_stopwords(every)).alias("term"))
-    return rows.groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    return _rows(docs, key, text, lambda: lambda low: list(scan.features_of(low, stop_first).items()), "term string, tf long")
 
 
 def hash_slot(term: Column, n: int) -> tuple[Column, Column]:
@@ -47,40 +61,74 @@ def hash_slot(term: Column, n: int) -> tuple[Column, Column]:
     return at.cast("int"), F.when(even, 1.0).otherwise(-1.0)
 
 
+def boosted_terms(terms: list[str]) -> list[str]:
+    """The terms of a vocabulary and their single words, in lower case, as those whose weight is boosted."""
+    low = [t.lower().strip() for t in terms]
+    return sorted({t for t in low if t} | {w for t in low for w in t.split()})
+
+
 def hash_embed(docs: DataFrame, key: str, text: str, n: int = 1024, boosted: list[str] | None = None) -> DataFrame:
     """Signed feature hashing with sublinear counts; terms of ``boosted`` weigh twice."""
-    at, sign = hash_slot(F.col("term"), n)
-    boost = F.when(F.regexp_replace("term", "_", " ").isin(boosted) | F.col("term").isin(boosted), 2.0).otherwise(1.0) if boosted else F.lit(1.0)
-    rows = features(docs, key, text).select("doc", at.alias("idx"), (sign * (1 + F.log("tf")) * boost).alias("w"))
-    return unit(rows.groupBy("doc", "idx").agg(F.sum("w").alias("w")))
+    wanted = frozenset(boosted or ())
+
+    def make():
+        slots = scan.Slots(n)
+        return lambda low: list(scan.hashed(low, slots, wanted).items())
+
+    return _rows(docs, key, text, make, "idx int, w double")
 
 
 def tfidf_fit(docs: DataFrame, key: str, text: str, min_df: int = 1, most: int = 10_000) -> DataFrame:
     """Vocabulary ``(term, df, total, idf, idx)``: the terms with the highest counts, ties by name."""
     n = docs.agg(F.count("*").alias("n")).scalar()
     stats = features(docs, key, text, stop_first=False).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
-    # The global order is taken over the best of each of many buckets, not over all terms in one task.
-    bucket = Window.partitionBy(F.pmod(F.hash("term"), F.lit(64))).orderBy(F.desc("total"), "term")
-    best = stats.withColumn("_r", F.row_number().over(bucket)).filter(F.col("_r") <= most).drop("_r")
-    return best.orderBy(F.desc("total"), "term").limit(most).withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1).withColumn("idx", F.row_number().over(Window.orderBy(F.desc("total"), "term")) - 1)
+    best = stats.orderBy(F.desc("total"), "term").limit(most)  # the best of each task, then of all
+    return best.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1).withColumn("idx", F.row_number().over(Window.orderBy(F.desc("total"), "term")) - 1)
 
 
-def tfidf_transform(docs: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
-    known, _ = bounded_broadcast(vocabulary.select("term", "idf", "idx"))
-    rows = features(docs, key, text, stop_first=False).join(known, "term")
-    return unit(rows.select("doc", "idx", ((1 + F.log("tf")) * F.col("idf")).alias("w")))
+def tfidf_transform(docs: DataFrame, key: str, text: str, vocabulary: DataFrame, boosted: list[str] | None = None) -> DataFrame:
+    """``(doc, idx, w)`` of unit length; a vocabulary beyond what is broadcast is joined by term. Terms of ``boosted``
+    weigh twice."""
+    wanted = frozenset(boosted or ())
+    known, small = bounded_broadcast(vocabulary.select("term", "idf", "idx"), size=F.length("term") + 100)
+    if not small:
+        twice = F.when(F.col("term").isin(*wanted), 2.0).otherwise(1.0) if wanted else F.lit(1.0)
+        rows = salted_join(features(docs, key, text, stop_first=False), known, ["term"], "inner", by="doc")
+        return unit(rows.select("doc", "idx", ((1 + F.log("tf")) * F.col("idf") * twice).alias("w")))
+    table = {r["term"]: (r["idx"], r["idf"] * (2.0 if r["term"] in wanted else 1.0)) for r in known.collect()}
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def make():
+        weights = shared.value
+
+        def of(low: str) -> list[tuple[int, float]]:
+            found = [(weights[t], tf) for t, tf in scan.features_of(low, False).items() if t in weights]
+            out = [(idx, (1 + math.log(tf)) * idf) for (idx, idf), tf in found]
+            norm = math.sqrt(sum(w * w for _, w in out))
+            return [(idx, w / norm) for idx, w in out] if norm > 0 else []
+
+        return of
+
+    return _rows(docs, key, text, make, "idx int, w double")
 
 
 def bm25_embed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """BM25 weights as a vector over terms, ``(doc, term, w)``."""
-    rows = by_key(docs.select(F.col(key).alias("doc"), F.col(text)), "doc").select("doc", T.tokens(F.coalesce(F.col(text), F.lit(""))).alias("words")).withColumn("dl", F.size("words"))
-    corpus = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = rows.select("doc", "dl", F.explode("words").alias("term")).groupBy("doc", "dl", "term").agg(F.count("*").alias("tf"))
+
+    def make():
+        def of(low: str) -> list[tuple[str, int, int]]:
+            words = scan._TOKEN.findall(low)
+            return [(w, len(words), tf) for w, tf in Counter(words).items()]
+
+        return of
+
+    tf = _rows(docs, key, text, make, "term string, dl int, tf long")
+    both = tf.agg(F.sum("tf").alias("words")).select("words").scalar()
+    n = docs.agg(F.count("*").alias("n")).scalar()
+    avgdl = both / F.greatest(n, F.lit(1))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    both = corpus.select(F.struct("n", "avgdl")).scalar()
-    n, avgdl = both["n"], both["avgdl"]
     w = idf(n, F.col("df")) * F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (0.25 + 0.75 * F.col("dl") / avgdl))
-    return unit(tf.join(df, "term").select("doc", "term", w.alias("w")))
+    return unit(salted_join(tf, df, ["term"], "inner", by="doc").select("doc", "term", w.alias("w")))
 
 
 def concept_embed(matches: DataFrame) -> DataFrame:
@@ -94,11 +142,14 @@ def concept_embed(matches: DataFrame) -> DataFrame:
 
 
 def max_dim_embed(docs: DataFrame, key: str, text: str, dims: DataFrame) -> DataFrame:
-    """Largest weight per dimension among the terms that the text contains; unit length. ``dims``: term, dim, weight
-    (a table of fixed size, broadcast)."""
-    low = docs.select(F.col(key).alias("doc"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low"))
-    hit = low.join(F.broadcast(dims), F.col("low").contains(F.lower("term"))).groupBy("doc", "dim").agg(F.max("weight").alias("w"))
-    return unit(hit)
+    """Largest weight per dimension among the terms that the text contains; unit length. ``dims``: term, dim, weight."""
+    none = F.array().cast("array<string>")
+    low = dims.select(F.lower(F.trim("term")).alias("term"), "dim", "weight").groupBy("term", "dim").agg(F.max("weight").alias("weight"))
+    terms = low.select(F.lit(0).cast("long").alias("entry"), F.col("term").alias("canonical"), F.array("term").alias("terms"), none.alias("related"), none.alias("capabilities"), F.lit(None).cast("string").alias("category")).distinct()
+    found = V.matches(docs, key, text, terms).select("doc", "term")
+    wide, small = bounded_broadcast(low, size=F.length("term") + 24)
+    joined = found.join(wide, "term") if small else salted_join(found, wide, ["term"], "inner", by="doc")
+    return unit(joined.groupBy("doc", "dim").agg(F.max("weight").alias("w")))
 
 
 def weighted_concat(first: DataFrame, second: DataFrame, share: float, offset: int) -> DataFrame:
@@ -116,40 +167,6 @@ def sparse_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     return vectors.join(queries.select(F.col("doc").alias("qid"), "idx", F.col("w").alias("v")), "idx").groupBy("qid", "doc").agg(F.sum(F.col("w") * F.col("v")).alias("score"))
 
 
-def dense_topk(vectors: DataFrame, key: str, vec: str, queries: DataFrame, qid: str, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
-    """``(qid, doc, score, rank)`` by cosine, exhaustively: a stated set of queries, in blocks, against all rows.
-
-    Each task keeps its best k per query, so only those are shuffled. Null vectors are left out."""
-    spark = vectors.sparkSession
-    asked = queries.select(F.col(qid).cast("long").alias("qid"), F.col(vec).cast("array<double>").alias("v")).filter("v is not null").distinct()
-    blocks = max(1, -(-asked.count() // block))
-    numbered = asked.withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    rows = vectors.select(F.col(key).cast("long").alias("doc"), F.col(vec).cast("array<double>").alias("v")).filter("v is not null")
-    out = None
-    for b in range(blocks):
-        pdf = numbered.filter(F.col("block") == b).select("qid", "v").toPandas()
-        if not len(pdf):
-            continue
-        matrix = np.stack(pdf["v"].to_numpy())
-        shared = spark.sparkContext.broadcast((pdf["qid"].to_numpy(), matrix, np.sqrt((matrix * matrix).sum(1))))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q, norms = shared.value
-            for x in batches:
-                v = np.stack(x["v"].to_numpy())
-                s = (q @ v.T) / (norms[:, None] * np.sqrt((v * v).sum(1))[None, :] + 1e-8)
-                doc = x["doc"].to_numpy()
-                m = min(k, len(doc))
-                order = np.lexsort((np.broadcast_to(doc, s.shape), -np.round(s, 9)), axis=1)[:, :m]
-                yield pd.DataFrame({"qid": np.repeat(ids, m), "doc": doc[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-        part = rows.mapInPandas(best, "qid long, doc long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "qid long, doc long, score double, rank int")
-    return ranked(out, k)
-
-
 def custom_embed(docs: DataFrame, key: str, text: str, function) -> DataFrame:
     """``(doc, idx, w)`` of the non-zero values of a caller's ``function``: list of texts -> list of vectors.
 
@@ -166,16 +183,24 @@ def custom_embed(docs: DataFrame, key: str, text: str, function) -> DataFrame:
 
 
 def embedder(kind: str, **given):
-    """An embedder by name, as a function of (docs, key, text). ``given``: ``n`` for hash; ``vocabulary`` (fitted) for
-    tfidf; ``dims`` for payment; ``dims``, ``n`` and ``share`` for payment_hybrid; ``function`` for custom."""
+    """An embedder by name, as a function of (docs, key, text). ``given``: ``n`` and ``boosted`` for hash; a fitted
+    ``vocabulary`` for tfidf; a ``concepts`` vocabulary for domain; ``concepts``, ``text`` (hash or tfidf), ``n`` and
+    ``share`` for hybrid, whose result is (doc, dim, w) with dimensions ``c:<name>`` and ``t:<index>``; ``dims`` for
+    payment; ``dims``, ``n`` and ``share`` for payment_hybrid; ``function`` for custom."""
     if kind == "hash":
         return lambda d, k, t: hash_embed(d, k, t, given.get("n", 1024), given.get("boosted"))
     if kind == "tfidf":
         if "vocabulary" not in given:
             raise ValueError("a tfidf embedder needs a fitted vocabulary")
-        return lambda d, k, t: tfidf_transform(d, k, t, given["vocabulary"])
+        return lambda d, k, t: tfidf_transform(d, k, t, given["vocabulary"], given.get("boosted"))
     if kind == "bm25":
         return bm25_embed
+    if kind in ("domain", "hybrid") and "concepts" not in given:
+        raise ValueError(f"a {kind} embedder needs a vocabulary of concepts")
+    if kind == "domain":
+        return lambda d, k, t: concept_embed(V.matches(d, k, t, given["concepts"]))
+    if kind == "hybrid":
+        return lambda d, k, t: domain_hybrid(d, k, t, given["concepts"], given.get("n", 512), given.get("share", 0.6), given.get("vocabulary"))
     if kind == "payment":
         return lambda d, k, t: max_dim_embed(d, k, t, given["dims"])
     if kind == "payment_hybrid":
@@ -184,3 +209,10 @@ def embedder(kind: str, **given):
     if kind == "custom":
         return lambda d, k, t: custom_embed(d, k, t, given["function"])
     raise ValueError(f"no embedder is called {kind}")
+
+
+def domain_hybrid(docs: DataFrame, key: str, text: str, concepts: DataFrame, n: int = 512, share: float = 0.6, vocabulary: DataFrame | None = None) -> DataFrame:
+    """``(doc, dim, w)``: concept dimensions at ``share``, hashed (or, with a fitted vocabulary, tfidf) ones at the rest."""
+    first = concept_embed(V.matches(docs, key, text, concepts)).select("doc", F.concat(F.lit("c:"), "dim").alias("dim"), (F.col("w") * share).alias("w"))
+    other = hash_embed(docs, key, text, n) if vocabulary is None else tfidf_transform(docs, key, text, vocabulary)
+    return first.unionByName(other.select("doc", F.concat(F.lit("t:"), F.col("idx").cast("string")).alias("dim"), (F.col("w") * (1 - share)).alias("w")))

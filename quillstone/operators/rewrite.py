@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def decompose(queries: DataFrame, qid: str, text: str, vocabulary: DataFrame, re
     Only queries of two concepts and ``least_words`` words are split. A concept joins the least of its neighbours in
     the same query, by ``related`` (source, target; lower-case concepts in both directions)."""
     asked = queries.select(F.col(qid).alias("qid"), F.col(text).alias("text"))
-    found = V.matches(asked, "qid", "text", vocabulary).select(F.col("doc").alias("qid"), F.lower("canonical").alias("concept"), "term")
+    found = V.matches(asked, "qid", "text", vocabulary).select(F.col("doc").alias("qid"), "concept", "term")
     many = found.groupBy("qid").agg(F.count("*").alias("n")).filter("n >= 2").join(asked.filter(F.size(F.split(F.trim("text"), r"[ \t\r\n]+")) >= least_words), "qid", "left_semi")
     found = found.join(many.select("qid"), "qid", "left_semi")
     other = found.select("qid", F.col("concept").alias("target"))
@@ -30,11 +32,13 @@ def decompose(queries: DataFrame, qid: str, text: str, vocabulary: DataFrame, re
     return asked.select("qid", F.lit(0).alias("part"), F.col("text").alias("query")).unionByName(parts.select("qid", "part", "query"))
 
 
-def search_parts(index: lexical.Index, parts: DataFrame, files: DataFrame, k: int = 10, rrf_k: int = 60) -> DataFrame:
+def search_parts(index: lexical.Index | Callable[[DataFrame, str, str, int], DataFrame], parts: DataFrame, files: DataFrame, k: int = 10, rrf_k: int = 60) -> DataFrame:
     """One plan for all parts of all queries: 2k results each, reciprocal ranks per query, 0..1, best document of each
-    file. ``files``: ``(doc, file)``. ``(qid, doc, file, score, rank)``."""
+    file. ``index`` is an index or a function of (queries, qid, text, k). ``files``: ``(doc, file)``. ``(qid, doc, file,
+    score, rank)``."""
     keyed = parts.withColumn("id", F.concat_ws(":", "qid", "part"))
-    found = lexical.search(index, keyed.select("id", "query"), "id", "query", 2 * k).withColumnRenamed("qid", "id")
+    ask = keyed.select("id", "query"), "id", "query", 2 * k
+    found = (lexical.search(index, *ask) if isinstance(index, lexical.Index) else index(*ask)).withColumnRenamed("qid", "id")
     several = found.join(keyed.select("id", F.col("qid").alias("_q"), F.col("part").cast("string").alias("list")), "id").select(F.col("_q").alias("qid"), "list", "doc", "score")
     scored = fusion.min_max(fusion.rrf(several, rrf_k)).join(files, "doc", "left")
     return lexical.ranked(fusion.best_per_file(scored, "file"), k).select("qid", "doc", "file", "score", "rank")

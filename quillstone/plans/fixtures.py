@@ -1,21 +1,10 @@
-"""Inline vocabulary, dimensions and term graph that the queries and their SQL share."""
+"""Values that the queries and their SQL share."""
 
 from __future__ import annotations
 
-#: entry, canonical, terms, related, capabilities, category
-VOCABULARY = [
-    (1, "wire transfer", ["wire", "payout", "wire transfer"], ["remittance", "beneficiary", "charge", "fee"], ["Payment Processing"], "payments"),
-    (2, "settlement", ["settlement", "clearing", "netting"], ["position", "nostro", "vostro"], ["Settlement Services", "Payment Processing"], "settlement"),
-    (3, "screening", ["screening", "sanction"], ["alert", "hold"], ["Risk Control"], "risk"),
-    (4, "ledger", ["ledger", "posting", "entry"], ["balance", "account", "audit"], ["Accounting"], "accounting"),
-    (5, "liquidity", ["collateral", "reserve", "limit"], ["position"], ["Treasury", "Risk Control"], "treasury"),
-    (6, "exception handling", ["exception", "repair", "recall"], ["queue", "refund", "reversal"], ["Operations"], "operations"),
-    (7, "mandate", ["mandate", "approval"], ["account"], [], "operations"),
-    (8, "archive", ["archive", "tape"], ["release"], ["Archiving"], None),
-]
-#: term, dim, weight
-DIMENSIONS = [("wire", 0, 1.0), ("transfer", 0, 0.8), ("settlement", 1, 1.0), ("clearing", 1, 0.7), ("nostro", 2, 0.9), ("vostro", 2, 0.6), ("ledger", 3, 1.0), ("balance", 3, 0.5), ("sanction", 4, 1.0), ("screening", 4, 0.9), ("fee", 5, 0.4), ("charge", 5, 0.6)]
 GREP_WORDS = ["nostro", "sanction", "ledger"]
+#: A capability that searches are narrowed to.
+CAPABILITY = "Fee Processing"
 
 
 def _sql(value: object) -> str:
@@ -30,7 +19,3 @@ def _sql(value: object) -> str:
 
 def values(rows: list[tuple]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in rows) + ")"
-
-
-VOCAB_SQL = f"vocab AS (SELECT * FROM {values(VOCABULARY)} t(entry, canonical, terms, related, capabilities, category))"
-DIMS_SQL = f"dims AS (SELECT term, dim, weight::DOUBLE AS weight FROM {values(DIMENSIONS)} t(term, dim, weight))"

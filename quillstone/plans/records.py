@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.loglines import log_entries
 from ..operators.packed import split_packed
 from ..runtime import spread, table
+from . import packed_sql
 
 PACKED_FIELDS = ["keywords", "related_keywords", "business_capability"]
 
@@ -20,4 +21,4 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
-SQL: dict[str, str] = {}
+SQL = packed_sql.SQL

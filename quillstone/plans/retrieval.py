@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import embed, fusion, lexical, search
+from ..operators import embed, fusion, lexical, scan, search
 from ..operators import vocabulary as V
-from ..runtime import table
-from .fixtures import DIMENSIONS, DIMS_SQL, GREP_WORDS, VOCAB_SQL, VOCABULARY
+from ..runtime import materialize, spread, table
+from . import packed_sql
+from .fixtures import CAPABILITY, GREP_WORDS
 
 R = lambda c: F.round(c, 6)
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", "text", "lang", "source", "source_type", "file_path")
+    return spread(table(s, d, "documents").select("doc_id", "text", "lang", "source", "source_type", "file_path"))
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
@@ -23,12 +24,13 @@ def _asked(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "keywords").filter("entry_id % 50 = 0 and description is not null").select(F.col("entry_id").alias("qid"), F.col("description").alias("q")).distinct()
 
 
-def _vocab(s: SparkSession) -> DataFrame:
-    return V.from_rows(s, VOCABULARY)
+def _vocab(s: SparkSession, d: str) -> DataFrame:
+    """The vocabulary of the whole keywords table; read several times by a query, so made once."""
+    return materialize(V.from_packed(spread(table(s, d, "keywords")), "entry_id", "keywords", "related_keywords", "business_capability", "metadata"))
 
 
-def _index(s: SparkSession, d: str) -> DataFrame:
-    return V.concept_index(V.matches(_docs(s, d), "doc_id", "text", _vocab(s)))
+def _index(s: SparkSession, d: str, vocab: DataFrame | None = None) -> DataFrame:
+    return V.concept_index(V.matches(_docs(s, d), "doc_id", "text", _vocab(s, d) if vocab is None else vocab))
 
 
 # Text functions.
@@ -82,11 +84,20 @@ def _built(s, d):
     return lexical.build(_docs(s, d), "doc_id", "text")
 
 
+def _ranks(s, d, k):
+    return scan.lexical(_docs(s, d), "doc_id", "text", _asked(s, d), "qid", "q", k)
+
+
 def bm25_index_stats(s, d):
     return lexical.statistics(_built(s, d))
 
 
 def bm25_topk(s, d):
+    return _ranks(s, d, 10).select("qid", "doc", R("score").alias("score"), "rank")
+
+
+def bm25_index_topk(s, d):
+    """The same by an index, as it is stored."""
     return lexical.search(_built(s, d), _asked(s, d), "qid", "q", 10).select("qid", "doc", R("score").alias("score"), "rank")
 
 
@@ -108,8 +119,7 @@ def hash_embed_sparse(s, d):
 
 
 def hash_embed_topk(s, d):
-    asked = embed.hash_embed(_asked(s, d), "qid", "q")
-    return lexical.ranked(embed.sparse_scores(embed.hash_embed(_docs(s, d), "doc_id", "text"), asked), 10).select("qid", "doc", R("score").alias("score"), "rank")
+    return scan.vector(_docs(s, d), "doc_id", "text", _asked(s, d), "qid", "q", 10).select("qid", "doc", R("score").alias("score"), "rank")
 
 
 def tfidf_fit(s, d):
@@ -126,27 +136,36 @@ def bm25_embed(s, d):
 
 
 def concept_embed(s, d):
-    return embed.concept_embed(V.matches(_docs(s, d), "doc_id", "text", _vocab(s))).select("doc", "dim", R("w").alias("w"))
+    return embed.concept_embed(V.matches(_docs(s, d), "doc_id", "text", _vocab(s, d))).select("doc", "dim", R("w").alias("w"))
 
 
-def _dims(s):
-    return s.createDataFrame(DIMENSIONS, "term string, dim int, weight double")
+def _dims(s, d):
+    """A dimension for each category, the terms of its entries weighted by their confidence."""
+    entries = table(s, d, "keywords").select(F.col("entry_id").alias("entry"), F.coalesce("confidence", F.lit(1.0)).alias("weight")).distinct()
+    terms = _vocab(s, d).filter("category is not null").select("entry", "category", F.explode("terms").alias("term"))
+    order = terms.select("category").distinct().withColumn("dim", F.row_number().over(Window.orderBy("category")) - 1)  # a row for each category
+    return terms.join(entries, "entry").join(order, "category").select("term", "dim", "weight")
 
 
 def maxdim_embed(s, d):
-    return embed.max_dim_embed(_docs(s, d), "doc_id", "text", _dims(s)).select("doc", "dim", R("w").alias("w"))
+    return embed.max_dim_embed(_docs(s, d), "doc_id", "text", _dims(s, d)).select("doc", "dim", R("w").alias("w"))
 
 
 def hybrid_embed(s, d):
     docs = _docs(s, d)
-    first = embed.max_dim_embed(docs, "doc_id", "text", _dims(s)).withColumnRenamed("dim", "idx")
+    first = embed.max_dim_embed(docs, "doc_id", "text", _dims(s, d)).withColumnRenamed("dim", "idx")
     return embed.weighted_concat(first, embed.hash_embed(docs, "doc_id", "text", 512), 0.7, 80).select("doc", "idx", R("w").alias("w"))
 
 
+def domain_hybrid_embed(s, d):
+    """Concept dimensions at 0.6 and hashed ones at 0.4, by the factory."""
+    return embed.embedder("hybrid", concepts=_vocab(s, d))(_docs(s, d), "doc_id", "text").select("doc", "dim", R("w").alias("w"))
+
+
 def dim_coverage(s, d):
     docs = _docs(s, d)
     n = docs.agg(F.count("*").alias("n")).scalar()
-    return embed.coverage(embed.max_dim_embed(docs, "doc_id", "text", _dims(s)), "dim", n).select("dim", "active", R("mean_w").alias("mean_w"), R("pct").alias("pct"))
+    return embed.coverage(embed.max_dim_embed(docs, "doc_id", "text", _dims(s, d)), "dim", n).select("dim", "active", R("mean_w").alias("mean_w"), R("pct").alias("pct"))
 
 
 def explain_embedding(s, d):
@@ -157,15 +176,21 @@ def explain_embedding(s, d):
 
 
 def vocab_match(s, d):
-    return V.matches(_docs(s, d), "doc_id", "text", _vocab(s)).select("doc", "canonical", "term", "start", "end", F.md5(F.col("context").cast("binary")).alias("context"))
+    return V.matches(_docs(s, d), "doc_id", "text", _vocab(s, d), 50).select("doc", "canonical", "term", "entry", "start", "end", F.md5(F.col("context").cast("binary")).alias("context"))
 
 
 def vocab_expand(s, d):
-    return V.expand(_asked(s, d), "qid", "q", _vocab(s))
+    return V.expand(_asked(s, d), "qid", "q", _vocab(s, d))
 
 
 def vocab_stats(s, d):
-    return V.statistics(_vocab(s))
+    return V.statistics(_vocab(s, d))
+
+
+def vocab_lookup(s, d):
+    """Entries of exact terms: those of the term graph, in any case."""
+    words = table(s, d, "relationships").filter("source_term is not null").select(F.col("source_term").alias("word")).distinct()
+    return V.keyword_matches(words, "word", _vocab(s, d)).select("word", "term", "entry", "canonical")
 
 
 def concept_index(s, d):
@@ -173,24 +198,24 @@ def concept_index(s, d):
 
 
 def capability_search(s, d):
-    return V.with_capability(_index(s, d), "Risk Control")
+    return V.with_capability(_index(s, d), CAPABILITY)
 
 
 def capability_counts(s, d):
-    return V.capability_counts(_vocab(s), _index(s, d))
+    vocab = _vocab(s, d)
+    return V.capability_counts(vocab, _index(s, d, vocab))
 
 
 def concept_score(s, d):
-    return V.concept_scores(_asked(s, d), "qid", "q", _vocab(s), _index(s, d)).select("qid", "doc", R("score").alias("score"))
+    vocab = _vocab(s, d)
+    return V.concept_scores(_asked(s, d), "qid", "q", vocab, _index(s, d, vocab)).select("qid", "doc", R("score").alias("score"))
 
 
 # Fusion and hybrid search.
 
 
 def _two_lists(s, d):
-    words = lexical.search(_built(s, d), _asked(s, d), "qid", "q", 30)
-    vectors = lexical.ranked(embed.sparse_scores(embed.hash_embed(_docs(s, d), "doc_id", "text"), embed.hash_embed(_asked(s, d), "qid", "q")), 30)
-    return fusion.lists(bm25=words, vector=vectors)
+    return scan.search(_docs(s, d), "doc_id", "text", _asked(s, d), "qid", "q", 30, ("bm25", "vector")).select("qid", "list", "doc", "score")
 
 
 def rrf_fuse(s, d):
@@ -202,17 +227,26 @@ def weighted_fuse(s, d):
 
 
 def hybrid_search(s, d):
-    return search.hybrid(_docs(s, d), "doc_id", "text", _asked(s, d), "qid", "q", _vocab(s)).select("qid", "doc", R("score").alias("score"), "method", "rank")
+    return search.hybrid(_docs(s, d), "doc_id", "text", _asked(s, d), "qid", "q", _vocab(s, d)).select("qid", "doc", R("score").alias("score"), "method", "rank")
 
 
 def filtered_search(s, d):
-    return search.hybrid(_docs(s, d), "doc_id", "text", _asked(s, d), "qid", "q", _vocab(s), only=F.col("source_type").isin("document", "log")).select("qid", "doc", R("score").alias("score"), "method", "rank")
+    return search.hybrid(_docs(s, d), "doc_id", "text", _asked(s, d), "qid", "q", _vocab(s, d), only=F.col("source_type").isin("document", "log")).select("qid", "doc", R("score").alias("score"), "method", "rank")
+
+
+def capability_filtered_search(s, d):
+    """Weighted scores, and the lists of texts narrowed to documents of a capability."""
+    return search.hybrid(_docs(s, d), "doc_id", "text", _asked(s, d), "qid", "q", _vocab(s, d), capabilities=[CAPABILITY], use_rrf=False).select("qid", "doc", R("score").alias("score"), "method", "rank")
+
+
+def matched_concepts(s, d):
+    vocab = _vocab(s, d)
+    return V.matched_concepts(_ranks(s, d, 10), _asked(s, d), "qid", "q", vocab, _index(s, d, vocab)).select("qid", "doc", "rank", "concepts", "capabilities")
 
 
 def cross_reference(s, d):
-    primary = lexical.search(_built(s, d), _asked(s, d), "qid", "q", 10)
     kinds = _docs(s, d).select(F.col("doc_id").alias("doc"), F.col("source_type").alias("kind"))
-    return search.cross_reference(primary, _index(s, d), kinds, "code").select("qid", "doc", "shared", "rank")
+    return search.cross_reference(_ranks(s, d, 10), _index(s, d), kinds, "code").select("qid", "doc", "shared", "rank")
 
 
 def keyword_score(s, d):
@@ -225,14 +259,14 @@ def grep_search(s, d):
 
 def combined_search(s, d):
     one = s.createDataFrame([(0, " ".join(GREP_WORDS))], "qid int, q string")
-    first = lexical.search(_built(s, d), one, "qid", "q", 10)
+    first = scan.lexical(_docs(s, d), "doc_id", "text", one, "qid", "q", 10)
     second = search.grep(_docs(s, d), "doc_id", "text", "file_path", GREP_WORDS).select(F.lit(0).alias("qid"), "doc", "score")
     return search.combined(first, second).select("qid", "doc", R("score").alias("score"))
 
 
 def tfidf_boost(s, d):
     docs = _docs(s, d)
-    results = lexical.search(_built(s, d), _asked(s, d), "qid", "q", 10).join(docs.select(F.col("doc_id").alias("doc"), "text", F.col("file_path").alias("name")), "doc").withColumn("text", F.coalesce("text", F.lit("")))
+    results = _ranks(s, d, 10).join(docs.select(F.col("doc_id").alias("doc"), "text", F.col("file_path").alias("name")), "doc").withColumn("text", F.coalesce("text", F.lit("")))
     concepts = _index(s, d).groupBy("doc").agg(F.collect_set("concept").alias("concepts"))
     results = results.join(concepts, "doc", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>"))).drop("rank")
     fit = embed.tfidf_fit(docs, "doc_id", "text").select("term", "idf")
@@ -241,7 +275,7 @@ def tfidf_boost(s, d):
 
 
 def _by_source(s, d):
-    return lexical.search(_built(s, d), _asked(s, d), "qid", "q", 50).join(_docs(s, d).select(F.col("doc_id").alias("doc"), "source"), "doc")
+    return _ranks(s, d, 50).join(_docs(s, d).select(F.col("doc_id").alias("doc"), "source"), "doc")
 
 
 def file_dedup(s, d):
@@ -302,35 +336,42 @@ _VEC = f"{_DOCH}, {_ASKH}, vs AS (SELECT qh.doc AS qid, dh.doc, sum(dh.w * qh.w)
 
 
 def _matches(name: str, source: str, key: str, text: str) -> str:
-    return f"""{name}_v AS (SELECT lower(trim(t)) AS term, max_by(struct_pack(entry := entry, canonical := canonical, related := related, capabilities := capabilities, category := category), entry) AS e
-  FROM (SELECT *, unnest(terms) AS t FROM vocab) WHERE length(lower(trim(t))) >= 2 GROUP BY 1),
-{name}_h AS (SELECT {key} AS doc, {text} AS text, term, e.entry AS entry, e.canonical AS canonical, e.related AS related, e.capabilities AS capabilities, e.category AS category,
-  instr(lower({text}), term) - 1 AS start, instr(lower({text}), term) - 1 + length(term) AS "end" FROM {source} JOIN {name}_v ON contains(lower({text}), term)),
-{name} AS (SELECT * FROM {name}_h QUALIFY row_number() OVER (PARTITION BY doc, lower(canonical) ORDER BY "end", length(term) DESC, entry) = 1)"""
-
-
-_VM = f"{VOCAB_SQL}, {_matches('vm', 'documents', 'doc_id', 'text')}"
-_CI = f"{_VM}, ci AS (SELECT DISTINCT doc, lower(canonical) AS concept, unnest(CASE WHEN len(capabilities) = 0 THEN [NULL]::VARCHAR[] ELSE capabilities END) AS capability, category FROM vm)"
-_EXPAND = f"""{_matches('qm', 'asked', 'qid', 'q')},
-xr AS (SELECT doc, start, canonical, list_concat(CASE WHEN lower(canonical) <> term THEN [canonical] ELSE [] END, related[1:3]) AS adds FROM qm),
-xp AS (SELECT doc, start, canonical, unnest(adds) AS expansion, generate_subscripts(adds, 1) AS pos FROM xr),
-xf AS (SELECT doc, expansion, min(struct_pack(a := start, b := canonical, c := pos)) AS spot FROM xp GROUP BY ALL),
-xn AS (SELECT doc AS qid, row_number() OVER (PARTITION BY doc ORDER BY spot, expansion) AS n, expansion FROM xf)"""
+    return f"""{name}_v AS (SELECT term, concept, arg_min(struct_pack(entry := entry, canonical := canonical, capabilities := capabilities, category := category), entry) AS e
+  FROM (SELECT *, lower(trim(t)) AS term, lower(canonical) AS concept FROM (SELECT *, unnest(list_concat(terms, related)) AS t FROM vocab)) WHERE length(term) >= 2 GROUP BY term, concept),
+{name}_t AS (SELECT {key} AS doc, {text} AS text, term, instr(lower({text}), term) - 1 AS start, instr(lower({text}), term) - 1 + length(term) AS "end" FROM {source} JOIN (SELECT DISTINCT term FROM {name}_v) ON contains(lower({text}), term)),
+{name} AS (SELECT doc, text, term, start, "end", concept, e.entry AS entry, e.canonical AS canonical, e.capabilities AS capabilities, e.category AS category FROM {name}_t JOIN {name}_v USING (term)
+  QUALIFY row_number() OVER (PARTITION BY doc, concept ORDER BY "end", length(term) DESC, e.entry) = 1)"""
+
+
+_LOOKUP = "lk AS (SELECT lower(trim(t)) AS term, max(entry) AS entry, arg_max(canonical, entry) AS canonical FROM (SELECT *, unnest(list_concat(terms, related)) AS t FROM vocab) WHERE length(lower(trim(t))) >= 2 GROUP BY 1)"
+_VM = f"{packed_sql.VOCAB}, {_matches('vm', 'documents', 'doc_id', 'text')}"
+_CI = f"{_VM}, ci AS (SELECT DISTINCT doc, concept, unnest(CASE WHEN len(capabilities) = 0 THEN [NULL]::VARCHAR[] ELSE capabilities END) AS capability, category FROM vm)"
+_EXPAND = f"""{_LOOKUP}, {_matches('qm', 'asked', 'qid', 'q')},
+xl AS (SELECT lower(canonical) AS concept, arg_max(struct_pack(canonical := canonical, related := related), entry) AS v FROM vocab GROUP BY 1),
+xm AS (SELECT doc, qm.concept AS concept, term, row_number() OVER (PARTITION BY doc ORDER BY "end", length(term) DESC, entry, qm.concept) AS m, v FROM qm JOIN xl ON xl.concept = qm.concept),
+xr AS (SELECT doc, m, 0 AS k, v.canonical AS expansion FROM xm WHERE concept <> term UNION ALL SELECT doc, m, generate_subscripts(v.related[1:3], 1), unnest(v.related[1:3]) FROM xm),
+xf AS (SELECT *, row_number() OVER (PARTITION BY doc, lower(expansion) ORDER BY m, k) AS f FROM xr),
+xn AS (SELECT doc AS qid, row_number() OVER (PARTITION BY doc ORDER BY m, k) AS n, expansion FROM xf JOIN asked ON qid = doc WHERE k = 0 OR (f = 1 AND lower(expansion) <> lower(q)))"""
 _CONCEPT = f"""{_CI}, {_EXPAND},
-cw AS (SELECT doc AS qid, lower(canonical) AS concept, 1.0 AS w FROM qm UNION ALL
-  SELECT qid, lower(e.canonical), 0.5 FROM xn JOIN qm_v ON term = lower(trim(expansion))),
-cp AS (SELECT qid, doc, sum(w) AS score FROM cw JOIN (SELECT DISTINCT doc, concept FROM ci) USING (concept) GROUP BY ALL)"""
+cw AS (SELECT doc AS qid, concept, 1.0 AS w FROM qm UNION ALL
+  SELECT qid, lower(canonical), 0.5 FROM (SELECT qid, expansion FROM xn UNION ALL SELECT qid, q FROM asked) JOIN lk ON term = lower(expansion)),
+cp AS (SELECT qid, doc, sum(w)::DOUBLE AS score FROM cw JOIN (SELECT DISTINCT doc, concept FROM ci) USING (concept) GROUP BY ALL)"""
 _UNIT = "SELECT doc, {dim}, round(w / norm, 6) AS w FROM {s} JOIN (SELECT doc, sqrt(sum(w * w)) AS norm FROM {s} GROUP BY doc) USING (doc) WHERE norm > 0"
-_MAXDIM = f"{DIMS_SQL}, md AS (SELECT doc_id AS doc, dim, max(weight) AS w FROM documents JOIN dims ON contains(lower(text), term) GROUP BY ALL)"
+_MAXDIM = f"""{packed_sql.VOCAB}, dt AS (SELECT entry, category, unnest(terms) AS term FROM vocab WHERE category IS NOT NULL),
+dc AS (SELECT category, row_number() OVER (ORDER BY category) - 1 AS dim FROM (SELECT DISTINCT category FROM dt)),
+dims AS (SELECT lower(trim(term)) AS term, dim, max(weight) AS weight FROM dt JOIN dc USING (category) JOIN (SELECT DISTINCT entry_id AS entry, coalesce(confidence, 1.0) AS weight FROM keywords) USING (entry) WHERE length(lower(trim(term))) >= 2 GROUP BY ALL),
+md AS (SELECT doc_id AS doc, dim, max(weight) AS w FROM documents JOIN dims ON contains(lower(text), term) GROUP BY ALL)"""
 _RRF = """rr AS (SELECT qid, doc, sum(1.0 / (60 + r)) AS score, string_agg(DISTINCT list, '+' ORDER BY list) AS method FROM
   (SELECT *, row_number() OVER (PARTITION BY qid, list ORDER BY round(score, 9) DESC, doc) AS r FROM ls) GROUP BY ALL),
 rn AS (SELECT qid, doc, method, CASE WHEN max(score) OVER (PARTITION BY qid) > min(score) OVER (PARTITION BY qid)
   THEN (score - min(score) OVER (PARTITION BY qid)) / (max(score) OVER (PARTITION BY qid) - min(score) OVER (PARTITION BY qid)) ELSE 1.0 END AS score FROM rr)"""
 _TWO = f"ls AS (SELECT qid, 'bm25' AS list, doc, score FROM {_top('bm', 30)} UNION ALL SELECT qid, 'vector', doc, score FROM {_top('vs', 30)})"
-_THREE = f"ls AS (SELECT qid, 'bm25' AS list, doc, score FROM {_top('bm', 30)} UNION ALL SELECT qid, 'vector', doc, score FROM {_top('vs', 30)} UNION ALL SELECT qid, 'concept', doc, score FROM cp)"
-_HYBRID = f"WITH {_BM25}, {_VEC}, {_CONCEPT}, {_THREE}, {_RRF} SELECT qid, doc, round(score, 6) AS score, method, rank FROM {_top('rn', 10)}"
+_LISTS = lambda keep, told: f"ls AS (SELECT qid, 'bm25' AS list, doc, score FROM {_top(f'(FROM bm WHERE {told})', 30)} UNION ALL SELECT qid, 'vector', doc, score FROM {_top(f'(FROM vs WHERE {told})', 30)} UNION ALL SELECT qid, 'concept', doc, score FROM cp WHERE {keep})"
+_HYBRID = lambda keep: f"WITH {_BM25}, {_VEC}, {_CONCEPT}, {_LISTS(keep, keep)}, {_RRF} SELECT qid, doc, round(score, 6) AS score, method, rank FROM {_top('rn', 10)}"
+_WEIGHTED = """mm AS (SELECT *, min(score) OVER (PARTITION BY qid, list) AS lo, max(score) OVER (PARTITION BY qid, list) AS hi FROM ls),
+wf AS (SELECT qid, doc, sum(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END * CASE list {w} END) / {t} AS score, string_agg(DISTINCT list, '+' ORDER BY list) AS method FROM mm GROUP BY ALL)"""
 _FIT = f"""{_features('tf', 'documents', 'doc_id', 'text', False)},
-fs AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 2000),
+fs AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 10000),
 fit AS (SELECT term, df, total, ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1 AS idf, row_number() OVER (ORDER BY total DESC, term) - 1 AS idx FROM fs)"""
 _DENSE = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 s AS (SELECT q.vec_id AS qid, d.vec_id AS doc, list_dot_product(q.v, d.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v)) + 1e-8) AS score
@@ -387,17 +428,22 @@ SQL = {
     "maxdim_embed": f"WITH {_MAXDIM} " + _UNIT.format(dim="dim", s="md"),
     "hybrid_embed": f"WITH {_MAXDIM}, mu AS ({_UNIT.format(dim='dim', s='md').replace('round(w / norm, 6)', 'w / norm')}), {_hashed('dh', 'documents', 'doc_id', 'text', 512)} SELECT doc, dim AS idx, round(w * 0.7, 6) AS w FROM mu UNION ALL SELECT doc, idx + 80, round(w * (1 - 0.7), 6) FROM dh",
     "dim_coverage": f"WITH {_MAXDIM}, mu AS ({_UNIT.format(dim='dim', s='md').replace('round(w / norm, 6)', 'w / norm')}) SELECT dim, count(*) AS active, round(avg(w), 6) AS mean_w, round(100 * count(*) / (SELECT count(*) FROM documents), 6) AS pct FROM mu WHERE w > 0 GROUP BY dim",
-    "vocab_match": f"WITH {_VM} SELECT doc, canonical, term, start, \"end\", md5(substring(text, greatest(start + 1 - 50, 1), \"end\" - start + 50 + least(start, 50))) AS context FROM vm",
-    "vocab_expand": f"WITH {VOCAB_SQL}, {_ASKED}, {_EXPAND} SELECT qid, 0 AS n, q AS expansion FROM asked UNION ALL SELECT qid, n, expansion FROM xn",
-    "vocab_stats": f"WITH {VOCAB_SQL} SELECT count(*) AS entries, sum(len(terms))::BIGINT AS terms, round(avg(len(terms)), 2) AS terms_per_entry, count(DISTINCT category) AS categories FROM vocab",
+    "vocab_match": f"WITH {_VM} SELECT doc, canonical, term, entry, start, \"end\", md5(substring(text, greatest(start + 1 - 50, 1), \"end\" - start + 50 + least(start, 50))) AS context FROM vm",
+    "vocab_expand": f"WITH {packed_sql.VOCAB}, {_ASKED}, {_EXPAND} SELECT qid, 0 AS n, q AS expansion FROM asked UNION ALL SELECT qid, n, expansion FROM xn",
+    "vocab_stats": f"WITH {packed_sql.VOCAB}, {_LOOKUP}, cb AS (SELECT coalesce(category, '') AS c, count(*) AS n FROM vocab GROUP BY 1) SELECT (SELECT count(*) FROM vocab) AS entries, (SELECT count(*) FROM lk) AS terms, round((SELECT count(*) FROM lk) / (SELECT count(*) FROM vocab), 2) AS terms_per_entry, (SELECT count(*) FROM cb) AS categories, (SELECT count(DISTINCT x) FROM (SELECT unnest(capabilities) AS x FROM vocab)) AS capabilities, (SELECT string_agg(c || ':' || n, '|' ORDER BY n DESC, c) FROM (FROM cb ORDER BY n DESC, c LIMIT 10)) AS top_categories",
     "concept_index": f"WITH {_CI} SELECT concept, capability, category, count(*) AS docs FROM ci GROUP BY ALL",
-    "capability_search": f"WITH {_CI} SELECT DISTINCT doc FROM ci WHERE capability = 'Risk Control'",
+    "capability_search": f"WITH {_CI} SELECT DISTINCT doc FROM ci WHERE capability = '{CAPABILITY}'",
     "capability_counts": f"WITH {_CI}, a AS (SELECT DISTINCT unnest(capabilities) AS capability FROM vocab) SELECT a.capability, count(DISTINCT doc) AS docs FROM a LEFT JOIN ci ON ci.capability = a.capability GROUP BY 1",
     "concept_score": f"WITH {_ASKED}, {_CONCEPT} SELECT qid, doc, round(score, 6)::DOUBLE AS score FROM cp",
     "rrf_fuse": f"WITH {_BM25}, {_VEC}, {_TWO}, {_RRF} SELECT qid, doc, round(score, 6) AS score, method, rank FROM {_top('rn', 10)}",
-    "weighted_fuse": f"WITH {_BM25}, {_VEC}, {_TWO}, mm AS (SELECT *, min(score) OVER (PARTITION BY qid, list) AS lo, max(score) OVER (PARTITION BY qid, list) AS hi FROM ls), wf AS (SELECT qid, doc, sum(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END * CASE list WHEN 'bm25' THEN 0.4 ELSE 0.6 END) AS score FROM mm GROUP BY ALL) SELECT qid, doc, round(score, 6) AS score, rank FROM {_top('wf', 10)}",
-    "hybrid_search": _HYBRID,
-    "filtered_search": "WITH documents AS (SELECT * FROM documents_all WHERE source_type IN ('document', 'log')), ".replace("documents_all", "main.documents") + _HYBRID[5:],
+    "weighted_fuse": f"WITH {_BM25}, {_VEC}, {_TWO}, {_WEIGHTED.format(w="WHEN 'bm25' THEN 0.4 ELSE 0.6", t=1)} SELECT qid, doc, round(score, 6) AS score, rank FROM {_top('wf', 10)}",
+    "domain_hybrid_embed": f"WITH {_VM}, x0 AS (SELECT doc, canonical AS dim, 1.0 AS w FROM vm UNION ALL SELECT doc, unnest(capabilities), 0.5 FROM vm UNION ALL SELECT doc, category, 0.3 FROM vm WHERE category IS NOT NULL), x AS (SELECT doc, dim, sum(w)::DOUBLE AS w FROM x0 GROUP BY ALL), xu AS ({_UNIT.format(dim='dim', s='x').replace('round(w / norm, 6)', 'w / norm')}), {_hashed('dh', 'documents', 'doc_id', 'text', 512)} SELECT doc, 'c:' || dim AS dim, round(w * 0.6, 6) AS w FROM xu UNION ALL SELECT doc, 't:' || idx, round(w * (1 - 0.6), 6) FROM dh",
+    "hybrid_search": _HYBRID("true"),
+    "filtered_search": _HYBRID("doc IN (SELECT doc_id FROM documents WHERE source_type IN ('document', 'log'))"),
+    "capability_filtered_search": f"WITH {_BM25}, {_VEC}, {_CONCEPT}, {_LISTS('true', f"doc IN (SELECT doc FROM ci WHERE capability = '{CAPABILITY}')")}, {_WEIGHTED.format(w="WHEN 'concept' THEN 0.5 ELSE 1.0", t=2.5)} SELECT qid, doc, round(score, 6) AS score, method, rank FROM {_top('wf', 10)}",
+    "matched_concepts": f"WITH {_BM25}, {_CONCEPT}, pr AS (SELECT qid, doc, rank FROM {_top('bm', 10)}), sh AS (SELECT pr.qid, pr.doc, string_agg(DISTINCT ci.concept, ',' ORDER BY ci.concept) AS concepts, string_agg(DISTINCT capability, ',' ORDER BY capability) AS capabilities FROM pr JOIN (SELECT DISTINCT doc AS qid, concept FROM qm) q ON q.qid = pr.qid JOIN ci ON ci.doc = pr.doc AND ci.concept = q.concept GROUP BY ALL) SELECT pr.qid, pr.doc, rank, coalesce(concepts, '') AS concepts, coalesce(capabilities, '') AS capabilities FROM pr LEFT JOIN sh ON sh.qid = pr.qid AND sh.doc = pr.doc",
+    "bm25_index_topk": f"WITH {_BM25} SELECT qid, doc, round(score, 6) AS score, rank FROM {_top('bm', 10)}",
+    "vocab_lookup": f"WITH {packed_sql.VOCAB}, {_LOOKUP}, w AS (SELECT DISTINCT source_term AS word FROM relationships WHERE source_term IS NOT NULL) SELECT word, term, entry, canonical FROM w JOIN lk ON lk.term = lower(trim(word))",
     "cross_reference": f"WITH {_BM25}, {_CI}, pr AS (SELECT qid, doc FROM {_top('bm', 10)}), cc AS (SELECT DISTINCT qid, concept FROM pr JOIN ci USING (doc)), c5 AS (SELECT * FROM cc QUALIFY row_number() OVER (PARTITION BY qid ORDER BY concept) <= 5), sh AS (SELECT qid, doc, count(*) AS score FROM c5 JOIN (SELECT DISTINCT doc, concept FROM ci) x USING (concept) WHERE doc IN (SELECT doc_id FROM documents WHERE source_type = 'code') GROUP BY ALL) SELECT qid, doc, score AS shared, rank FROM {_top('sh', 10)}",
     "grep_search": f"WITH {_GREP} SELECT doc, matches, n_lines, first_lines, round(score, 6)::DOUBLE AS score FROM gt",
     "combined_search": f"WITH {_BM25.replace(_ASKED, _ONE)}, {_GREP}, fi AS (SELECT qid, doc, score FROM {_top('bm', 10)}), al AS (SELECT * FROM fi UNION ALL SELECT 0, doc, score * 0.8 FROM gt WHERE doc NOT IN (SELECT doc FROM fi)) SELECT qid, doc, round(score, 6) AS score FROM al",
@@ -405,4 +451,4 @@ SQL = {
     "file_dedup": f"WITH {_BM25}, t5 AS (SELECT qid, doc, source, score FROM {_top('bm', 50)} JOIN documents ON doc_id = doc), b1 AS (SELECT * FROM t5 QUALIFY row_number() OVER (PARTITION BY qid, coalesce(source, doc::VARCHAR) ORDER BY round(score, 9) DESC, doc) = 1) SELECT qid, doc, source, round(score, 6) AS score, rank FROM {_top('b1', 10)}",
     "aggregate_by_file": f"WITH {_BM25}, t5 AS (SELECT qid, doc, source, score FROM {_top('bm', 50)} JOIN documents ON doc_id = doc) SELECT qid, source, count(*) AS docs, round(max(score), 6) AS best, round(sum(score), 6) AS total FROM t5 GROUP BY ALL",
 }
-QUERIES = {f.__name__: f for f in (tokenize_terms, bigram_counts, stem_histogram, normalize_terms, truncate_tokens, language_by_path, language_by_content, main_symbols, identifier_keywords, sanitize_text, bm25_index_stats, bm25_topk, vector_topk, vector_topk_filtered, hash_embed_sparse, hash_embed_topk, tfidf_fit, tfidf_transform, bm25_embed, concept_embed, maxdim_embed, hybrid_embed, dim_coverage, explain_embedding, vocab_match, vocab_expand, vocab_stats, concept_index, capability_search, capability_counts, concept_score, rrf_fuse, weighted_fuse, hybrid_search, filtered_search, cross_reference, keyword_score, grep_search, combined_search, tfidf_boost, file_dedup, aggregate_by_file)}
+QUERIES = {f.__name__: f for f in (tokenize_terms, bigram_counts, stem_histogram, normalize_terms, truncate_tokens, language_by_path, language_by_content, main_symbols, identifier_keywords, sanitize_text, bm25_index_stats, bm25_topk, bm25_index_topk, vector_topk, vector_topk_filtered, hash_embed_sparse, hash_embed_topk, tfidf_fit, tfidf_transform, bm25_embed, concept_embed, maxdim_embed, hybrid_embed, domain_hybrid_embed, dim_coverage, explain_embedding, vocab_match, vocab_expand, vocab_stats, vocab_lookup, concept_index, capability_search, capability_counts, concept_score, rrf_fuse, weighted_fuse, hybrid_search, filtered_search, capability_filtered_search, matched_concepts, cross_reference, keyword_score, grep_search, combined_search, tfidf_boost, file_dedup, aggregate_by_file)}

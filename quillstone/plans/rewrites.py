@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import lexical
+from ..operators import program as P
 from ..operators import rewrite as W
+from ..operators import scan
+from ..runtime import materialize
 from . import corpus as C
 from . import retrieval as Q
-from .fixtures import VOCAB_SQL
-from ..operators import program as P
+from . import packed_sql
 
 R = lambda c: F.round(c, 6)
 
@@ -23,24 +24,24 @@ def _together(s, d):
 
 
 def decompose_queries(s, d):
-    return W.decompose(Q._asked(s, d), "qid", "q", Q._vocab(s), _together(s, d))
+    return W.decompose(Q._asked(s, d), "qid", "q", Q._vocab(s, d), _together(s, d))
 
 
 def decompose_search(s, d):
     docs = Q._docs(s, d)
     files = docs.select(F.col("doc_id").alias("doc"), F.col("source").alias("file"))
-    return W.search_parts(lexical.build(docs, "doc_id", "text"), decompose_queries(s, d), files).select("qid", "doc", "file", R("score").alias("score"), "rank")
+    return W.search_parts(lambda q, qid, text, k: scan.lexical(docs, "doc_id", "text", q, qid, text, k), materialize(decompose_queries(s, d)), files).select("qid", "doc", "file", R("score").alias("score"), "rank")
 
 
 def vocab_weights(s, d):
-    return W.vocabulary_weights(Q._vocab(s), C._weighed(s, d).select("normalized", "tfidf"))
+    return W.vocabulary_weights(Q._vocab(s, d), C._weighed(s, d).select("normalized", "tfidf"))
 
 
 QUERIES = {f.__name__: f for f in (decompose_queries, decompose_search, vocab_weights)}
 
 _TOGETHER = "cd AS (SELECT DISTINCT doc, concept FROM ci), tg AS (SELECT a.concept AS source, b.concept AS target FROM cd a JOIN cd b ON a.doc = b.doc AND a.concept <> b.concept GROUP BY ALL HAVING count(*) >= 2)"
 _PARTS = rf"""{Q._CI}, {Q._matches('qm', 'asked', 'qid', 'q')}, {_TOGETHER},
-qc AS (SELECT doc AS qid, lower(canonical) AS concept, term FROM qm),
+qc AS (SELECT doc AS qid, concept, term FROM qm),
 qo AS (SELECT * FROM qc WHERE qid IN (SELECT qid FROM qc GROUP BY qid HAVING count(*) >= 2) AND qid IN (SELECT qid FROM asked WHERE len(regexp_split_to_array(trim(q), '[ \t\r\n]+')) >= 6)),
 ne AS (SELECT a.qid, a.concept, min(b.concept) AS near FROM qo a JOIN tg ON tg.source = a.concept JOIN qo b ON b.qid = a.qid AND b.concept = tg.target GROUP BY ALL),
 le AS (SELECT qo.qid, term, least(qo.concept, coalesce(near, qo.concept)) AS leader FROM qo LEFT JOIN ne ON ne.qid = qo.qid AND ne.concept = qo.concept),
@@ -51,7 +52,7 @@ _HEAD = r"^#{1,6}[ \t]+[^ \t\r\n\f\x0b]"
 SQL = {
     "decompose_queries": f"WITH {Q._ASKED}, {_PARTS} SELECT qid, part, query FROM pa",
     "explain_embedding": f"WITH base AS ({Q.SQL['concept_embed']}), r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY round(w, 9) DESC, dim) AS rank FROM base WHERE w > 0) SELECT * FROM r WHERE rank <= 3",
-    "vocab_weights": f"WITH {C._CROSS}, {VOCAB_SQL}, vl AS (SELECT entry, {C._NORM('t')} AS normalized FROM (SELECT entry, unnest(terms) AS t FROM vocab)), m AS (SELECT entry, avg(tfidf) AS m FROM vl JOIN wt USING (normalized) WHERE tfidf > 0 GROUP BY entry), b AS (SELECT min(m) AS lo, max(m) AS hi FROM m) SELECT entry, round(CASE WHEN m IS NULL OR hi <= lo THEN 1.0 ELSE 0.5 + (m - lo) / (hi - lo) END, 3)::DOUBLE AS weight FROM vocab LEFT JOIN m USING (entry), b",
+    "vocab_weights": f"WITH {C._CROSS}, {packed_sql.VOCAB}, vl AS (SELECT entry, {C._NORM('t')} AS normalized FROM (SELECT entry, unnest(terms) AS t FROM vocab)), m AS (SELECT entry, avg(tfidf) AS m FROM vl JOIN wt USING (normalized) WHERE tfidf > 0 GROUP BY entry), b AS (SELECT min(m) AS lo, max(m) AS hi FROM m) SELECT entry, round(CASE WHEN m IS NULL OR hi <= lo THEN 1.0 ELSE 0.5 + (m - lo) / (hi - lo) END, 3)::DOUBLE AS weight FROM vocab LEFT JOIN m USING (entry), b",
     "tal_parameters": rf"WITH {C._TL}, d AS (SELECT file_id, line_no, regexp_extract(line, '{P.PROC}', 2) AS name, list_filter(list_transform(string_split(regexp_extract(line, '(?i)PROC[ \t]+[a-zA-Z_][a-zA-Z0-9_^]*[ \t]*\(([^)]*)\)', 1), ','), lambda x: trim(x)), lambda x: x <> '') AS p FROM tl WHERE regexp_matches(line, '{P.PROC}')) SELECT file_id, name, generate_subscripts(p, 1) - 1 AS n, unnest(p) AS parameter FROM d",
     "route_files": "WITH e AS (SELECT lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) AS x, upper(substring(coalesce(text, ''), 1, 1000)) AS h FROM documents) SELECT CASE WHEN x IN ('tal', 'tacl') THEN 'tal' WHEN x = 'txt' THEN CASE WHEN contains(h, 'PROC ') OR contains(h, 'DEFINE ') OR contains(h, 'LITERAL ') OR contains(h, 'STRUCT ') THEN 'tal' ELSE 'document' END "
     + " ".join(f"WHEN x IN ({', '.join(repr(e) for e in exts)}) THEN '{kind}'" for kind, exts in (("code", C.files.CODE), ("log", C.files.LOG), ("document", C.files.DOCUMENT)))
@@ -68,7 +69,7 @@ s AS (SELECT *, sum(heading::INT) OVER (PARTITION BY doc ORDER BY spot ROWS UNBO
 SELECT doc, section::BIGINT AS section, coalesce(max(CASE WHEN heading THEN trim(line) END), '') AS title, count(*) FILTER (NOT heading) AS paragraphs, md5(coalesce(string_agg(line, chr(10) || chr(10) ORDER BY spot) FILTER (NOT heading), '')) AS digest FROM s GROUP BY doc, section""",
 }
 
-_EACH = Q._BM25.replace("FROM asked)", "FROM pk)").replace(Q._ASKED + ",", f"{Q._ASKED}, {_PARTS}, pk AS (SELECT qid || ':' || part AS qid, query AS q FROM pa),")
+_EACH = Q._BM25.replace("FROM asked)", "FROM pq)").replace(Q._ASKED + ",", f"{Q._ASKED}, {_PARTS}, pq AS (SELECT qid || ':' || part AS qid, query AS q FROM pa),")
 SQL["decompose_search"] = f"""WITH {_EACH}, ls AS (SELECT split_part(qid, ':', 1)::BIGINT AS qid, split_part(qid, ':', 2) AS list, doc, score FROM {Q._top('bm', 20)}), {Q._RRF},
 bf AS (SELECT rn.qid, doc, source AS file, score FROM rn LEFT JOIN documents ON doc_id = doc QUALIFY row_number() OVER (PARTITION BY rn.qid, coalesce(source, doc::VARCHAR) ORDER BY round(score, 9) DESC, doc) = 1)
 SELECT qid, doc, file, round(score, 6) AS score, rank FROM {Q._top('bf', 10)}"""

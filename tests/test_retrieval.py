@@ -95,10 +95,59 @@ def test_vocabulary(spark, docs, vocab):
     assert x == [(0, "Payout now"), (1, "wire"), (2, "fee"), (3, "charge"), (4, "bank")]
 
 
-def test_automaton_equals_join(spark, docs, vocab, monkeypatch):
-    a = sorted(map(str, V.matches(docs, "id", "text", vocab).collect()))
-    monkeypatch.setattr(V, "JOIN_TERMS", 0)
-    assert sorted(map(str, V.matches(docs, "id", "text", vocab).collect())) == a
+@pytest.mark.parametrize("block", [1, 2])
+def test_any_block_of_terms_gives_the_same(spark, docs, vocab, block):
+    a = sorted(map(str, V.matches(docs, "id", "text", vocab, 5).collect()))
+    assert sorted(map(str, V.matches(docs, "id", "text", vocab, 5, block).collect())) == a
+
+
+def test_concepts_of_one_term_and_order(spark):
+    """Every concept of a term matches, related terms too; the earliest end wins, then the longer term."""
+    v = V.from_rows(spark, [(1, "Wire", ["Wire"], ["wire bank"], ["Pay"], "p"), (2, "bank", ["wire"], ["nk"], [], None), (3, "BANK", ["bank"], [], ["B"], None)])
+    d = spark.createDataFrame([(1, "a wire bank"), (2, None), (3, "")], "id long, text string")
+    got = {(r.doc, r.concept): (r.term, r.start, r.entry, r.canonical, r.context) for r in V.matches(d, "id", "text", v, 2).collect()}
+    assert got == {(1, "wire"): ("wire", 2, 1, "Wire", "a wire b"), (1, "bank"): ("wire", 2, 2, "bank", "a wire b")}
+    x = sorted((r.n, r.expansion) for r in V.expand(ask(spark, "wire"), "qid", "q", v).collect())
+    assert x == [(0, "wire"), (1, "wire bank"), (2, "BANK")]
+    assert V.matches(d, "id", "text", v.limit(0)).count() == 0 and V.matches(d.limit(0), "id", "text", v).count() == 0
+
+
+def test_packed_vocabulary(spark):
+    rows = [(1, "wire; \"bank, home\"", "fee|charge", "Pay", "p", "clash"), (1, "wire; \"bank, home\"", "fee|charge", "Pay", "p", "clash"), (2, None, None, None, None, None)]
+    v = V.from_packed(spark.createDataFrame(rows, "id long, k string, r string, c string, m string, entry string"), "id", "k", "r", "c", "m")
+    assert sorted(map(tuple, v.collect())) == [(1, "wire", ["wire", "bank, home"], ["fee", "charge"], ["Pay"], "p"), (2, "", [], [], [], None)]
+
+
+def test_scan_equals_index(spark, docs):
+    from quillstone.operators import scan
+
+    many = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 13}" for j in range(1, 9)), None) for i in range(6, 300)], "id long, text string, path string").unionByName(docs).repartition(3)
+    asked = ask(spark, "wire", "wire wire w1", "w3 w5 w12", "", "nothing")
+    index = lexical.build(many, "id", "text")
+    want = sorted((r.qid, r.doc, round(r.score, 9), r["rank"]) for r in lexical.search(index, asked, "qid", "q", 7).collect())
+    assert sorted((r.qid, r.doc, round(r.score, 9), r["rank"]) for r in scan.lexical(many, "id", "text", asked, "qid", "q", 7).collect()) == want
+    sums = embed.sparse_scores(embed.hash_embed(many, "id", "text"), embed.hash_embed(asked, "qid", "q"))
+    want = sorted((r.qid, r.doc, round(r.score, 9), r["rank"]) for r in lexical.ranked(sums, 7).collect())
+    assert sorted((r.qid, r.doc, round(r.score, 9), r["rank"]) for r in scan.vector(many, "id", "text", asked, "qid", "q", 7).collect()) == want
+    some = scan.lexical(many, "id", "text", asked, "qid", "q", 400, only=F.col("id") < 3).collect()
+    whole = {(r.qid, r.doc): r.score for r in lexical.scores(index, asked, "qid", "q").collect()}
+    assert {r.doc for r in some} == {1, 2} and all(r.score == pytest.approx(whole[r.qid, r.doc]) for r in some)
+    assert scan.lexical(many, "id", "text", asked, "qid", "q", 0).count() == 0 and scan.lexical(many.limit(0), "id", "text", asked, "qid", "q").count() == 0 and scan.vector(many, "id", "text", asked.limit(0), "qid", "q").count() == 0
+
+
+def test_query_blocks(spark, docs, monkeypatch):
+    from quillstone.operators import scan
+
+    asked = ask(spark, *(f"wire {w}" for w in ("ledger", "transfer", "sanction", "of", "fails")))
+    want = sorted(map(tuple, scan.search(docs, "id", "text", asked, "qid", "q", 2, ("bm25", "vector")).collect()))
+    monkeypatch.setattr(scan, "QUERY_SCAN", 2)
+    assert sorted(map(tuple, scan.search(docs, "id", "text", asked, "qid", "q", 2, ("bm25", "vector")).collect())) == want
+
+
+def test_boosted_words(spark, docs):
+    assert embed.boosted_terms(["Wire Transfer", "ledger"]) == ["ledger", "transfer", "wire", "wire transfer"]
+    plain, more = ({(r.doc, r.idx): r.w for r in embed.hash_embed(docs, "id", "text", 1024, b).collect()} for b in (None, ["ledger"]))
+    assert plain.keys() == more.keys() and plain != more
 
 
 def test_vocabulary_round_trip(spark, vocab, tmp_path):
