@@ -31,8 +31,7 @@ _SPACES = " \t\n\u000b\f\r\u00a0\u3000"
 
 def normal_term(c: Column) -> Column:
     """Trimmed, in lower case, each run of spaces, hyphens and underscores as one underscore; blank is null."""
-    t = F.translate(F.lower(F.btrim(c, F.lit(_SPACES))), _SPACES + "-", "_" * (len(_SPACES) + 1))
-    t = F.when(F.contains(t, F.lit("__")), F.regexp_replace(t, "_+", "_")).otherwise(t)
+    t = F.regexp_replace(F.lower(F.btrim(c, F.lit(_SPACES))), "[ \t-\r_\u00a0\u3000-]+", "_")
     return F.when(~t.isin("", "_"), t)
 
 
