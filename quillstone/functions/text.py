@@ -37,15 +37,60 @@ EXTENSIONS = {
     "rb": "ruby", "php": "php", "swift": "swift", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "tal": "tal", "tacl": "tacl", "cbl": "cobol",
     "cob": "cobol", "cobol": "cobol", "sh": "shell",
 }
-#: What speaks for a language in a text, with weights.
+#: What speaks for a language in a text, with weights, in the order in which ties are settled. A pattern is
+#: looked for in the whole text, in its upper case, or in its first 5,000 characters.
 INDICATORS = {
-    "tal": [(r"(?i)\b(int|string)?\s*proc\s+\w+", 3), (r"(?i)\bbegin\b", 1), (r":=", 1), (r"(?i)\bcall\s+\w+", 1)],
-    "python": [(r"\bdef\s+\w+\(", 3), (r"\bimport\s+\w+", 1), (r"\bself\b", 1)],
-    "java": [(r"\bpublic\s+class\b", 3), (r"\bprivate\b|\bprotected\b", 1), (r"\bimport\s+java", 2)],
-    "c": [(r"#include\s*[<\"]", 3), (r"\bstruct\s+\w+", 1), (r"->", 1)],
-    "go": [(r"\bfunc\s+(\(\w+\s+\*?\w+\)\s*)?\w+\(", 3), (r"\bpackage\s+\w+", 1)],
-    "javascript": [(r"\bfunction\s+\w+\(", 2), (r"\b(const|let)\s+\w+\s*=", 2), (r"=>", 1)],
+    "tal": [
+        (r"\bPROC\s+\w+", 3, "upper"),
+        (r"\bSUBPROC\s+\w+", 3, "upper"),
+        (r"\bSTRUCT\s+\w+", 2, "upper"),
+        (r"\bDEFINE\s+\w+", 2, "upper"),
+        (r"\bINT\s*\(\s*\d+\s*\)", 2, "upper"),
+        (r"\bSTRING\s+\.\w+", 2, "upper"),
+        (r"\bCALL\s+\w+\s*\^", 2, "upper"),
+        (r"\^\w+", 1, "whole"),
+        (r"(?m)^!", 1, "whole"),
+        (r"LITERAL|FORWARD", 1, "upper"),
+    ],
+    "cobol": [
+        (r"\bIDENTIFICATION\s+DIVISION", 5, "upper"),
+        (r"\bDATA\s+DIVISION", 5, "upper"),
+        (r"\bPROCEDURE\s+DIVISION", 5, "upper"),
+        (r"\bWORKING-STORAGE\s+SECTION", 3, "upper"),
+        (r"\b\d{2}\s+\w+.*PIC\s+", 3, "upper"),
+        (r"\bPERFORM\s+\w+", 2, "upper"),
+        (r"\bMOVE\s+\w+\s+TO\s+", 2, "upper"),
+        (r"(?m)^\s{6}", 1, "whole"),
+        (r"(?m)^\d{6}", 1, "whole"),
+    ],
+    "python": [
+        (r"(?m)^def\s+\w+\s*\(", 3, "head"),
+        (r"(?m)^class\s+\w+.*:", 3, "head"),
+        (r"(?m)^import\s+\w+", 2, "head"),
+        (r"(?m)^from\s+\w+\s+import", 2, "head"),
+        (r"(?m)^\s+def\s+__\w+__", 2, "head"),
+        (r"[\"]{3}|[']{3}", 1, "head"),
+    ],
+    "java": [
+        (r"\bpublic\s+class\s+\w+", 4, "head"),
+        (r"\bprivate\s+(static\s+)?\w+\s+\w+", 2, "head"),
+        (r"\bimport\s+java\.", 3, "head"),
+        (r"\bpackage\s+[\w.]+;", 2, "head"),
+        (r"\bpublic\s+static\s+void\s+main", 3, "head"),
+    ],
+    "c": [
+        (r"(?m)^#include\s*[<\"]", 3, "head"),
+        (r"(?m)^#define\s+\w+", 2, "head"),
+        (r"\bint\s+main\s*\(", 3, "head"),
+        (r"\b(typedef|struct|union)\s+\w+", 2, "head"),
+        (r"\w+\s*\*\s*\w+", 1, "head"),
+        (r"->\w+", 1, "head"),
+    ],
 }
+#: Extensions that settle the language.
+DETECTED = {"tal": "tal tacl ddl", "cobol": "cob cbl cobol cpy", "python": "py", "java": "java", "c": "c h cpp hpp cc"}
+#: How the main symbol of a file is declared.
+SYMBOLS = [r"(?i)\bPROC\s+(\w+)", r"(?i)PROGRAM-ID\.\s*(\w+)", r"(?m)^(?:def|class)\s+(\w+)", r"\bclass\s+(\w+)"]
 
 
 def tokens(text: Column) -> Column:
@@ -110,16 +155,25 @@ def language_of_path(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table, extension(path)), F.lit("unknown"))
 
 
-def language_of_content(text: Column, least: int = 3) -> Column:
-    """The language with the highest score of at least ``least``; of equal scores the first by name."""
-    scored = [F.struct(sum((F.when(text.rlike(p), w).otherwise(0) for p, w in marks), F.lit(0)).alias("score"), F.lit(name).alias("name")) for name, marks in INDICATORS.items()]
-    best = F.array_sort(F.array(*scored), lambda a, b: F.when(a["score"] != b["score"], b["score"] - a["score"]).when(a["name"] < b["name"], -1).otherwise(1))[0]
-    return F.when(best["score"] >= least, best["name"]).otherwise("unknown")
+def language_of_content(text: Column, path: Column | None = None, least: int = 3) -> Column:
+    """The language of the extension, if it settles it, else the one with the highest score of at least ``least``; of
+    equal scores the first."""
+    scope = {"whole": text, "upper": F.upper(text), "head": F.substring(text, 1, 5000)}
+    scores = {name: sum((F.when(scope[s].rlike(p), w).otherwise(0) for p, w, s in marks), F.lit(0)) for name, marks in INDICATORS.items()}
+    best = F.greatest(*scores.values())
+    found = F.lit("unknown")
+    for name in reversed(scores):
+        found = F.when((best >= least) & (scores[name] == best), F.lit(name)).otherwise(found)
+    if path is None:
+        return found
+    for name, exts in DETECTED.items():
+        found = F.when(extension(path).isin(exts.split()), F.lit(name)).otherwise(found)
+    return found
 
 
 def main_symbol(text: Column, path: Column) -> Column:
-    """First procedure, function or class of a file, else its base name."""
-    found = [F.regexp_extract(text, p, 1) for p in (r"(?i)\bproc\s+(\w+)", r"\bdef\s+(\w+)", r"\bclass\s+(\w+)", r"\bfunction\s+(\w+)", r"\bfunc\s+(?:\([^)]*\)\s*)?(\w+)")]
+    """First procedure, program, function or class of a file, else its base name."""
+    found = [F.regexp_extract(text, p, 1) for p in SYMBOLS]
     base = F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", "")
     return F.coalesce(*(F.nullif(f, F.lit("")) for f in found), base)
 
@@ -147,16 +201,11 @@ def is_heading(line: Column) -> Column:
     return (F.length(line) > 0) & (F.length(line) < 100) & ~line.rlike("[.,;:]$") & (upper | shape)
 
 
-def content_id(kind: Column, path: Column, text: Column, extra: Column | None = None, prefix: int = 100) -> Column:
-    """Kind and the first twelve digits of the MD5 of path and leading text."""
-    key = [path, F.substring(text, 1, prefix), *([extra] if extra is not None else [])]
-    return F.concat_ws("_", kind, F.substring(F.md5(F.concat_ws(":", *key).cast("binary")), 1, 12))
-
-
-def cosine(a: Column, b: Column) -> Column:
-    """0 for a zero vector."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + F.lit(1e-8))
+def content_id(kind: Column, path: Column, text: Column, extra: Column | None = None, prefix: int = 200) -> Column:
+    """Kind and the first twelve digits of the MD5 of path, leading text and what else is given (or nothing)."""
+    none = F.lit("")
+    key = F.concat(F.coalesce(path, none), F.lit(":"), F.substring(F.coalesce(text, none), 1, prefix), F.lit(":"), F.coalesce(extra, none) if extra is not None else none)
+    return F.concat_ws("_", kind, F.substring(F.md5(key.cast("binary")), 1, 12))
 
 
 def source_label(path: Column, *more: Column) -> Column:

@@ -105,7 +105,29 @@ def relevant_lines(docs: DataFrame, key: str, text: str, words: list[str], aroun
     return kept.select("doc", (F.col("at") + 1).alias("line_no"), "line", (F.col("at") - before > 1).alias("_g")).select("doc", "line_no", "line", F.coalesce("_g", F.lit(False)).alias("gap"))
 
 
-def embedding_text(kind: Column, concepts: Column, capabilities: Column, text: Column, most: int = 1500) -> Column:
-    """What an embedder reads of a chunk: its kind, five concepts, five capabilities, and text up to ``most``."""
-    head = F.concat_ws("\n", F.concat(F.lit("Type: "), kind), F.when(F.size(concepts) > 0, F.concat(F.lit("Concepts: "), F.array_join(F.slice(concepts, 1, 5), ", "))), F.when(F.size(capabilities) > 0, F.concat(F.lit("Capabilities: "), F.array_join(F.slice(capabilities, 1, 5), ", "))))
-    return F.substring(F.concat_ws("\n", head, text), 1, most)
+#: What a chunk of a semantic type is called in its embedding text.
+TYPE_PHRASES = {
+    "procedure": "TAL procedure that",
+    "subproc": "TAL subprocedure that",
+    "variable": "Variable declaration for",
+    "struct": "Data structure definition for",
+    "section": "Document section about",
+    "paragraph": "Document content about",
+    "table": "Data table showing",
+    "error_trace": "Error trace for",
+    "transaction": "Transaction record for",
+    "audit": "Audit log entry for",
+}
+OTHER_PHRASE = "Content related to"
+
+
+def embedding_text(kind: Column, concepts: Column, capabilities: Column, text: Column, most: int = 1500, **named: Column) -> Column:
+    """What an embedder reads of a chunk: a phrase of its type with five concepts, five capabilities, the ``named``
+    values (procedure, section, error) and text, up to ``most`` characters of them. Without a concept the phrase and
+    the capabilities are left out."""
+    phrase = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in TYPE_PHRASES.items() for x in kv)), kind), F.lit(OTHER_PHRASE))
+    some = F.size(concepts) > 0
+    parts = [F.when(some, F.concat(phrase, F.lit(" "), F.array_join(F.slice(concepts, 1, 5), ", "), F.lit("."))), F.when(some & (F.size(capabilities) > 0), F.concat(F.lit("Business capabilities: "), F.array_join(F.slice(capabilities, 1, 5), ", "), F.lit(".")))]
+    parts += [F.when(c.isNotNull(), F.concat(F.lit(f"{name.capitalize()}: "), c)) for name, c in named.items()]
+    room = F.lit(most) - sum((F.coalesce(F.length(p), F.lit(0)) for p in parts), F.lit(0))
+    return F.concat_ws(" ", *parts, F.substring(text, F.lit(1), F.greatest(room, F.lit(0))))

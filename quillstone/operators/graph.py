@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import materialize
+from ..runtime import materialize, salted_join
+from . import vocabulary as V
 
+#: Types of edges whose ends stand for each other.
 RELATED = ["contains", "implements", "related_to"]
 
 
@@ -30,36 +32,98 @@ def both_ways(edge: DataFrame) -> DataFrame:
     return edge.unionByName(back)
 
 
-def related(edge: DataFrame, seeds: DataFrame, seed: str, depth: int = 2, most: int = 10, frontier: int = 20) -> DataFrame:
-    """``(seed, id, depth, weight, rank)`` of the terms within ``depth`` steps in either direction.
+def related(edge: DataFrame, seeds: DataFrame, seed: str, depth: int = 2, most: int = 10, types: list[str] | None = None, salts: int = 16) -> DataFrame:
+    """``(seed, id, type, depth, weight, rank)``: the heaviest ``most`` of the terms within ``depth`` steps in either
+    direction, over edges of the ``types`` if given.
 
-    A step follows the ``frontier`` heaviest neighbours of a term, so a hub doesn't multiply; nearer terms rank first,
-    then heavier ones. The number of rows per seed and step is bounded by ``frontier``'s powers."""
-    near = both_ways(edge).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
-    order = Window.partitionBy("source").orderBy(F.desc("weight"), "target")
-    near = materialize(near.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= frontier).drop("_r"))
-    seen = seeds.select(F.col(seed).alias("seed")).filter("seed is not null").distinct().select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("weight"))
+    A term has the type and weight of the edge by which it is first reached (of several at that step the heaviest,
+    then the forward one, then by type); reverse edges have the prefix ``rev_``. All neighbours are followed; steps
+    are joined with salted keys, as a hub may hold a third of the edges, and summed up before they are shuffled."""
+    near = both_ways(edge if types is None else edge.filter(F.col("type").isin(types)))
+    best = F.struct((-F.col("weight")).alias("w"), F.col("type").startswith("rev_").alias("back"), "type")
+    near = materialize(near.groupBy("source", "target").agg(F.min(best).alias("e")))
+    seen = seeds.select(F.col(seed).alias("seed")).filter("seed is not null").distinct().select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast(near.schema["e"].dataType).alias("e"))
     last = seen
     for d in range(1, depth + 1):
-        step = last.select("seed", F.col("id").alias("source")).join(near, "source").groupBy("seed", F.col("target").alias("id")).agg(F.max("weight").alias("weight"))
-        last = materialize(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id", F.lit(d).alias("depth"), "weight"))
+        step = salted_join(near, last.select("seed", F.col("id").alias("source")), ["source"], "inner", salts, by="target")
+        step = step.groupBy("seed", F.col("target").alias("id")).agg(F.min("e").alias("e"))
+        last = materialize(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id", F.lit(d).alias("depth"), "e"))
         seen = seen.unionByName(last)
-    ranking = Window.partitionBy("seed").orderBy("depth", F.desc("weight"), "id")
-    return seen.filter("depth > 0").withColumn("rank", F.row_number().over(ranking)).filter(F.col("rank") <= most)
-
-
-def expand(edge: DataFrame, queries: DataFrame, qid: str, term: str, n_related: int = 5, n_together: int = 3) -> DataFrame:
-    """``(qid, expanded)``: the term, its heaviest related terms, then those that occur together with it."""
-    asked = queries.select(F.col(qid).alias("qid"), F.col(term).alias("source")).distinct()
-
-    def best(types: list[str], n: int) -> DataFrame:
-        one = edge.filter(F.col("type").isin(types)).groupBy("source", "target").agg(F.sum("weight").alias("weight"))
-        order = Window.partitionBy("source").orderBy(F.desc("weight"), "target")
-        return one.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).select("source", "target")
-
-    adds = best(RELATED, n_related).unionByName(best(["co_occurs_with"], n_together))
-    found = asked.join(adds, "source", "left").groupBy("qid", "source").agg(F.sort_array(F.collect_set(F.regexp_replace("target", "_", " "))).alias("adds"))
-    return found.select("qid", F.concat_ws(" ", F.regexp_replace("source", "_", " "), F.array_join("adds", " ")).alias("expanded"))
+    ranking = Window.partitionBy("seed").orderBy(F.desc("weight"), "depth", "id")
+    found = seen.filter("depth > 0").select("seed", "id", "e.type", "depth", (-F.col("e.w")).alias("weight"))
+    return found.withColumn("rank", F.row_number().over(ranking)).filter(F.col("rank") <= most)
+
+
+def expand(edge: DataFrame, queries: DataFrame, qid: str, text: str, n_related: int = 5, n_together: int = 3) -> DataFrame:
+    """``(qid, expanded)``: the words of a query, the heaviest terms related to each, and those that occur together
+    with it, each once and sorted; underscores become spaces."""
+    words = materialize(queries.select(F.col(qid).alias("qid"), F.explode(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[ \t\r\n]+"), lambda w: w != "")).alias("word")).distinct())
+    keys = words.withColumn("seed", T.normalize_term(F.col("word")))
+    one = related(edge, keys.filter("seed <> ''"), "seed", 1, n_related, ["co_occurs_with", "implements", "related_to"])
+    two = related(edge, keys.filter("seed <> ''"), "seed", 1, n_together, ["co_occurs_with"])
+    adds = keys.join(one.select("seed", "id").unionByName(two.select("seed", "id")), "seed").select("qid", F.regexp_replace("id", "_", " ").alias("word"))
+    every = words.unionByName(adds).groupBy("qid").agg(F.array_join(F.sort_array(F.collect_set("word")), " ").alias("expanded"))
+    return every.select("qid", "expanded")
+
+
+def lookup(nodes: DataFrame, terms: DataFrame, term: str) -> DataFrame:
+    """``terms`` with the node of each: by its normalized form, else by a label in any case (of several, the first id).
+    ``nodes``: ``(id, label, ...)``; a term without node has a null ``id``."""
+    asked = terms.withColumn("_n", T.normalize_term(F.col(term))).withColumn("_l", F.lower(F.col(term)))
+    by_id = nodes.select(F.col("id").alias("_n"), F.col("id").alias("_i"))
+    by_label = nodes.groupBy(F.lower("label").alias("_l")).agg(F.min("id").alias("_j"))
+    found = asked.join(by_id, "_n", "left").join(by_label, "_l", "left").withColumn("_k", F.coalesce("_i", "_j")).drop("_n", "_l", "_i", "_j")
+    return found.join(nodes, found["_k"] == nodes["id"], "left").drop("_k")
+
+
+def generate(terms: DataFrame, edge: DataFrame, together: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Node and edge tables of mined terms ``(normalized, label, kind, source, tf, df, confidence, tfidf)``: nodes with
+    their first neighbours of ``together`` (source, target, n), edges ``(source, target, type)`` each once."""
+    near = together.groupBy(F.col("source").alias("id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "target"))), lambda x: x["target"]), ",").alias("co_occurs_with"))
+    node = terms.select(F.col("normalized").alias("id"), "label", F.col("kind").alias("type"), "source", F.round("confidence", 2).alias("confidence"), F.round("tfidf", 3).alias("tf_idf_score"), F.col("tf").alias("term_frequency"), F.col("df").alias("document_frequency"))
+    every = edge.select("source", "target", "type").filter("source is not null and target is not null").distinct()
+    return node.join(near, "id", "left").withColumn("co_occurs_with", F.coalesce("co_occurs_with", F.lit(""))), every
+
+
+def append(old: tuple[DataFrame, DataFrame], new: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Two graphs in one: nodes of both are one, with summed counts, the higher confidence and score, the old label;
+    a node of documents and of code is of both. Edges are kept once."""
+    rows = old[0].withColumn("_o", F.lit(0)).unionByName(new[0].withColumn("_o", F.lit(1)))
+    first = lambda c: F.min_by(c, "_o").alias(c)
+    node = rows.groupBy("id").agg(first("label"), first("type"), F.when(F.count_distinct("source") > 1, "both").otherwise(F.min("source")).alias("source"), F.max("confidence").alias("confidence"), F.max("tf_idf_score").alias("tf_idf_score"), F.sum("term_frequency").alias("term_frequency"), F.sum("document_frequency").alias("document_frequency"), F.max_by("co_occurs_with", F.struct(F.col("co_occurs_with") != "", -F.col("_o"))).alias("co_occurs_with"))
+    return node, old[1].unionByName(new[1]).distinct()
+
+
+def statistics(node: DataFrame, edge: DataFrame) -> DataFrame:
+    """Numbers of nodes, by source, and of edges."""
+    by = lambda s: F.count(F.when(F.col("source") == s, 1)).alias(s)
+    return node.agg(F.count("*").alias("nodes"), by("both"), by("document"), by("code")).withColumn("edges", edge.agg(F.count("*").alias("n")).scalar())
+
+
+def suggest(node: DataFrame, edge: DataFrame, queries: DataFrame, qid: str, text: str, vocabulary: DataFrame, most: int = 5) -> DataFrame:
+    """``(qid, term, relationship, score, rank)``: terms to widen a query with. A node or an end of an edge that the
+    query holds, or that holds a word of three letters or more, gives its neighbours: those that occur together (by the
+    node's weight), those of edges (0.6) and the related terms of entries whose terms hold a word (0.5)."""
+    asked = queries.select(F.col(qid).alias("qid"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("q"))
+    asked = asked.withColumn("words", F.array_distinct(F.filter(F.split(F.regexp_replace("q", "[-_]", " "), r"[ \t\r\n]+"), lambda w: w != "")))
+    words = asked.select("qid", F.explode("words").alias("word")).filter("length(word) > 2")
+    ends = edge.select(F.col("source").alias("t")).unionByName(edge.select(F.col("target").alias("t")), False)
+    named = node.select(F.lower("id").alias("t")).unionByName(node.select(F.lower("label").alias("t"))).unionByName(ends.select(F.lower("t").alias("t"))).filter("t <> ''").distinct()
+    hit = V.containing(named, "t", words, "word").select(F.col("text").alias("t"), F.col("piece").alias("word")).join(words, "word").select("qid", "t")
+    held = V.containing(asked, "q", named, "t").select(F.col("text").alias("q"), F.col("piece").alias("t")).join(asked.select("qid", "q"), "q").select("qid", "t")
+    touched = materialize(hit.unionByName(held).distinct())
+    mine = node.select("id", "label", "tf_idf_score", "co_occurs_with")
+    at = touched.join(mine.select(F.explode(F.array_distinct(F.array(F.lower("id"), F.lower("label")))).alias("t"), "tf_idf_score", "co_occurs_with"), "t")
+    one = at.filter("co_occurs_with <> ''").select("qid", F.explode(F.split("co_occurs_with", ",")).alias("term"), F.lit("co_occurs_with").alias("relationship"), F.coalesce("tf_idf_score", F.lit(0.5)).alias("score"))
+    ways = edge.select(F.lower("source").alias("t"), F.lower("target").alias("term"), "type").unionByName(edge.select(F.lower("target").alias("t"), F.lower("source").alias("term"), "type"))
+    two = salted_join(ways, touched, ["t"], "inner", by="term").select("qid", "term", F.col("type").alias("relationship"), F.lit(0.6).alias("score"))
+    entries = vocabulary.select("related", F.lower(F.array_join("terms", ",")).alias("k")).filter("size(related) > 0 and k <> ''")
+    three = V.containing(entries.select("k"), "k", words, "word").select(F.col("text").alias("k"), F.col("piece").alias("word")).join(words, "word").select("qid", "k").distinct().join(entries, "k").select("qid", F.explode("related").alias("term"), F.lit("vocabulary_related").alias("relationship"), F.lit(0.5).alias("score"))
+    every = one.unionByName(two).unionByName(three).withColumn("low", F.lower("term"))
+    best = every.groupBy("qid", "low").agg(F.min(F.struct((-F.col("score")).alias("s"), "relationship")).alias("b"))
+    fresh = best.join(asked, "qid").filter(~F.array_contains("words", F.col("low")))
+    order = Window.partitionBy("qid").orderBy("b.s", "low")
+    return fresh.select("qid", F.col("low").alias("term"), "b.relationship", (-F.col("b.s")).alias("score"), F.row_number().over(order).alias("rank")).filter(F.col("rank") <= most)
 
 
 def expansion_map(edge: DataFrame) -> DataFrame:
@@ -70,6 +134,11 @@ def expansion_map(edge: DataFrame) -> DataFrame:
     return every.groupBy(F.col("source").alias("id")).agg(F.array_join(F.sort_array(F.collect_set("target")), ",").alias("related"))
 
 
+def callers(calls: DataFrame) -> DataFrame:
+    """``(callee, callers, n)`` of distinct callers."""
+    return calls.groupBy("callee").agg(F.array_join(F.sort_array(F.collect_set("caller")), ",").alias("callers"), F.count("*").alias("n"))
+
+
 def call_graph(calls: DataFrame) -> DataFrame:
     """``(caller, callees, n)`` of distinct callees."""
     return calls.groupBy("caller").agg(F.array_join(F.sort_array(F.collect_set("callee")), ",").alias("callees"), F.count("*").alias("n"))

@@ -22,7 +22,9 @@ PATTERNS = {
     "trace_id": r"(?i)(?:trace[_-]?id|x-trace-id|traceid)[=:\s]+([a-zA-Z0-9\-_]{8,})",
     "transaction_id": r"(?i)(?:transaction[_-]?id|txn[_-]?id|trxid)[=:\s]+([a-zA-Z0-9\-_]{6,})",
     "request_id": r"(?i)(?:request[_-]?id|req[_-]?id)[=:\s]+([a-zA-Z0-9\-_]{6,})",
-    "swift_msg": r"\b(MT\d{3})\b",
+    "imad": r"(?i)\b(?:IMAD)[:\s]+([A-Z0-9]{20,})",
+    "omad": r"(?i)\b(?:OMAD)[:\s]+([A-Z0-9]{20,})",
+    "swift_msg": r"(?i)\b(MT\d{3})\b",
     "error_code": r"(?i)(?:error[_-]?code|err[_-]?code)[=:\s]+([A-Z0-9_\-]+)",
     "amount": r"(?i)(?:amount|amt)[=:\s]+(\d+(?:\.\d{2})?)",
     "currency": r"(?i)(?:currency|ccy)[=:\s]+([A-Z]{3})",
@@ -49,6 +51,15 @@ def text_fields(line: Column) -> dict[str, Column]:
     return out
 
 
+def file_lines(files: DataFrame, path: str, text: str) -> DataFrame:
+    """``(path, line_no, line)`` of log files: the elements of a JSON array, or the lines; blank ones are left out."""
+    whole = F.trim(F.coalesce(F.col(text), F.lit("")))
+    array = F.when(whole.startswith("[") & whole.endswith("]"), F.from_json(whole, "array<string>"))
+    parts = F.coalesce(array, F.split(F.coalesce(F.col(text), F.lit("")), "\r\n|\n|\r"))
+    rows = files.select(F.col(path).alias("path"), F.posexplode(parts).alias("at", "line"))
+    return rows.select("path", (F.col("at") + 1).alias("line_no"), F.regexp_replace("line", r"^\s+|\s+$", "").alias("line")).filter("line <> ''")
+
+
 def is_json(line: Column) -> Column:
     """Whether a line is one JSON object; a broken one is read as text."""
     return line.rlike(r"^[ \t]*\{.*\}[ \t\r]*$") & F.get_json_object(line, "$").isNotNull()

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..runtime import materialize
+from . import vocabulary as V
 
 #: Patterns of domain terms in documents, with the kind of what they find.
 DOCUMENT_PATTERNS = [
@@ -23,12 +20,10 @@ DOCUMENT_PATTERNS = [
     (r"(?i)\berror\s+code\s+(\d{4})\b", "error_code"),
 ]
 #: Words, one of which makes a symbol a domain term.
-DOMAIN = "wire transfer payment message swift fedwire chips ach ofac sanction screen compliance bic iban aba routing account beneficiary originator sender receiver correspondent intermediary settlement clearing netting reconcil balance currency amount rate fee charge validate verify check error reject repair queue route process transaction reference mt[0-9]{3} uetr uti lei".split()
+DOMAIN = "wire transfer payment message swift fedwire chips ach ofac sanction screen compliance bic iban aba routing account beneficiary originator sender receiver correspondent intermediary settlement clearing netting reconcil balance currency amount rate fee charge validate verify check error reject repair queue route process transaction reference mt\\d{3} uetr uti lei".split()
 #: Symbols that never are domain terms.
 GENERIC = "i j k n m x y z tmp temp buf buffer ptr len length size count result status ret retval rc err error str string num int val value data info flag flags index idx pos offset begin end start stop first last next prev input output in out src dst source dest true false null none ok fail".split()
 MOST_TERMS = 30
-#: Terms of one block of a containment join.
-CONTAIN_BLOCK = 50_000
 
 
 def is_domain_term(name: Column) -> Column:
@@ -55,6 +50,38 @@ def code_mentions(functions: DataFrame, key: str, name: str) -> DataFrame:
     return kept.groupBy(F.col(key).alias("doc"), F.col(name).alias("term")).agg(F.count("*").alias("tf")).select("doc", "term", T.normalize_term(F.col("term")).alias("normalized"), F.lit("procedure").alias("kind"), "tf")
 
 
+def tal_terms(lines: DataFrame) -> DataFrame:
+    """``(file_id, line_no, term, normalized, kind, parent)`` of domain-relevant structures, fields, procedures and
+    constants of TAL lines without comments; a field has its structure as parent, others have none."""
+    word = r"([A-Za-z0-9_]+)"
+    struct, end = rf"(?i)^\s*STRUCT\s+{word}", r"(?i)^\s*END\s*;"
+    name = lambda p, g=1: F.regexp_extract("line", p, g)
+    opened = F.col("line").rlike(struct) & is_domain_term(name(struct))
+    so_far = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("_o", F.last(F.when(opened, F.struct(F.lit(True).alias("open"), name(struct).alias("name"))).when(F.col("line").rlike(end), F.struct(F.lit(False).alias("open"), F.lit("").alias("name"))), True).over(so_far))
+    inside = F.coalesce(F.col("_o.open"), F.lit(False))
+    field, proc, const = rf"(?i)^\s*(?:INT|STRING|FIXED|UNSIGNED|REAL)\s+\.?{word}", rf"(?i)^\s*(?:SUB)?PROC\s+{word}", rf"(?i)^\s*(?:DEFINE|LITERAL)\s+{word}"
+    made = F.when(F.col("line").rlike(struct), F.struct(name(struct).alias("term"), F.lit("structure").alias("kind"), F.lit("").alias("parent")))
+    made = made.when(inside & F.col("line").rlike(field), F.struct(name(field).alias("term"), F.lit("field").alias("kind"), F.col("_o.name").alias("parent")))
+    made = made.when(F.col("line").rlike(proc), F.struct(name(proc).alias("term"), F.lit("procedure").alias("kind"), F.lit("").alias("parent")))
+    made = made.when(F.col("line").rlike(const), F.struct(name(const).alias("term"), F.lit("constant").alias("kind"), F.lit("").alias("parent")))
+    found = rows.select("file_id", "line_no", made.alias("m")).filter("m is not null").select("file_id", "line_no", "m.*")
+    return found.filter(is_domain_term(F.col("term"))).withColumn("normalized", T.normalize_term(F.col("term")))
+
+
+def cobol_terms(lines: DataFrame) -> DataFrame:
+    """``(file_id, line_no, term, normalized, kind)`` of domain-relevant data items (levels 1 to 49; 1 is a structure)
+    and paragraphs of COBOL lines; the first six columns of longer lines and comment lines are left out."""
+    body = F.trim(F.when(F.length("line") > 7, F.substring("line", 7, 1 << 20)).otherwise(F.col("line")))
+    rows = lines.select("file_id", "line_no", body.alias("b")).filter("b not like '*%'")
+    item, paragraph = r"^(\d{2})\s+([A-Za-z0-9_]+(?:-[A-Za-z0-9_]+)*)", r"^([A-Za-z0-9_]+(?:-[A-Za-z0-9_]+)*)\s*\.\s*$"
+    level = F.regexp_extract("b", item, 1).try_cast("int")
+    made = F.when(F.col("b").rlike(item) & (level <= 49), F.struct(F.regexp_extract("b", item, 2).alias("term"), F.when(level == 1, "structure").otherwise("field").alias("kind")))
+    made = made.when(F.col("b").rlike(paragraph), F.struct(F.regexp_extract("b", paragraph, 1).alias("term"), F.lit("procedure").alias("kind")))
+    found = rows.select("file_id", "line_no", made.alias("m")).filter("m is not null").select("file_id", "line_no", "m.*")
+    return found.filter(is_domain_term(F.col("term"))).withColumn("normalized", T.normalize_term(F.col("term")))
+
+
 def merge_mentions(mentions: DataFrame, per_more: float) -> DataFrame:
     """One row per term: first label, kind, counts, and 1 plus ``per_more`` for each further document."""
     merged = mentions.groupBy("normalized").agg(F.min("term").alias("label"), F.min("kind").alias("kind"), F.sum("tf").alias("tf"), F.count_distinct("doc").alias("df"))
@@ -86,34 +113,10 @@ def cooccurring(mentions: DataFrame, most: int = 5, least: int = 2) -> DataFrame
     return counted.withColumn("_r", F.row_number().over(order)).filter((F.col("_r") <= most) & (F.col("n") >= least)).drop("_r")
 
 
-def containing(left: DataFrame, a: str, right: DataFrame, b: str) -> DataFrame:
-    """Pairs ``(a, b)`` of distinct strings of which ``a`` contains ``b``, by an automaton per block of ``right``."""
-    strings = materialize(right.select(F.col(b).alias("b")).filter("b <> ''").distinct())
-    blocks = max(1, -(-strings.count() // CONTAIN_BLOCK))
-    rows, out = left.select(F.col(a).alias("a")).filter("a is not null").distinct(), None
-    for k in range(blocks):
-        words = [r["b"] for r in strings.filter(F.pmod(F.xxhash64("b"), F.lit(blocks)) == k).collect()]
-
-        def run(batches: Iterator[pd.DataFrame], words=words) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            machine = ahocorasick.Automaton()
-            for w in words:
-                machine.add_word(w, w)
-            if words:
-                machine.make_automaton()
-            for x in batches:
-                yield pd.DataFrame([(s, w) for s in x["a"] for w in ({w for _, w in machine.iter(s)} if words else ())], columns=["a", "b"])
-
-        part = rows.mapInPandas(run, "a string, b string")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def implements(procedures: DataFrame, terms: DataFrame) -> DataFrame:
     """``(source, target)``: procedures and terms of which one's name contains the other's."""
-    one = containing(procedures, "normalized", terms, "normalized").select(F.col("a").alias("source"), F.col("b").alias("target"))
-    two = containing(terms, "normalized", procedures, "normalized").select(F.col("b").alias("source"), F.col("a").alias("target"))
+    one = V.containing(procedures, "normalized", terms, "normalized").select(F.col("text").alias("source"), F.col("piece").alias("target"))
+    two = V.containing(terms, "normalized", procedures, "normalized").select(F.col("piece").alias("source"), F.col("text").alias("target"))
     return one.unionByName(two).filter("source <> target").distinct()
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
+import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,8 +15,10 @@ from ..operators import logtraces as L
 from ..operators import mining as M
 from ..operators import program as P
 from ..operators import stats
-from ..runtime import materialize, table
+from ..operators import vocabulary as V
+from ..runtime import ensure_checkpoint_dir, materialize, table
 from ..sources import files
+from . import packed_sql, retrieval, tal_fixture
 from .fixtures import GREP_WORDS
 
 R = lambda c: F.round(c, 6)
@@ -93,11 +97,59 @@ def kg_nodes(s, d):
 
 
 def kg_related_bfs(s, d):
-    return G.related(_edges(s, d), _seeds(s, d), "seed").select("seed", "id", "depth", "weight", "rank")
+    return G.related(_edges(s, d), _seeds(s, d), "seed").select("seed", "id", "type", "depth", "weight", "rank")
+
+
+def kg_related_typed(s, d):
+    """Over one type of edges, to depth 3."""
+    return G.related(_edges(s, d), _seeds(s, d), "seed", 3, 10, ["implements"]).select("seed", "id", "type", "depth", "weight", "rank")
 
 
 def kg_expand_query(s, d):
-    return G.expand(_edges(s, d), _seeds(s, d), "seed", "seed")
+    return G.expand(_edges(s, d), retrieval._asked(s, d), "qid", "q")
+
+
+def _mined(s, d):
+    terms = materialize(_weighed(s, d))
+    contains = M.tal_terms(_tal_lines(s, d)).filter("parent <> ''").select(T.normalize_term(F.col("parent")).alias("source"), "normalized").select("source", F.col("normalized").alias("target"), F.lit("contains").alias("type"))
+    together = M.cooccurring(_doc_mentions(s, d))
+    pairs = together.select("source", "target", F.lit("co_occurs_with").alias("type"))
+    makes = implements_edges(s, d).select("source", "target", F.lit("implements").alias("type"))
+    return G.generate(terms, contains.unionByName(pairs).unionByName(makes), together)
+
+
+def mined_nodes(s, d):
+    return _mined(s, d)[0]
+
+
+def mined_edges(s, d):
+    return _mined(s, d)[1].groupBy("type").agg(F.count("*").alias("edges"), F.count_distinct("source").alias("sources"))
+
+
+def mined_statistics(s, d):
+    return G.statistics(*_mined(s, d))
+
+
+def mined_append(s, d):
+    """The mined graph with that of the relationships table appended: terms of both are one node."""
+    node = G.nodes(_edges(s, d)).select("id", F.col("id").alias("label"), F.lit("term").alias("type"), F.lit("code").alias("source"), F.lit(1.0).alias("confidence"), F.lit(0.0).alias("tf_idf_score"), (F.col("in_degree") + F.col("out_degree")).alias("term_frequency"), F.lit(1).cast("long").alias("document_frequency"), F.lit("").alias("co_occurs_with"))
+    nodes, edges = G.append(_mined(s, d), (node, _edges(s, d).select("source", "target", "type")))
+    return G.statistics(nodes, edges)
+
+
+def kg_lookup(s, d):
+    """The vocabulary's terms as nodes of the mined graph, by id or label."""
+    terms = retrieval._vocab(s, d).select(F.explode("terms").alias("term")).distinct()
+    return G.lookup(mined_nodes(s, d).select("id", "label", "tf_idf_score", "co_occurs_with"), terms, "term").filter("id is not null").select("term", "id", "tf_idf_score", "co_occurs_with")
+
+
+def expand_suggestions(s, d):
+    node, edge = _mined(s, d)
+    return G.suggest(materialize(node), materialize(edge), retrieval._asked(s, d), "qid", "q", retrieval._vocab(s, d)).select("qid", "term", "relationship", R("score").alias("score"), "rank")
+
+
+def tal_domain_terms(s, d):
+    return M.tal_terms(_tal_lines(s, d)).groupBy("kind", "normalized", "parent").agg(F.count("*").alias("n"))
 
 
 def expansion_map(s, d):
@@ -144,8 +196,18 @@ def relevant_sections(s, d):
 
 
 def embedding_text(s, d):
+    found = V.matches(_docs(s, d), "doc_id", "text", retrieval._vocab(s, d))
+    spot = F.struct("end", (-F.length("term")).alias("n"), "entry", "concept")
+    order = Window.partitionBy("doc").orderBy(spot)
+    found = found.select("doc", "canonical", F.slice("capabilities", 1, 2).alias("two"), F.row_number().over(order).alias("m"))
+    lists = found.groupBy("doc").agg(F.sort_array(F.collect_list(F.when(F.col("m") <= 5, F.struct("m", "canonical")))).alias("c"), F.sort_array(F.collect_list(F.struct("m", "two"))).alias("k"))
     none = F.array().cast("array<string>")
-    return _docs(s, d).select("doc_id", T.content_id(F.col("source_type"), F.col("file_path"), F.coalesce("text", F.lit(""))).alias("chunk_id"), F.md5(D.embedding_text(F.col("source_type"), F.array("source"), none, F.coalesce("text", F.lit(""))).cast("binary")).alias("digest"))
+    named = F.coalesce(F.transform("c", lambda x: x["canonical"]), none)
+    able = F.coalesce(F.array_distinct(F.flatten(F.transform("k", lambda x: x["two"]))), none)
+    kind = F.when(F.col("source_type") == "log", "transaction").when(F.col("source_type") == "code", "procedure").otherwise("paragraph")
+    rows = _docs(s, d).join(lists, F.col("doc_id") == F.col("doc"), "left")
+    text = D.embedding_text(kind, named, able, F.coalesce("text", F.lit("")), section=F.col("source"))
+    return rows.select("doc_id", T.content_id(F.col("source_type"), F.col("file_path"), F.col("text")).alias("chunk_id"), F.md5(text.cast("binary")).alias("digest"))
 
 
 # Logs.
@@ -164,7 +226,7 @@ def log_parse_json(s, d):
 def log_parse_text(s, d):
     f = L.text_fields(F.col("raw_line"))
     rows = _lines(s, d).filter("raw_line not like '{%'")
-    return rows.select("file_path", "line_no", *(f[k].alias(k) for k in ("timestamp", "level", "transaction_id", "swift_msg", "error_code", "amount", "currency", "is_error")))
+    return rows.select("file_path", "line_no", *(f[k].alias(k) for k in ("timestamp", "level", "transaction_id", "imad", "omad", "swift_msg", "error_code", "amount", "currency", "is_error")))
 
 
 def _entries(s, d):
@@ -178,6 +240,10 @@ def log_traces(s, d):
     return L.traces(e, key, ["file_path", "line_no"], "at", "bad", "code").unionByName(L.singles(L.orphans(e, key, "line_no"), "at", "bad", "code"))
 
 
+def log_trace_chunks(s, d):
+    return L.trace_chunks(log_traces(s, d)).select("chunk_id", "semantic_type", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 def log_batches(s, d):
     rows = L.positions(table(s, d, "log_entries").filter("raw_line is not null").select("file_path", "line_no").distinct(), "file_path", "line_no")
     return rows.groupBy("file_path", F.floor(F.col("position") / 10).alias("batch")).agg(F.count("*").alias("n"), F.min("line_no").alias("first"), F.max("line_no").alias("last"))
@@ -202,7 +268,7 @@ def language_histogram(s, d):
 
 
 def _tal(s, d):
-    return table(s, d, "source_files").filter("lower(file_path) like '%.tal' and content is not null").select("file_id", "content").distinct()
+    return table(s, d, "source_files").filter("lower(file_path) like '%.tal' and content is not null").select("file_id", "content")
 
 
 def _tal_lines(s, d):
@@ -233,6 +299,27 @@ def external_calls(s, d):
     return G.external_calls(tal_procs(s, d), call_edges(s, d)).groupBy("callee").agg(F.count("*").alias("n"))
 
 
+def reverse_call_graph(s, d):
+    return G.callers(call_edges(s, d).select("caller", "callee"))
+
+
+def tal_bodies(s, d):
+    return P.bodies(_tal_lines(s, d))
+
+
+def tal_globals(s, d):
+    return P.global_variables(_tal_lines(s, d))
+
+
+def tal_locals(s, d):
+    return P.local_variables(_tal_lines(s, d))
+
+
+def tal_fixture_facts(s, d):
+    """All facts of the fixture's text, which has every kind of declaration."""
+    return tal_fixture.facts(s)
+
+
 def complexity(s, d):
     return P.complexity(table(s, d, "code_functions").select("func_id", "body").distinct(), "func_id", "body")
 
@@ -254,8 +341,8 @@ def tal_defines(s, d):
 
 
 def code_functions(s, d):
-    rows = table(s, d, "source_files").filter("content is not null").select("file_id", T.language_of_path(F.col("file_path")).alias("language"), "content").distinct()
-    return _functions(rows)
+    rows = table(s, d, "source_files").filter("content is not null").select("file_id", T.language_of_path(F.col("file_path")).alias("language"), "content")
+    return _functions(rows).distinct()
 
 
 def _functions(rows):
@@ -304,8 +391,9 @@ def event_stream_traces(s, d):
 
     schema = table(s, d, "events").schema
     traced = logs.traces(logs.read_events(s, d, schema), "user_id", "ts", "event_type")
-    logs.run_available(traced, "event_traces", "update", tempfile.mkdtemp())
-    return s.table("event_traces").groupBy("trace").agg(F.max("entries").alias("entries"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max("has_error").alias("has_error"))
+    ensure_checkpoint_dir(s)
+    folder = os.path.join(s.sparkContext._jsc.sc().getCheckpointDir().get(), f"stream-{uuid.uuid4().hex}")
+    return logs.run_available(traced, "event_traces", "update", folder).groupBy("trace").agg(F.max("entries").alias("entries"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.max("has_error").alias("has_error"))
 
 
 # SQL.
@@ -332,17 +420,48 @@ _KE = rf"""kr AS (SELECT {_NORM('trim(source_term)')} AS source, {_NORM('trim(ta
 ke AS (SELECT source, target, type, count(*) AS weight FROM kr WHERE source <> '' AND target <> '' AND source <> target GROUP BY source, target, type)"""
 _SEEDS = f"sd AS (SELECT DISTINCT {_NORM('trim(source_term)')} AS seed FROM relationships WHERE rel_id % 50 = 0 AND source_term IS NOT NULL AND {_NORM('trim(source_term)')} <> '')"
 _REL = "('contains', 'implements', 'related_to')"
+
+
+def _bfs(depth: int, only: str = "") -> str:
+    """Terms by the edge of their first step, ranked by weight."""
+    steps, seen = [], "SELECT seed, seed AS id FROM sd"
+    for n in range(1, depth + 1):
+        source = "(SELECT seed, seed AS id FROM sd)" if n == 1 else f"d{n - 1}"
+        steps.append(f"d{n} AS (SELECT p.seed, target AS id, {n} AS depth, min(struct_pack(w := -weight, back := back, type := type)) AS e FROM {source} p JOIN b ON b.source = p.id WHERE (p.seed, target) NOT IN ({seen}) GROUP BY 1, 2)")
+        seen += f" UNION ALL SELECT seed, id FROM d{n}"
+    every = " UNION ALL ".join(f"SELECT * FROM d{n}" for n in range(1, depth + 1))
+    return f"""WITH {_KE}, {_SEEDS}, b AS (SELECT source, target, type, false AS back, weight FROM ke {only} UNION ALL SELECT target, source, 'rev_' || type, true, weight FROM ke {only}), {", ".join(steps)},
+ r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY e.w, depth, id) AS rank FROM ({every})) SELECT seed, id, e.type AS type, depth, (-e.w)::BIGINT AS weight, rank FROM r WHERE rank <= 10"""
+
+
 _HEADING = r"(length(trim(line)) > 0 AND length(trim(line)) < 100 AND NOT regexp_matches(trim(line), '[.,;:]$') AND ((upper(trim(line)) = trim(line) AND lower(trim(line)) <> trim(line)) OR regexp_matches(trim(line), '^[0-9]+\.?[ \t]+[A-Za-z0-9_]') OR regexp_matches(trim(line), '^[A-Z][a-z]+([ \t]+[A-Z][a-z]+)*$') OR (regexp_matches(trim(line), '^[A-Z0-9 \t\-:]+$') AND length(trim(line)) < 80)))"
 _LINES = "SELECT DISTINCT file_path, line_no, raw_line FROM log_entries WHERE raw_line IS NOT NULL"
 _PATTERN = lambda n: f"nullif(regexp_extract(raw_line, '{L.PATTERNS[n]}', 1), '')"
 _BAD = f"CASE WHEN {_PATTERN('level')} IS NULL THEN contains(lower(raw_line), 'error') ELSE upper({_PATTERN('level')}) IN ('ERROR', 'FATAL', 'CRITICAL') END"
 _JSON = lambda n: "coalesce(" + ", ".join(f"""nullif(nullif(json_extract_string(raw_line, '$."{k}"'), ''), '0')""" for k in L.FIELDS[n]) + ")"
+_TRACES = rf"""l AS ({_LINES}), j AS (SELECT *, coalesce(regexp_matches(raw_line, '^[ \t]*\{{.*\}}[ \t\r]*$') AND json_valid(raw_line), false) AS js FROM l WHERE regexp_matches(raw_line, '\S')),
+e AS (SELECT file_path, line_no, {_JSON('timestamp')} AS t, coalesce({_JSON('trace_id')}, {_JSON('transaction_id')}, {_JSON('request_id')}) AS key, coalesce(upper({_JSON('level')}) IN ('ERROR', 'FATAL', 'CRITICAL'), false) AS bad, {_JSON('error_code')} AS code FROM j WHERE js
+  UNION ALL SELECT file_path, line_no, {_PATTERN('timestamp')}, coalesce({_PATTERN('trace_id')}, {_PATTERN('transaction_id')}, {_PATTERN('request_id')}), {_BAD}, {_PATTERN('error_code')} FROM j WHERE NOT js),
+k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY file_path, line_no) AS r FROM e WHERE key IS NOT NULL QUALIFY r <= 50),
+tr AS (SELECT key AS trace, count(*) AS entries, arg_min(t, r) FILTER (t IS NOT NULL) AS start_ts, arg_max(t, r) FILTER (t IS NOT NULL) AS end_ts, coalesce(bool_or(bad), false) AS has_error, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') AS codes FROM k GROUP BY key
+  UNION ALL SELECT 'orphan_' || line_no, 1, t, t, coalesce(bad, false), coalesce(code, '') FROM e WHERE key IS NULL)"""
 _STRIP = lambda c: "trim(regexp_replace(regexp_replace(" + "regexp_replace(" * 5 + c + "".join(f", '(?is)<{t}\\b[^>]*>.*?</{t}>', ' ', 'g')" for t in ("script", "style", "nav", "footer", "header")) + r", '<[^>]+>', ' ', 'g'), '[ \t\r\n\f]+', ' ', 'g'))"
 _TL = r"""tf0 AS (SELECT DISTINCT file_id, content FROM source_files WHERE lower(file_path) LIKE '%.tal' AND content IS NOT NULL),
 tl0 AS (SELECT file_id, unnest(regexp_split_to_array(content, '\r\n|\n|\r')) AS raw, generate_subscripts(regexp_split_to_array(content, '\r\n|\n|\r'), 1) AS line_no FROM tf0),
 tl AS (SELECT file_id, line_no, regexp_replace(raw, '^((?:[^"!]|"[^"]*")*?)(?:!|--).*$', '\1') AS line FROM tl0)"""
-_TP = f"{_TL}, tp AS (SELECT file_id, line_no, regexp_extract(line, '{P.PROC}', 2) AS name, upper(regexp_extract(line, '{P.PROC}', 1)) AS returns, regexp_matches(line, '(?i)\\bMAIN\\b') AS is_main, regexp_matches(line, '(?i)\\bEXTERNAL\\b') OR regexp_matches(line, '(?i)\\bFORWARD\\b') AS is_external FROM tl WHERE regexp_matches(line, '{P.PROC}'))"
-_TC = f"{_TP}, tb AS (SELECT file_id, line_no, line, regexp_matches(line, '{P.PROC}') AS declares, last_value(CASE WHEN regexp_matches(line, '{P.PROC}') THEN regexp_extract(line, '{P.PROC}', 2) END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS caller FROM tl), tc AS (SELECT file_id, caller, unnest(regexp_extract_all(line, '(?i)\\bCALL[ \\t]+([a-zA-Z_][a-zA-Z0-9_^]*)', 1)) AS callee, line_no FROM tb WHERE NOT declares AND caller IS NOT NULL)"
+_TP = rf"""{_TL}, tm AS (SELECT *, regexp_matches(line, '{P.PROC}') AS declares, sum(regexp_matches(line, '{P.PROC}')::INT) OVER (PARTITION BY file_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS g FROM tl),
+to_ AS (SELECT *, coalesce(sum(contains(line, ';')::INT) OVER (PARTITION BY file_id, g ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed FROM tm WHERE g > 0),
+th AS (SELECT file_id, min(line_no) AS line_no, string_agg(line, ' ' ORDER BY line_no) AS line FROM to_ WHERE closed = 0 GROUP BY file_id, g),
+tp AS (SELECT file_id, line_no, regexp_extract(line, '{P.PROC}', 2) AS name, upper(regexp_extract(line, '{P.PROC}', 1)) AS returns, regexp_matches(line, '(?i)\bMAIN\b') AS is_main, regexp_matches(line, '(?i)\bEXTERNAL\b') OR regexp_matches(line, '(?i)\bFORWARD\b') AS is_external FROM th)"""
+_TW = ", ".join(f"'{w}'" for w in [*P.TAL_WORDS, *(t.lower() for t in P.TYPE_BYTES)])
+_TB = f"{_TP}, tb AS (SELECT file_id, line_no, line, declares, last_value(CASE WHEN declares THEN regexp_extract(line, '{P.PROC}', 2) END IGNORE NULLS) OVER w AS caller, last_value(CASE WHEN declares THEN line_no END IGNORE NULLS) OVER w AS spot FROM tm WINDOW w AS (PARTITION BY file_id ORDER BY line_no ROWS UNBOUNDED PRECEDING))"
+_TC = rf"""{_TB}, tq AS (SELECT *, regexp_replace(regexp_replace(line, '"[^"]*"', '""', 'g'), '(?i)\bP?CALL?[ \t]+[a-zA-Z_][a-zA-Z0-9_^]*', '', 'g') AS bare FROM tb WHERE NOT declares AND caller IS NOT NULL),
+tc AS (SELECT file_id, caller, unnest(regexp_extract_all(line, '(?i)\bCALL[ \t]+([a-zA-Z_][a-zA-Z0-9_^]*)', 1)) AS callee, 'CALL' AS kind, line_no FROM tq
+  UNION ALL SELECT file_id, caller, unnest(regexp_extract_all(line, '(?i)\bPCAL[ \t]+([a-zA-Z_][a-zA-Z0-9_^]*)', 1)), 'PCAL', line_no FROM tq
+  UNION ALL SELECT * FROM (SELECT file_id, caller, unnest(list_filter(regexp_extract_all(bare, '([a-zA-Z_][a-zA-Z0-9_^]*)[ \t]*\(', 1), lambda x: lower(x) NOT IN ({_TW}))) AS callee, 'function' AS kind, line_no FROM tq) WHERE callee <> caller)"""
+_TY = rf"""{_TB}, ty AS (SELECT caller AS name, file_id, spot AS line_no, min(CASE WHEN regexp_matches(line, '(?i)\bBEGIN\b') THEN line_no END) AS first, max(CASE WHEN regexp_matches(line, '(?i)\bEND[ \t]*;') THEN line_no END) AS last FROM tb WHERE caller IS NOT NULL AND (file_id, spot) IN (SELECT file_id, line_no FROM tp WHERE NOT is_external) GROUP BY ALL HAVING first IS NOT NULL AND last > first)"""
+_VARS = lambda src, keep: rf"""SELECT {keep}, regexp_extract(v, '^[.*]*[ \t]*(?i:EXT[ \t]+)?([A-Za-z_][A-Za-z0-9_^]*)', 1) AS name, type, starts_with(v, '.') AS is_pointer, nullif(regexp_extract(v, '\[[ \t]*(-?[0-9]+)[ \t]*:[ \t]*(-?[0-9]+)[ \t]*\]', 1), '')::INT AS low, nullif(regexp_extract(v, '\[[ \t]*(-?[0-9]+)[ \t]*:[ \t]*(-?[0-9]+)[ \t]*\]', 2), '')::INT AS high
+ FROM (SELECT {keep}, upper(regexp_extract(line, '{P._VARIABLES}', 1)) AS type, trim(unnest(string_split(regexp_extract(line, '{P._VARIABLES}', 2), ','))) AS v FROM {src} WHERE regexp_matches(line, '{P._VARIABLES}') AND NOT regexp_matches(line, '(?i)\b(?:SUB)?PROC\b')) WHERE v <> ''"""
 _ROLL = "SELECT coalesce(source_type, '') AS source_type, coalesce(lang, '') AS lang, n_chars FROM documents"
 
 SQL = {
@@ -355,27 +474,38 @@ SQL = {
     "vocab_generate": f"WITH {_CROSS}, n AS (SELECT *, (row_number() OVER (PARTITION BY kind ORDER BY round(tfidf, 9) DESC, confidence DESC, normalized) - 1) // 5 AS entry FROM wt WHERE normalized NOT IN ('settlement', 'netting')) SELECT kind, entry, string_agg(normalized, ',' ORDER BY round(tfidf, 9) DESC, confidence DESC, normalized) AS keywords, round(avg(tfidf), 6) AS tfidf, sum(tf)::BIGINT AS tf, round(avg(df), 6) AS df FROM n GROUP BY kind, entry",
     "kg_edges": f"WITH {_KE} SELECT * FROM ke",
     "kg_nodes": f"WITH {_KE}, u AS (SELECT source AS id, 1 AS o, 0 AS i FROM ke UNION ALL SELECT target, 0, 1 FROM ke) SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM u GROUP BY id",
-    "kg_related_bfs": f"""WITH {_KE}, {_SEEDS}, b0 AS (SELECT source, target, weight FROM ke UNION ALL SELECT target, source, weight FROM ke), b AS (SELECT source, target, weight FROM (SELECT source, target, sum(weight) AS weight FROM b0 GROUP BY source, target) QUALIFY row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) <= 20),
- d1 AS (SELECT seed, target AS id, 1 AS depth, max(weight) AS weight FROM sd JOIN b ON source = seed WHERE target <> seed GROUP BY ALL),
- d2 AS (SELECT d1.seed, b.target AS id, 2 AS depth, max(b.weight) AS weight FROM d1 JOIN b ON b.source = d1.id WHERE b.target <> d1.seed AND (d1.seed, b.target) NOT IN (SELECT seed, id FROM d1) GROUP BY ALL),
- u AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2), r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY depth, weight DESC, id) AS rank FROM u) SELECT seed, id, depth, weight::BIGINT AS weight, rank FROM r WHERE rank <= 10""",
-    "kg_expand_query": f"""WITH {_KE}, {_SEEDS}, a AS (SELECT source, target FROM (SELECT source, target, sum(weight) AS w FROM ke WHERE type IN {_REL} GROUP BY source, target) QUALIFY row_number() OVER (PARTITION BY source ORDER BY w DESC, target) <= 5), c AS (SELECT source, target FROM (SELECT source, target, sum(weight) AS w FROM ke WHERE type = 'co_occurs_with' GROUP BY source, target) QUALIFY row_number() OVER (PARTITION BY source ORDER BY w DESC, target) <= 3),
- u AS (SELECT DISTINCT seed, replace(target, '_', ' ') AS t FROM sd LEFT JOIN (SELECT * FROM a UNION ALL SELECT * FROM c) x ON source = seed) SELECT seed AS qid, replace(seed, '_', ' ') || ' ' || coalesce(string_agg(t, ' ' ORDER BY t), '') AS expanded FROM u GROUP BY seed""",
+    "kg_related_bfs": _bfs(2),
+    "kg_related_typed": _bfs(3, "WHERE type = 'implements'"),
+    "kg_expand_query": rf"""WITH {_KE}, {retrieval._ASKED}, wd AS (SELECT DISTINCT qid, unnest(list_filter(regexp_split_to_array(lower(q), '[ \t\r\n]+'), lambda x: x <> '')) AS word FROM asked), wn AS (SELECT qid, word, {_NORM('word')} AS seed FROM wd),
+ b AS (SELECT source, target, type, weight FROM ke UNION ALL SELECT target, source, 'rev_' || type, weight FROM ke),
+ n1 AS (SELECT source, target, max(weight) AS w FROM b WHERE replace(type, 'rev_', '') IN ('co_occurs_with', 'implements', 'related_to') GROUP BY source, target QUALIFY row_number() OVER (PARTITION BY source ORDER BY max(weight) DESC, target) <= 5),
+ n2 AS (SELECT source, target, max(weight) AS w FROM b WHERE replace(type, 'rev_', '') = 'co_occurs_with' GROUP BY source, target QUALIFY row_number() OVER (PARTITION BY source ORDER BY max(weight) DESC, target) <= 3),
+ u AS (SELECT qid, word FROM wd UNION SELECT qid, replace(target, '_', ' ') FROM wn JOIN (SELECT source, target FROM n1 UNION SELECT source, target FROM n2) ON source = seed) SELECT qid, string_agg(word, ' ' ORDER BY word) AS expanded FROM u GROUP BY qid""",
     "expansion_map": f"WITH {_KE}, u AS (SELECT source AS id, target FROM ke WHERE type IN {_REL} OR type = 'co_occurs_with' UNION SELECT target, source FROM ke WHERE type = 'co_occurs_with') SELECT id, string_agg(target, ',' ORDER BY target) AS related FROM u GROUP BY id",
     "html_strip": f"SELECT doc_id, {_STRIP('text')} AS bare FROM documents WHERE contains(lower(text), '<html')",
     "heading_detect": rf"WITH r AS (SELECT DISTINCT section_id, content FROM document_sections), l AS (SELECT section_id, unnest(regexp_split_to_array(coalesce(content, ''), '\r\n|\n|\r')) AS line FROM r) SELECT section_id, count(*) AS headings FROM l WHERE {_HEADING} GROUP BY section_id",
     "chunk_fixed_stride": "WITH c AS (SELECT doc_id AS doc, text, unnest(generate_series(1, greatest(length(text) - 100, 1), 700)) AS s FROM documents WHERE text IS NOT NULL AND length(text) > 0) SELECT doc, (s - 1) // 700 AS n, md5(substring(text, s, 800)) AS digest FROM c",
     "relevant_sections": rf"WITH l AS (SELECT doc_id AS doc, unnest(regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r')) AS line, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r'), 1) AS spot FROM documents), h AS (SELECT *, max(CASE WHEN {' OR '.join(f'''contains(lower(line), '{w}')''' for w in GREP_WORDS)} THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY spot ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM l), g AS (SELECT doc, spot, coalesce(spot - lag(spot) OVER (PARTITION BY doc ORDER BY spot) > 1, false) AS gap FROM h WHERE near = 1) SELECT doc, count(*) AS n_lines, sum(gap::INT)::BIGINT AS gaps, min(spot) AS first, max(spot) AS last FROM g GROUP BY doc",
-    "embedding_text": "SELECT doc_id, source_type || '_' || left(md5(concat_ws(':', file_path, substring(coalesce(text, ''), 1, 100))), 12) AS chunk_id, md5(substring('Type: ' || source_type || chr(10) || 'Concepts: ' || coalesce(source, '') || chr(10) || coalesce(text, ''), 1, 1500)) AS digest FROM documents",
+    "embedding_text": f"""WITH {retrieval._VM}, o AS (SELECT doc, canonical, capabilities[1:2] AS two, row_number() OVER (PARTITION BY doc ORDER BY "end", length(term) DESC, entry, concept) AS m FROM vm),
+ c AS (SELECT doc, array_to_string(list(canonical ORDER BY m) FILTER (m <= 5), ', ') AS cs FROM o GROUP BY doc), k0 AS (SELECT doc, m, unnest(two) AS k, generate_subscripts(two, 1) AS i FROM o), k1 AS (SELECT doc, k, min(struct_pack(m := m, i := i)) AS spot FROM k0 GROUP BY ALL),
+ k AS (SELECT doc, array_to_string(list(k ORDER BY spot)[1:5], ', ') AS ks FROM k1 GROUP BY doc),
+ p AS (SELECT doc_id, source_type, file_path, coalesce(text, '') AS text, CASE source_type WHEN 'log' THEN 'Transaction record for' WHEN 'code' THEN 'TAL procedure that' ELSE 'Document content about' END || ' ' || cs || '.' AS p1, CASE WHEN ks IS NOT NULL THEN 'Business capabilities: ' || ks || '.' END AS p2, 'Section: ' || source AS p3 FROM documents LEFT JOIN c ON c.doc = doc_id LEFT JOIN k ON k.doc = doc_id)
+ SELECT doc_id, source_type || '_' || left(md5(coalesce(file_path, '') || ':' || substring(text, 1, 200) || ':'), 12) AS chunk_id, md5(concat_ws(' ', p1, p2, p3, substring(text, 1, 1500 - coalesce(length(p1), 0) - coalesce(length(p2), 0) - coalesce(length(p3), 0)))) AS digest FROM p""",
     "log_parse_json": rf"WITH l AS ({_LINES}), j AS (SELECT * FROM l WHERE regexp_matches(raw_line, '^\{{.*\}}[ \t\r]*$')) SELECT file_path, line_no, {_JSON('timestamp')} AS timestamp, upper({_JSON('level')}) AS level, {_JSON('message')} AS message, {_JSON('transaction_id')} AS transaction_id, {_JSON('error_code')} AS error_code, coalesce(upper({_JSON('level')}) IN ('ERROR', 'FATAL', 'CRITICAL'), false) AS is_error FROM j",
-    "log_parse_text": f"WITH l AS ({_LINES}) SELECT file_path, line_no, {_PATTERN('timestamp')} AS timestamp, upper({_PATTERN('level')}) AS level, {_PATTERN('transaction_id')} AS transaction_id, {_PATTERN('swift_msg')} AS swift_msg, {_PATTERN('error_code')} AS error_code, {_PATTERN('amount')} AS amount, {_PATTERN('currency')} AS currency, {_BAD} AS is_error FROM l WHERE raw_line NOT LIKE '{{%'",
-    "log_traces": f"WITH l AS ({_LINES}), e AS (SELECT file_path, line_no, {_PATTERN('timestamp')} AS t, {_PATTERN('transaction_id')} AS txn, {_BAD} AS bad, {_PATTERN('error_code')} AS code FROM l), k AS (SELECT *, row_number() OVER (PARTITION BY txn ORDER BY file_path, line_no) AS r FROM e WHERE txn IS NOT NULL QUALIFY r <= 50) SELECT txn AS trace, count(*) AS entries, arg_min(t, r) FILTER (t IS NOT NULL) AS start_ts, arg_max(t, r) FILTER (t IS NOT NULL) AS end_ts, coalesce(bool_or(bad), false) AS has_error, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') AS codes FROM k GROUP BY txn",
+    "log_parse_text": f"WITH l AS ({_LINES}) SELECT file_path, line_no, {_PATTERN('timestamp')} AS timestamp, upper({_PATTERN('level')}) AS level, {_PATTERN('transaction_id')} AS transaction_id, {_PATTERN('imad')} AS imad, {_PATTERN('omad')} AS omad, {_PATTERN('swift_msg')} AS swift_msg, {_PATTERN('error_code')} AS error_code, {_PATTERN('amount')} AS amount, {_PATTERN('currency')} AS currency, {_BAD} AS is_error FROM l WHERE raw_line NOT LIKE '{{%'",
+    "log_traces": f"WITH {_TRACES} SELECT * FROM tr",
+    "log_trace_chunks": f"WITH {_TRACES} SELECT 'log_' || left(md5(trace), 12) AS chunk_id, CASE WHEN has_error THEN 'error_trace' ELSE 'transaction' END AS semantic_type, md5(concat_ws(chr(10), 'Trace: ' || trace, 'Entries: ' || entries, concat_ws(' - ', start_ts, end_ts), CASE WHEN codes <> '' THEN 'Codes: ' || codes END)) AS digest FROM tr",
     "log_batches": "WITH l AS (SELECT DISTINCT file_path, line_no FROM log_entries WHERE raw_line IS NOT NULL), p AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line_no) - 1 AS p FROM l) SELECT file_path, p // 10 AS batch, count(*) AS n, min(line_no) AS first, max(line_no) AS last FROM p GROUP BY ALL",
     "domain_counts": "SELECT coalesce(source, 'default') AS source, count(*) AS n, round(100 * count(*) / (SELECT count(*) FROM documents), 6) AS pct FROM documents GROUP BY 1",
     "source_rollup": f"WITH r AS ({_ROLL}) SELECT source_type, lang, count(*) AS n, count(DISTINCT n_chars) AS distinct_values, sum(n_chars)::BIGINT AS total, 2 - grouping(source_type) - grouping(lang) AS level FROM r GROUP BY ROLLUP (source_type, lang)",
     "language_histogram": "WITH f AS (SELECT DISTINCT file_id, lower(trim(language)) AS language FROM source_files) SELECT language, count(*) AS files FROM f GROUP BY 1",
     "tal_procs": f"WITH {_TP} SELECT * FROM tp",
     "call_edges": f"WITH {_TC} SELECT * FROM tc",
+    "reverse_call_graph": f"WITH {_TC} SELECT callee, string_agg(DISTINCT caller, ',' ORDER BY caller) AS callers, count(*) AS n FROM tc GROUP BY callee",
+    "tal_bodies": f"WITH {_TY} SELECT file_id, name, line_no, first, last FROM ty",
+    "tal_globals": f"WITH {_TB}, gl AS (SELECT * FROM tb WHERE caller IS NULL AND NOT declares) {_VARS('gl', 'file_id, line_no')}",
+    "tal_locals": f"WITH {_TY}, li AS (SELECT tb.file_id, tb.line_no, tb.line, caller AS proc, max(regexp_matches(tb.line, '(?i)^[ \\t]*(?:IF|WHILE|FOR|CALL|CASE|RETURN)\\b')::INT) OVER (PARTITION BY tb.file_id, spot ORDER BY tb.line_no ROWS UNBOUNDED PRECEDING) AS s FROM tb JOIN ty ON ty.file_id = tb.file_id AND ty.line_no = spot AND tb.line_no BETWEEN first AND last), lj AS (SELECT * FROM li WHERE s = 0) {_VARS('lj', 'file_id, proc, line_no')}",
+    "tal_fixture_facts": tal_fixture.SQL,
     "call_graph": f"WITH {_TC} SELECT caller, string_agg(DISTINCT callee, ',' ORDER BY callee) AS callees, count(*) AS n FROM tc GROUP BY caller",
     "entry_points": f"WITH {_TC} SELECT DISTINCT file_id, name FROM tp WHERE (file_id, name) NOT IN (SELECT file_id, callee FROM tc WHERE caller <> callee)",
     "external_calls": f"WITH {_TC} SELECT callee, count(*) AS n FROM tc WHERE (file_id, callee) NOT IN (SELECT file_id, name FROM tp) GROUP BY callee",
@@ -384,4 +514,4 @@ SQL = {
     "window_events": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "session_events": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events), r AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM r GROUP BY user_id, k",
 }
-QUERIES = {f.__name__: f for f in (mention_merge, cross_ref_merge, corpus_tfidf, cooccurrence_edges, implements_edges, term_statistics, vocab_generate, kg_edges, kg_nodes, kg_related_bfs, kg_expand_query, expansion_map, html_strip, heading_detect, markdown_sections, text_sections, chunk_fixed_stride, chunk_overlap_exact, line_windows, relevant_sections, embedding_text, log_parse_json, log_parse_text, log_traces, log_batches, domain_counts, source_rollup, language_histogram, tal_procs, tal_parameters, call_edges, call_graph, entry_points, external_calls, complexity, function_calls, tal_structs, tal_literals, tal_defines, code_functions, manifest_diff, route_files, window_events, session_events, event_stream_traces)}
+QUERIES = {f.__name__: f for f in (mention_merge, cross_ref_merge, corpus_tfidf, cooccurrence_edges, implements_edges, term_statistics, vocab_generate, kg_edges, kg_nodes, kg_related_bfs, kg_related_typed, kg_expand_query, mined_nodes, mined_edges, mined_statistics, mined_append, kg_lookup, expand_suggestions, tal_domain_terms, expansion_map, html_strip, heading_detect, markdown_sections, text_sections, chunk_fixed_stride, chunk_overlap_exact, line_windows, relevant_sections, embedding_text, log_parse_json, log_parse_text, log_traces, log_trace_chunks, log_batches, domain_counts, source_rollup, language_histogram, tal_procs, tal_parameters, call_edges, call_graph, reverse_call_graph, tal_bodies, tal_globals, tal_locals, tal_fixture_facts, entry_points, external_calls, complexity, function_calls, tal_structs, tal_literals, tal_defines, code_functions, manifest_diff, route_files, window_events, session_events, event_stream_traces)}

@@ -396,12 +396,12 @@ _EXT = "CASE lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) " + " ".j
 
 
 def _language_sql() -> str:
-    score = lambda marks: " + ".join(f"CASE WHEN regexp_matches(content, '{p}') THEN {w} ELSE 0 END" for p, w in marks)
-    every = " UNION ALL ".join(f"SELECT file_id, '{name}' AS name, {score(marks)} AS score FROM f" for name, marks in T.INDICATORS.items())
-    return f"WITH f AS (SELECT DISTINCT file_id, coalesce(content, '') AS content FROM source_files), s AS ({every}), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY score DESC, name) = 1) SELECT file_id, CASE WHEN score >= 3 THEN name ELSE 'unknown' END AS language FROM b"
+    scope = {"whole": "content", "upper": "up", "head": "head"}
+    score = lambda marks: " + ".join(f"""CASE WHEN regexp_matches({scope[w]}, '{p.replace("'", "''")}') THEN {n} ELSE 0 END""" for p, n, w in marks)
+    every = " UNION ALL ".join(f"SELECT file_id, '{name}' AS name, {i} AS i, {score(marks)} AS score FROM f" for i, (name, marks) in enumerate(T.INDICATORS.items()))
+    return f"WITH f AS (SELECT file_id, content, upper(content) AS up, substring(content, 1, 5000) AS head FROM (SELECT DISTINCT file_id, coalesce(content, '') AS content FROM source_files)), s AS ({every}), b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY score DESC, i) = 1) SELECT file_id, CASE WHEN score >= 3 THEN name ELSE 'unknown' END AS language FROM b"
 
 
-_SYMBOLS = [r"(?i)\bproc\s+(\w+)", r"\bdef\s+(\w+)", r"\bclass\s+(\w+)", r"\bfunction\s+(\w+)", r"\bfunc\s+(?:\([^)]*\)\s*)?(\w+)"]
 _IDENT = [r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b", r"\b[a-z]+(?:_[a-z]+)+\b", r"\b[A-Z]+(?:_[A-Z]+)+\b", r"\b[A-Z]{2,}\b", r"\b[a-z]+(?:-[a-z]+)+\b"]
 
 SQL = {
@@ -412,7 +412,7 @@ SQL = {
     "truncate_tokens": r"WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[^ \t\n\r\f\x0b]+|\n') AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, CASE WHEN len(w) <= 40 THEN text ELSE array_to_string(w[1:40], ' ') || '...' END AS short FROM t",
     "language_by_path": f"WITH f AS (SELECT DISTINCT file_id, file_path FROM source_files) SELECT {_EXT} AS language, count(*) AS files FROM f GROUP BY 1",
     "language_by_content": _language_sql(),
-    "main_symbols": "WITH f AS (SELECT DISTINCT file_id, file_path, content FROM source_files WHERE content IS NOT NULL) SELECT file_id, coalesce(" + ", ".join(f"nullif(regexp_extract(content, '{p}', 1), '')" for p in _SYMBOLS) + r", regexp_replace(regexp_extract(file_path, '([^/]+)$', 1), '\.[^.]*$', '')) AS symbol FROM f",
+    "main_symbols": "WITH f AS (SELECT DISTINCT file_id, file_path, content FROM source_files WHERE content IS NOT NULL) SELECT file_id, coalesce(" + ", ".join(f"nullif(regexp_extract(content, '{p}', 1), '')" for p in T.SYMBOLS) + r", regexp_replace(regexp_extract(file_path, '([^/]+)$', 1), '\.[^.]*$', '')) AS symbol FROM f",
     "identifier_keywords": "WITH f AS (SELECT DISTINCT func_id, coalesce(body, '') AS body FROM code_functions), w AS (SELECT func_id, list_concat(" + ", ".join(f"regexp_extract_all(body, '{p}')" for p in _IDENT) + ") AS w FROM f), e AS (SELECT func_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w), d AS (SELECT func_id, arg_min(word, i) AS word, min(i) AS i FROM e GROUP BY func_id, lower(word)), g AS (SELECT func_id, string_agg(word, ',' ORDER BY i) AS words FROM d GROUP BY func_id) SELECT func_id, coalesce(words, '') AS words FROM f LEFT JOIN g USING (func_id)",
     "sanitize_text": r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM documents WHERE text IS NOT NULL",
     "bm25_index_stats": f"WITH {_BM25} SELECT (SELECT n FROM cs) AS n_docs, count(DISTINCT term) AS n_terms, count(*) AS n_postings, round((SELECT avgdl FROM cs), 6) AS avgdl FROM pt",

@@ -53,16 +53,17 @@ SQL = {
     "decompose_queries": f"WITH {Q._ASKED}, {_PARTS} SELECT qid, part, query FROM pa",
     "explain_embedding": f"WITH base AS ({Q.SQL['concept_embed']}), r AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY round(w, 9) DESC, dim) AS rank FROM base WHERE w > 0) SELECT * FROM r WHERE rank <= 3",
     "vocab_weights": f"WITH {C._CROSS}, {packed_sql.VOCAB}, vl AS (SELECT entry, {C._NORM('t')} AS normalized FROM (SELECT entry, unnest(terms) AS t FROM vocab)), m AS (SELECT entry, avg(tfidf) AS m FROM vl JOIN wt USING (normalized) WHERE tfidf > 0 GROUP BY entry), b AS (SELECT min(m) AS lo, max(m) AS hi FROM m) SELECT entry, round(CASE WHEN m IS NULL OR hi <= lo THEN 1.0 ELSE 0.5 + (m - lo) / (hi - lo) END, 3)::DOUBLE AS weight FROM vocab LEFT JOIN m USING (entry), b",
-    "tal_parameters": rf"WITH {C._TL}, d AS (SELECT file_id, line_no, regexp_extract(line, '{P.PROC}', 2) AS name, list_filter(list_transform(string_split(regexp_extract(line, '(?i)PROC[ \t]+[a-zA-Z_][a-zA-Z0-9_^]*[ \t]*\(([^)]*)\)', 1), ','), lambda x: trim(x)), lambda x: x <> '') AS p FROM tl WHERE regexp_matches(line, '{P.PROC}')) SELECT file_id, name, generate_subscripts(p, 1) - 1 AS n, unnest(p) AS parameter FROM d",
+    "tal_parameters": rf"WITH {C._TP}, d AS (SELECT file_id, regexp_extract(line, '{P.PROC}', 2) AS name, list_filter(list_transform(string_split(regexp_extract(line, '(?i)\bPROC[ \t]+[A-Za-z_][A-Za-z0-9_^]*[ \t]*\(([^)]*)\)', 1), ','), lambda x: trim(x)), lambda x: x <> '') AS p FROM th) SELECT file_id, name, generate_subscripts(p, 1) - 1 AS n, unnest(p) AS parameter FROM d",
     "route_files": "WITH e AS (SELECT lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) AS x, upper(substring(coalesce(text, ''), 1, 1000)) AS h FROM documents) SELECT CASE WHEN x IN ('tal', 'tacl') THEN 'tal' WHEN x = 'txt' THEN CASE WHEN contains(h, 'PROC ') OR contains(h, 'DEFINE ') OR contains(h, 'LITERAL ') OR contains(h, 'STRUCT ') THEN 'tal' ELSE 'document' END "
     + " ".join(f"WHEN x IN ({', '.join(repr(e) for e in exts)}) THEN '{kind}'" for kind, exts in (("code", C.files.CODE), ("log", C.files.LOG), ("document", C.files.DOCUMENT)))
     + " ELSE 'none' END AS parser, count(*) AS n FROM e GROUP BY 1",
-    "markdown_sections": rf"""WITH t AS (SELECT doc_id AS doc, regexp_split_to_array(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '\n') AS ls FROM documents),
+    "markdown_sections": rf"""WITH t AS (SELECT doc_id AS doc, regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g') AS x, regexp_split_to_array(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '\n') AS ls FROM documents),
 l AS (SELECT doc, unnest(ls) AS line, generate_subscripts(ls, 1) AS spot FROM t), h AS (SELECT *, sum(CASE WHEN regexp_matches(line, '{_HEAD}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY spot ROWS UNBOUNDED PRECEDING) AS sec FROM l),
 g AS (SELECT doc, sec, arg_min(line, spot) AS head, coalesce(string_agg(line, chr(10) ORDER BY spot) FILTER (NOT regexp_matches(line, '{_HEAD}')), '') AS body FROM h WHERE sec > 0 GROUP BY ALL)
-SELECT doc, trim(regexp_extract(head, '^#{{1,6}}[ \t]+([^\n]*)', 1)) AS title, length(regexp_replace(body, '^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$', '', 'g')) AS n_chars FROM g""",
-    "function_calls": rf"""WITH f AS (SELECT DISTINCT func_id, func_name, body, language FROM code_functions), t AS (SELECT func_id, lower(func_name) AS me, lower(trim(coalesce(language, ''))) AS l, array_to_string(list_filter(regexp_split_to_array(coalesce(body, ''), '\r\n|\n|\r'), lambda x: NOT regexp_matches(trim(x), '^(//|/\*|\*|#|!|--)')), chr(10)) AS b FROM f),
-c AS (SELECT func_id, me, l, lower(unnest(regexp_extract_all(b, '\b([A-Za-z_]\w*)[ \t]*\(', 1))) AS target FROM t), k AS (SELECT func_id, target, max(CASE WHEN {' OR '.join(f"(l = '{lang}' AND target IN ({', '.join(repr(n.lower()) for n in names)}))" for lang, names in P.SYSTEM_CALLS.items())} THEN 'system' ELSE 'user' END) AS kind FROM c WHERE target NOT IN ({', '.join(repr(n) for n in P.NO_CALLS)}) AND (me IS NULL OR target <> me) GROUP BY ALL) SELECT target, kind, count(*) AS callers FROM k GROUP BY ALL""",
+SELECT doc, trim(regexp_extract(head, '^#{{1,6}}[ \t]+([^\n]*)', 1)) AS title, length(regexp_replace(body, '^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$', '', 'g')) AS n_chars FROM g
+UNION ALL SELECT doc, '', length(regexp_replace(x, '^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$', '', 'g')) FROM t WHERE doc NOT IN (SELECT doc FROM g) AND regexp_matches(x, '[^ \t\n\r\f\x0b]')""",
+    "function_calls": rf"""WITH f AS (SELECT DISTINCT func_id, func_name, body, language FROM code_functions), t AS (SELECT func_id, lower(func_name) AS me, lower(trim(coalesce(language, ''))) AS l, regexp_replace(array_to_string(list_filter(regexp_split_to_array(coalesce(body, ''), '\r\n|\n|\r'), lambda x: NOT regexp_matches(trim(x), '^(//|/\*|\*|#|!|--)')), chr(10)), '"(?:[^"\\\n]|\\.)*"', '""', 'g') AS b FROM f),
+c AS (SELECT func_id, me, l, lower(unnest(list_concat(regexp_extract_all(b, '{P.CALLED}', 1), regexp_extract_all(b, '{P.CALL_WORD}', 1)))) AS target FROM t), k AS (SELECT func_id, target, max(CASE WHEN {' OR '.join(f"(l = '{lang}' AND target IN ({', '.join(repr(n.lower()) for n in names)}))" for lang, names in P.SYSTEM_CALLS.items())} THEN 'system' ELSE 'user' END) AS kind FROM c WHERE target NOT IN ({', '.join(repr(n) for n in P.NO_CALLS)}) AND (me IS NULL OR target <> me) GROUP BY ALL) SELECT target, kind, count(*) AS callers FROM k GROUP BY ALL""",
     "event_stream_traces": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r FROM events) SELECT user_id AS trace, count(*) AS entries, min(epoch_us(ts)) AS start_us, max(epoch_us(ts)) AS end_us, bool_or(event_type = 'error') AS has_error FROM r WHERE r <= 50 GROUP BY user_id",
     "text_sections": rf"""WITH p AS (SELECT doc_id AS doc, regexp_split_to_array(coalesce(text, ''), '\n\n+') AS ps FROM documents), q AS (SELECT doc, unnest(ps) AS line, generate_subscripts(ps, 1) AS spot FROM p), k AS (SELECT *, (NOT contains(line, chr(10)) AND {C._HEADING}) AS heading FROM q WHERE trim(line) <> ''),
 s AS (SELECT *, sum(heading::INT) OVER (PARTITION BY doc ORDER BY spot ROWS UNBOUNDED PRECEDING) AS section FROM k)

@@ -53,7 +53,14 @@ def traces(events: DataFrame, key: str, ts: str, kind: str, most: int = MOST_ENT
     return events.select(key, ts, kind).groupBy(key).applyInPandasWithState(update, f"trace {kind_of_key}, entries long, start_us long, end_us long, has_error boolean", "n long, start_us long, end_us long, bad boolean", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> None:
-    """Drain what is there into the in-memory table ``name``."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
+    """Drain what is there into the view ``name``. Each batch is written as a table under ``checkpoint``, which all
+    executors share; a batch that is run again after a failure replaces what it had written."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{checkpoint}/table/batch={number}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start().awaitTermination()
+    out = stream.sparkSession.read.schema(stream.schema).parquet(f"{checkpoint}/table")
+    out.createOrReplaceTempView(name)
+    return out

@@ -174,6 +174,79 @@ def test_graph_depth(spark):
     assert {r.id: (r.out_degree, r.in_degree) for r in G.nodes(e).collect()}["b"] == (1, 1)
 
 
+def test_related_follows_all_and_ranks_by_weight(spark):
+    """A hub's hundredth neighbour leads on; a heavy term two steps away ranks before light direct ones."""
+    rows = [("a", f"n{i:03d}", "contains", 1) for i in range(100)] + [("far", "n099", "implements", 9), ("a", "n000", "implements", 2), ("n001", "a", "implements", 2)]
+    e = spark.createDataFrame(rows, "source string, target string, type string, weight long")
+    s = spark.createDataFrame([("a",)], "seed string")
+    got = [(r.id, r.type, r.depth, r.weight) for r in G.related(e, s, "seed", 2, 4).orderBy("rank").collect()]
+    assert got == [("far", "rev_implements", 2, 9), ("n000", "implements", 1, 2), ("n001", "rev_implements", 1, 2), ("n002", "contains", 1, 1)]
+    assert [r.id for r in G.related(e, s, "seed", 2, 9, ["implements"]).orderBy("rank").collect()] == ["n000", "n001"]
+    assert G.related(e.limit(0), s, "seed").count() == 0 and G.related(e, s.limit(0), "seed").count() == 0
+    q = spark.createDataFrame([(1, "A of it"), (2, "zz"), (3, None)], "qid long, q string")
+    assert {r.qid: r.expanded for r in G.expand(e, q, "qid", "q").collect()} == {1: "a it n000 n001 of", 2: "zz"}
+
+
+def test_mined_graph(spark):
+    terms = spark.createDataFrame([("wire_fee", "Wire Fee", "acronym", "both", 3, 2, 1.5, 0.25), ("ledger", "Ledger", "acronym", "document", 1, 1, 1.0, None)], "normalized string, label string, kind string, source string, tf long, df long, confidence double, tfidf double")
+    edge = spark.createDataFrame([("wire_fee", "ledger", "contains"), ("wire_fee", "ledger", "contains"), (None, "x", "contains")], "source string, target string, type string")
+    near = spark.createDataFrame([("wire_fee", "ledger", 4), ("wire_fee", "bank", 9)], "source string, target string, n long")
+    node, edges = G.generate(terms, edge, near)
+    assert {r.id: (r.co_occurs_with, r.tf_idf_score) for r in node.collect()} == {"wire_fee": ("bank,ledger", 0.25), "ledger": ("", None)} and edges.count() == 1
+    asked = spark.createDataFrame([("wire fee",), ("LEDGER",), ("none",), (None,)], "t string")
+    assert {r.t: r.id for r in G.lookup(node, asked, "t").collect()} == {"wire fee": "wire_fee", "LEDGER": "ledger", "none": None, None: None}
+    more = node.filter("id = 'ledger'").withColumn("source", F.lit("code"))
+    both, e2 = G.append((node, edges), (more, edges))
+    assert {r.id: (r.source, r.term_frequency) for r in both.collect()} == {"wire_fee": ("both", 3), "ledger": ("both", 2)} and e2.count() == 1
+    assert G.statistics(both, e2).first() == (2, 2, 0, 0, 1)
+    from quillstone.operators import vocabulary as V
+
+    vocab = V.from_rows(spark, [(1, "fee", ["fees"], ["Charge"], [], None)])
+    q = spark.createDataFrame([(1, "Wire-Fee now"), (2, "")], "qid long, q string")
+    got = [(r.term, r.relationship, r.score) for r in G.suggest(node, edges, q, "qid", "q", vocab).orderBy("rank").collect()]
+    assert got == [("ledger", "contains", 0.6), ("charge", "vocabulary_related", 0.5), ("bank", "co_occurs_with", 0.25)]
+
+
+def test_language_and_symbol(spark):
+    from quillstone.functions import text as T
+
+    rows = [("       IDENTIFICATION DIVISION.\n       PROGRAM-ID. PAYRUN.\n", "x.dat", "cobol", "PAYRUN"), ("import os\ndef f(a):\n    pass\n", "x", "python", "f"), ("public class A { }", "x", "java", "A"), ("", "b.py", "python", "b"), ("nothing here", "d/e.txt", "unknown", "e")]
+    df = spark.createDataFrame([r[:2] for r in rows], "t string, p string")
+    got = df.select(T.language_of_content(F.col("t"), F.col("p")), T.main_symbol(F.col("t"), F.col("p"))).collect()
+    assert [tuple(r) for r in got] == [r[2:] for r in rows]
+
+
+def test_ids_and_embedding_text(spark):
+    import hashlib
+
+    from quillstone.functions import text as T
+
+    row = spark.createDataFrame([("p", "y" * 300)], "p string, t string")
+    assert row.select(T.content_id(F.lit("code"), F.col("p"), F.col("t"))).first()[0] == "code_" + hashlib.md5(("p:" + "y" * 200 + ":").encode()).hexdigest()[:12]
+    told = row.select(D.embedding_text(F.lit("table"), F.array(F.lit("wire"), F.lit("fee")), F.array(F.lit("Pay")), F.col("t"), 60, section=F.lit("S"))).first()[0]
+    assert told.startswith("Data table showing wire, fee. Business capabilities: Pay. Section: S ") or len(told) <= 63
+    assert row.select(D.embedding_text(F.lit("other"), F.array().cast("array<string>"), F.array(F.lit("Pay")), F.lit("x"))).first()[0] == "x"
+
+
+def test_log_files_of_either_form(spark):
+    df = spark.createDataFrame([("a", '[{"level": "info"}, {"msg": "x"}]'), ("b", "one\r\n\n two "), ("c", "[not json]"), ("d", None)], "p string, t string")
+    assert sorted(tuple(r) for r in L.file_lines(df, "p", "t").collect()) == [("a", 1, '{"level":"info"}'), ("a", 2, '{"msg":"x"}'), ("b", 1, "one"), ("b", 3, "two"), ("c", 1, "[not json]")]
+    line = spark.range(1).select(*(L.text_fields(F.lit("IMAD: 20250101AAAABBBB123456 mt103"))[k].alias(k) for k in ("imad", "swift_msg", "omad"))).first()
+    assert tuple(line) == ("20250101AAAABBBB123456", "mt103", None)
+
+
+def test_domain_terms_of_tal_and_cobol(spark):
+    tal = spark.createDataFrame([(1, i, t) for i, t in enumerate(["STRUCT wire_rec;", "BEGIN", " INT amount;", " INT xyz;", "END;", " INT fee;", "PROC send_wire;", "LITERAL max_fee = 1;"])], "file_id long, line_no int, line string")
+    assert {(r.term, r.kind, r.parent) for r in M.tal_terms(tal).collect()} == {("wire_rec", "structure", ""), ("amount", "field", "wire_rec"), ("send_wire", "procedure", ""), ("max_fee", "constant", "")}
+    cobol = spark.createDataFrame([(1, i, t) for i, t in enumerate(["000100 01  WIRE-RECORD.", "000200     05  PAYMENT-AMOUNT PIC 9.", "000300* 05 WIRE-X.", "000400 SEND-WIRE.", "000500     88 WIRE-OK."])], "file_id long, line_no int, line string")
+    assert {(r.term, r.kind) for r in M.cobol_terms(cobol).collect()} == {("WIRE-RECORD", "structure"), ("PAYMENT-AMOUNT", "field"), ("SEND-WIRE", "procedure")}
+
+
+def test_calls_of_any_form(spark):
+    df = spark.createDataFrame([(1, "me", 'x.move(1); new Box<Wire>(2); a::b(3); "no(1)"; me(); PCAL audit; printf("x");', "c")], "id int, n string, b string, l string")
+    assert {(r.target, r.kind) for r in P.any_calls(df, "id", "b", "n", "l").collect()} == {("move", "user"), ("box", "user"), ("b", "user"), ("audit", "user"), ("printf", "system")}
+
+
 def test_shares(spark):
     df = spark.createDataFrame([("a,b",), ("a",), (None,)], "d string")
     assert {r.d: r.n for r in stats.shares(df, "d").collect()} == {"a": 2, "b": 1, "default": 1}
