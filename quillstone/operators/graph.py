@@ -39,19 +39,24 @@ def related(edge: DataFrame, seeds: DataFrame, seed: str, depth: int = 2, most:
     A term has the type and weight of the edge by which it is first reached (of several at that step the heaviest,
     then the forward one, then by type); reverse edges have the prefix ``rev_``. All neighbours are followed; steps
     are joined with salted keys, as a hub may hold a third of the edges, and summed up before they are shuffled."""
-    near = both_ways(edge if types is None else edge.filter(F.col("type").isin(types)))
-    best = F.struct((-F.col("weight")).alias("w"), F.col("type").startswith("rev_").alias("back"), "type")
-    near = materialize(near.groupBy("source", "target").agg(F.min(best).alias("e")))
-    seen = seeds.select(F.col(seed).alias("seed")).filter("seed is not null").distinct().select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), F.lit(None).cast(near.schema["e"].dataType).alias("e"))
+    both = both_ways(edge if types is None else edge.filter(F.col("type").isin(types)))
+    # An edge's weight, direction and type in one number, so that steps are summed by hash.
+    kinds = materialize(both.select("type").distinct())
+    named = F.broadcast(kinds.withColumn("_k", F.row_number().over(Window.orderBy(F.col("type").startswith("rev_"), "type"))))  # a row for each type
+    code = (F.lit(1 << 42) - F.least("weight", F.lit(1 << 41))) * (1 << 20) + F.col("_k")
+    near = materialize(both.join(named, "type").groupBy("source", "target").agg(F.min(code).alias("e")))
+    seen = seeds.select(F.col(seed).alias("seed")).filter("seed is not null").distinct().select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("e"))
     last = seen
     for d in range(1, depth + 1):
         step = salted_join(near, last.select("seed", F.col("id").alias("source")), ["source"], "inner", salts, by="target")
         step = step.groupBy("seed", F.col("target").alias("id")).agg(F.min("e").alias("e"))
         last = materialize(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id", F.lit(d).alias("depth"), "e"))
         seen = seen.unionByName(last)
+    weight = F.lit(1 << 42) - F.shiftright("e", 20)
+    found = seen.filter("depth > 0").select("seed", "id", "depth", weight.alias("weight"), F.col("e").bitwiseAND((1 << 20) - 1).cast("int").alias("_k"))
     ranking = Window.partitionBy("seed").orderBy(F.desc("weight"), "depth", "id")
-    found = seen.filter("depth > 0").select("seed", "id", "e.type", "depth", (-F.col("e.w")).alias("weight"))
-    return found.withColumn("rank", F.row_number().over(ranking)).filter(F.col("rank") <= most)
+    best = found.withColumn("rank", F.row_number().over(ranking)).filter(F.col("rank") <= most)
+    return best.join(named, "_k").select("seed", "id", "type", "depth", "weight", "rank")
 
 
 def expand(edge: DataFrame, queries: DataFrame, qid: str, text: str, n_related: int = 5, n_together: int = 3) -> DataFrame:
