@@ -112,13 +112,15 @@ def split_text(text: str, limit: int, overlap: int, code: bool = False) -> list[
         h = before[i]
         if h >= 0 and end[i] - start[h] <= room:
             heapq.heappush(heap, (strength[h], end[i] - start[h], h, end[i]))
-    return [(max(0, start[i] - overlap) if k else 0, end[i]) for k, i in enumerate(i for i in range(n) if alive[i])]
+    pieces = [(max(0, start[i] - overlap) if k else 0, end[i]) for k, i in enumerate(i for i in range(n) if alive[i])]
+    # A first piece within the overlap is part of the next one.
+    return pieces[next(k for k in range(len(pieces)) if k + 1 == len(pieces) or pieces[k + 1][0]) :]
 
 
 def split_items(df: DataFrame, key: str, text: str, limit: int, overlap: int, code: bool = False, with_text: bool = True) -> DataFrame:
     """``(key, piece, start, end[, content])`` of every row; only texts beyond the limit go through Python."""
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_text is not null").distinct()
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_text is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -128,4 +130,5 @@ def split_items(df: DataFrame, key: str, text: str, limit: int, overlap: int, co
     long = rows.filter(F.length("_text") > limit).mapInPandas(run, f"_key {kind}, piece int, start int, end int, content string")
     short = rows.filter(F.length("_text") <= limit).select("_key", F.lit(0).alias("piece"), F.lit(0).alias("start"), F.length("_text").alias("end"), (F.col("_text") if with_text else F.lit(None).cast("string")).alias("content"))
     pieces = long.unionByName(short).withColumnRenamed("_key", key)
-    return pieces if with_text else pieces.drop("content")
+    # Copies of a row are dropped by their pieces; without texts no text is shuffled.
+    return (pieces if with_text else pieces.drop("content")).distinct()
