@@ -92,6 +92,24 @@ def chunks(docs: DataFrame, key: str, text: str, cut: Callable[[str], list], kin
     return docs.select(key, text).filter(F.col(text).isNotNull()).mapInPandas(run, f"doc {id_type}, n int, chunk {kind}")
 
 
+def section_chunks(sections: DataFrame, key: str, title: str, content: str, element: str | None = None, least: int = 20, most: int = 1500) -> DataFrame:
+    """``(doc, part, semantic_type, chunk)`` of sections: those of fewer than ``least`` characters are left out, those
+    beyond ``most`` are cut into overlapping pieces. The type is that of the element, or whether there is a title."""
+    trimmed = F.regexp_replace(F.coalesce(F.col(content), F.lit("")), r"^\s+|\s+$", "")
+    kind = F.when(F.coalesce(F.trim(F.col(title)), F.lit("")) != "", "section").otherwise("paragraph")
+    if element:
+        kind = F.when(F.col(element).isin("table", "heading", "list"), F.col(element)).otherwise(kind)
+    rows = sections.select(F.col(key).alias("k"), kind.alias("semantic_type"), trimmed.alias("t")).filter(F.length("t") >= least)
+    keyed = rows.select(F.struct("k", "semantic_type").alias("id"), "t")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            out = [(k, n, s, c) for k, s, t in zip(x["k"], x["semantic_type"], x["t"], strict=True) for n, c in enumerate(chunk_text(t, 1200, 100) if len(t) > most else [t])]
+            yield pd.DataFrame(out, columns=["doc", "part", "semantic_type", "chunk"]).astype({"doc": x["k"].dtype})
+
+    return keyed.select("id.k", "id.semantic_type", "t").mapInPandas(run, f"doc {rows.schema['k'].dataType.simpleString()}, part int, semantic_type string, chunk string").distinct()
+
+
 def relevant_lines(docs: DataFrame, key: str, text: str, words: list[str], around: int = 2) -> DataFrame:
     """``(doc, line_no, line, gap)``: lines within ``around`` of one that holds a word; ``gap`` marks a jump before it."""
     low = F.lower(F.col("line"))

@@ -120,10 +120,29 @@ def implements(procedures: DataFrame, terms: DataFrame) -> DataFrame:
     return one.unionByName(two).filter("source <> target").distinct()
 
 
+#: Category of the kinds of terms.
+CATEGORIES = {"message_type": "swift-mt-messages", "acronym": "acronyms", "error_code": "error-codes", "procedure": "procedures", "structure": "data-structures", "constant": "constants"}
+
+
+def category(source: Column, kind: Column) -> Column:
+    table = F.create_map(*(F.lit(x) for kv in CATEGORIES.items() for x in kv))
+    return F.when(source == "both", "cross-referenced").otherwise(F.coalesce(F.try_element_at(table, kind), F.lit("domain-terms")))
+
+
 def generate_vocabulary(terms: DataFrame, known: DataFrame, batch: int = 5) -> DataFrame:
-    """New entries of ``batch`` terms each of one kind, by falling weight; terms of ``known`` are left out."""
-    new = terms.join(known, "normalized", "left_anti")
-    order = Window.partitionBy("kind").orderBy(F.round("tfidf", 9).desc(), F.desc("confidence"), "normalized")
-    numbered = new.withColumn("entry", F.floor((F.row_number().over(order) - 1) / batch))
-    rows = numbered.groupBy("kind", "entry").agg(F.sort_array(F.collect_list(F.struct((-F.round("tfidf", 9)).alias("w"), (-F.col("confidence")).alias("c"), "normalized"))).alias("t"), F.avg("tfidf").alias("tfidf"), F.sum("tf").alias("tf"), F.avg("df").alias("df"))
-    return rows.withColumn("keywords", F.array_join(F.transform("t", lambda x: x["normalized"]), ",")).drop("t")
+    """New entries of ``batch`` terms each of one category, by falling weight; terms of ``known`` are left out."""
+    new = terms.join(known, "normalized", "left_anti").withColumn("category", category(F.col("source"), F.col("kind")))
+    order = Window.partitionBy("category").orderBy(F.round("tfidf", 9).desc(), F.desc("confidence"), "source", "normalized")
+    numbered = new.withColumn("_r", F.row_number().over(order)).withColumn("entry", F.floor((F.col("_r") - 1) / batch))
+    rows = numbered.groupBy("category", "entry").agg(F.sort_array(F.collect_list(F.struct("_r", "label"))).alias("t"), F.avg("tfidf").alias("tfidf"), F.avg("confidence").alias("confidence"), F.sum("tf").alias("tf"), F.avg("df").alias("df"))
+    return rows.withColumn("keywords", F.array_join(F.transform("t", lambda x: x["label"]), ",")).drop("t")
+
+
+def top_terms(terms: DataFrame, most: int = 20) -> DataFrame:
+    """``(by, rank, normalized, value)``: the first terms by weight, frequency and number of documents."""
+    out = None
+    for by in ("tfidf", "tf", "df"):
+        best = terms.select("normalized", F.round(F.col(by).cast("double"), 9).alias("value")).orderBy(F.desc("value"), "normalized").limit(most)
+        one = best.select(F.lit(by).alias("by"), F.row_number().over(Window.orderBy(F.desc("value"), "normalized")).alias("rank"), "normalized", "value")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -44,6 +44,14 @@ def search_parts(index: lexical.Index | Callable[[DataFrame, str, str, int], Dat
     return lexical.ranked(fusion.best_per_file(scored, "file"), k).select("qid", "doc", "file", "score", "rank")
 
 
+def results_by_part(found: DataFrame, parts: DataFrame, files: DataFrame, least: float = 0.0) -> DataFrame:
+    """Results ``(id, doc, score, rank)`` of all parts, of which each file is kept where it comes first: ``(qid, part,
+    doc, file, score)``. ``parts``: ``(id, qid, part)``; ``files``: ``(doc, file)``."""
+    rows = found.filter(F.col("score") >= least).join(parts.select("id", "qid", "part"), "id").join(files, "doc", "left")
+    first = Window.partitionBy("qid", F.coalesce("file", F.col("doc").cast("string"))).orderBy("part", "rank", "doc")
+    return rows.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("qid", "part", "doc", "file", "score")
+
+
 def vocabulary_weights(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
     """``(entry, weight)``: the mean positive tfidf of an entry's terms among ``terms`` (normalized, tfidf), scaled to
     0.5..1.5 over all entries; 1 for an entry without score, and for all if their means are equal."""

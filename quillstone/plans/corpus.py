@@ -73,8 +73,12 @@ def term_statistics(s, d):
 
 
 def vocab_generate(s, d):
-    known = s.createDataFrame([("settlement",), ("netting",)], "normalized string")
-    return M.generate_vocabulary(_weighed(s, d), known).select("kind", "entry", "keywords", R("tfidf").alias("tfidf"), "tf", R("df").alias("df"))
+    known = V.term_entries(retrieval._vocab(s, d)).select(F.col("term").alias("normalized"))
+    return M.generate_vocabulary(_weighed(s, d), known).select("category", "entry", "keywords", R("tfidf").alias("tfidf"), R("confidence").alias("confidence"), "tf", R("df").alias("df"))
+
+
+def top_terms(s, d):
+    return M.top_terms(_weighed(s, d)).select("by", "rank", "normalized", R("value").alias("value"))
 
 
 # Graphs.
@@ -342,18 +346,16 @@ def tal_defines(s, d):
 
 def code_functions(s, d):
     rows = table(s, d, "source_files").filter("content is not null").select("file_id", T.language_of_path(F.col("file_path")).alias("language"), "content")
-    return _functions(rows).distinct()
+    return P.function_records(rows, "file_id", "language", "content")
 
 
-def _functions(rows):
-    def run(batches):
-        import pandas as pd
+def tal_keywords(s, d):
+    return _tal(s, d).select("file_id", F.explode(P.keywords(F.col("content"))).alias("word")).distinct().groupBy("word").agg(F.count("*").alias("files"))
 
-        for x in batches:
-            out = [(k, lang, *f) for k, lang, t in zip(x["file_id"], x["language"], x["content"], strict=True) for f in P.function_spans(t, lang)]
-            yield pd.DataFrame(out, columns=["file_id", "language", "name", "class", "signature", "first", "last", "body"]).astype({"file_id": "int64"})
 
-    return rows.mapInPandas(run, "file_id long, language string, name string, class string, signature string, first int, last int, body string")
+def section_chunks(s, d):
+    rows = table(s, d, "document_sections").select("section_id", "title", "content", "element_type")
+    return D.section_chunks(rows, "section_id", "title", "content", "element_type").select("doc", "part", "semantic_type", F.length("chunk").alias("n_chars"))
 
 
 # Files.
@@ -471,7 +473,9 @@ SQL = {
     "cooccurrence_edges": f"WITH {_DM}, p AS (SELECT a.normalized AS source, b.normalized AS target, count(*) AS n FROM dm a JOIN dm b ON a.doc = b.doc AND a.normalized <> b.normalized GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, target) AS r FROM p) SELECT source, target, n FROM r WHERE r <= 5 AND n >= 2",
     "implements_edges": f"WITH {_DM}, {_CM} SELECT DISTINCT p.normalized AS source, t.normalized AS target FROM (SELECT DISTINCT normalized FROM cm) p JOIN (SELECT DISTINCT normalized FROM dm) t ON p.normalized <> t.normalized AND p.normalized <> '' AND t.normalized <> '' AND (contains(p.normalized, t.normalized) OR contains(t.normalized, p.normalized))",
     "term_statistics": f"WITH {_CROSS} SELECT source, kind, count(*) AS terms, sum(tf)::BIGINT AS mentions, round(max(tfidf), 6) AS best FROM wt GROUP BY ALL",
-    "vocab_generate": f"WITH {_CROSS}, n AS (SELECT *, (row_number() OVER (PARTITION BY kind ORDER BY round(tfidf, 9) DESC, confidence DESC, normalized) - 1) // 5 AS entry FROM wt WHERE normalized NOT IN ('settlement', 'netting')) SELECT kind, entry, string_agg(normalized, ',' ORDER BY round(tfidf, 9) DESC, confidence DESC, normalized) AS keywords, round(avg(tfidf), 6) AS tfidf, sum(tf)::BIGINT AS tf, round(avg(df), 6) AS df FROM n GROUP BY kind, entry",
+    "vocab_generate": f"WITH {_CROSS}, {packed_sql.VOCAB}, {retrieval._LOOKUP}, g0 AS (SELECT *, CASE WHEN source = 'both' THEN 'cross-referenced' ELSE CASE kind {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in M.CATEGORIES.items())} ELSE 'domain-terms' END END AS category FROM wt WHERE normalized NOT IN (SELECT term FROM lk)), g1 AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY round(tfidf, 9) DESC, confidence DESC, source, normalized) AS r FROM g0) SELECT category, (r - 1) // 5 AS entry, string_agg(label, ',' ORDER BY r) AS keywords, round(avg(tfidf), 6) AS tfidf, round(avg(confidence), 6)::DOUBLE AS confidence, sum(tf)::BIGINT AS tf, round(avg(df), 6) AS df FROM g1 GROUP BY 1, 2",
+    "top_terms": f"WITH {_CROSS}, u AS (SELECT 'tfidf' AS name, normalized, round(tfidf, 9) AS value FROM wt UNION ALL SELECT 'tf', normalized, tf FROM wt UNION ALL SELECT 'df', normalized, df FROM wt), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY value DESC, normalized) AS rank FROM u) SELECT name AS by, rank, normalized, round(value, 6)::DOUBLE AS value FROM r WHERE rank <= 20",
+    "tal_keywords": r"""WITH f AS (SELECT DISTINCT file_id, content FROM source_files WHERE lower(file_path) LIKE '%.tal' AND content IS NOT NULL), k AS (SELECT DISTINCT file_id, unnest(list_concat(list_concat(regexp_extract_all(content, '\$[A-Z][A-Z0-9_]*'), regexp_extract_all(content, '(?i)CALL\s+([A-Za-z_][A-Za-z0-9_^]*)', 1)), list_concat(regexp_extract_all(content, '\b([A-Z][A-Z0-9_]{3,})\b', 1), regexp_extract_all(content, '"([^"]+)"', 1)))) AS word FROM f) SELECT word, count(*) AS files FROM k GROUP BY word""",
     "kg_edges": f"WITH {_KE} SELECT * FROM ke",
     "kg_nodes": f"WITH {_KE}, u AS (SELECT source AS id, 1 AS o, 0 AS i FROM ke UNION ALL SELECT target, 0, 1 FROM ke) SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM u GROUP BY id",
     "kg_related_bfs": _bfs(2),
@@ -514,4 +518,4 @@ SQL = {
     "window_events": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "session_events": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events), r AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM r GROUP BY user_id, k",
 }
-QUERIES = {f.__name__: f for f in (mention_merge, cross_ref_merge, corpus_tfidf, cooccurrence_edges, implements_edges, term_statistics, vocab_generate, kg_edges, kg_nodes, kg_related_bfs, kg_related_typed, kg_expand_query, mined_nodes, mined_edges, mined_statistics, mined_append, kg_lookup, expand_suggestions, tal_domain_terms, expansion_map, html_strip, heading_detect, markdown_sections, text_sections, chunk_fixed_stride, chunk_overlap_exact, line_windows, relevant_sections, embedding_text, log_parse_json, log_parse_text, log_traces, log_trace_chunks, log_batches, domain_counts, source_rollup, language_histogram, tal_procs, tal_parameters, call_edges, call_graph, reverse_call_graph, tal_bodies, tal_globals, tal_locals, tal_fixture_facts, entry_points, external_calls, complexity, function_calls, tal_structs, tal_literals, tal_defines, code_functions, manifest_diff, route_files, window_events, session_events, event_stream_traces)}
+QUERIES = {f.__name__: f for f in (mention_merge, cross_ref_merge, corpus_tfidf, cooccurrence_edges, implements_edges, term_statistics, vocab_generate, top_terms, kg_edges, kg_nodes, kg_related_bfs, kg_related_typed, kg_expand_query, mined_nodes, mined_edges, mined_statistics, mined_append, kg_lookup, expand_suggestions, tal_domain_terms, expansion_map, html_strip, heading_detect, markdown_sections, text_sections, chunk_fixed_stride, chunk_overlap_exact, line_windows, relevant_sections, embedding_text, log_parse_json, log_parse_text, log_traces, log_trace_chunks, log_batches, domain_counts, source_rollup, language_histogram, tal_procs, tal_parameters, call_edges, call_graph, reverse_call_graph, tal_bodies, tal_globals, tal_locals, tal_fixture_facts, entry_points, external_calls, complexity, function_calls, tal_structs, tal_literals, tal_defines, code_functions, tal_keywords, section_chunks, manifest_diff, route_files, window_events, session_events, event_stream_traces)}

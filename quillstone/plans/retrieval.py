@@ -239,6 +239,11 @@ def capability_filtered_search(s, d):
     return search.hybrid(_docs(s, d), "doc_id", "text", _asked(s, d), "qid", "q", _vocab(s, d), capabilities=[CAPABILITY], use_rrf=False).select("qid", "doc", R("score").alias("score"), "method", "rank")
 
 
+def concept_statistics(s, d):
+    kinds = _docs(s, d).select(F.col("doc_id").alias("doc"), F.col("source_type").alias("kind"))
+    return V.index_statistics(_index(s, d), kinds)
+
+
 def matched_concepts(s, d):
     vocab = _vocab(s, d)
     return V.matched_concepts(_ranks(s, d, 10), _asked(s, d), "qid", "q", vocab, _index(s, d, vocab)).select("qid", "doc", "rank", "concepts", "capabilities")
@@ -441,6 +446,7 @@ SQL = {
     "hybrid_search": _HYBRID("true"),
     "filtered_search": _HYBRID("doc IN (SELECT doc_id FROM documents WHERE source_type IN ('document', 'log'))"),
     "capability_filtered_search": f"WITH {_BM25}, {_VEC}, {_CONCEPT}, {_LISTS('true', f"doc IN (SELECT doc FROM ci WHERE capability = '{CAPABILITY}')")}, {_WEIGHTED.format(w="WHEN 'concept' THEN 0.5 ELSE 1.0", t=2.5)} SELECT qid, doc, round(score, 6) AS score, method, rank FROM {_top('wf', 10)}",
+    "concept_statistics": f"WITH {_CI}, j AS (SELECT ci.*, source_type AS kind FROM ci JOIN documents ON doc_id = doc), u AS (SELECT * FROM j UNION ALL SELECT doc, concept, capability, category, 'all' FROM j) SELECT kind, count(DISTINCT doc) AS docs, count(DISTINCT concept) AS concepts, count(DISTINCT capability) AS capabilities, count(DISTINCT category) AS categories FROM u GROUP BY kind",
     "matched_concepts": f"WITH {_BM25}, {_CONCEPT}, pr AS (SELECT qid, doc, rank FROM {_top('bm', 10)}), sh AS (SELECT pr.qid, pr.doc, string_agg(DISTINCT ci.concept, ',' ORDER BY ci.concept) AS concepts, string_agg(DISTINCT capability, ',' ORDER BY capability) AS capabilities FROM pr JOIN (SELECT DISTINCT doc AS qid, concept FROM qm) q ON q.qid = pr.qid JOIN ci ON ci.doc = pr.doc AND ci.concept = q.concept GROUP BY ALL) SELECT pr.qid, pr.doc, rank, coalesce(concepts, '') AS concepts, coalesce(capabilities, '') AS capabilities FROM pr LEFT JOIN sh ON sh.qid = pr.qid AND sh.doc = pr.doc",
     "bm25_index_topk": f"WITH {_BM25} SELECT qid, doc, round(score, 6) AS score, rank FROM {_top('bm', 10)}",
     "vocab_lookup": f"WITH {packed_sql.VOCAB}, {_LOOKUP}, w AS (SELECT DISTINCT source_term AS word FROM relationships WHERE source_term IS NOT NULL) SELECT word, term, entry, canonical FROM w JOIN lk ON lk.term = lower(trim(word))",
@@ -451,4 +457,4 @@ SQL = {
     "file_dedup": f"WITH {_BM25}, t5 AS (SELECT qid, doc, source, score FROM {_top('bm', 50)} JOIN documents ON doc_id = doc), b1 AS (SELECT * FROM t5 QUALIFY row_number() OVER (PARTITION BY qid, coalesce(source, doc::VARCHAR) ORDER BY round(score, 9) DESC, doc) = 1) SELECT qid, doc, source, round(score, 6) AS score, rank FROM {_top('b1', 10)}",
     "aggregate_by_file": f"WITH {_BM25}, t5 AS (SELECT qid, doc, source, score FROM {_top('bm', 50)} JOIN documents ON doc_id = doc) SELECT qid, source, count(*) AS docs, round(max(score), 6) AS best, round(sum(score), 6) AS total FROM t5 GROUP BY ALL",
 }
-QUERIES = {f.__name__: f for f in (tokenize_terms, bigram_counts, stem_histogram, normalize_terms, truncate_tokens, language_by_path, language_by_content, main_symbols, identifier_keywords, sanitize_text, bm25_index_stats, bm25_topk, bm25_index_topk, vector_topk, vector_topk_filtered, hash_embed_sparse, hash_embed_topk, tfidf_fit, tfidf_transform, bm25_embed, concept_embed, maxdim_embed, hybrid_embed, domain_hybrid_embed, dim_coverage, explain_embedding, vocab_match, vocab_expand, vocab_stats, vocab_lookup, concept_index, capability_search, capability_counts, concept_score, rrf_fuse, weighted_fuse, hybrid_search, filtered_search, capability_filtered_search, matched_concepts, cross_reference, keyword_score, grep_search, combined_search, tfidf_boost, file_dedup, aggregate_by_file)}
+QUERIES = {f.__name__: f for f in (tokenize_terms, bigram_counts, stem_histogram, normalize_terms, truncate_tokens, language_by_path, language_by_content, main_symbols, identifier_keywords, sanitize_text, bm25_index_stats, bm25_topk, bm25_index_topk, vector_topk, vector_topk_filtered, hash_embed_sparse, hash_embed_topk, tfidf_fit, tfidf_transform, bm25_embed, concept_embed, maxdim_embed, hybrid_embed, domain_hybrid_embed, dim_coverage, explain_embedding, vocab_match, vocab_expand, vocab_stats, vocab_lookup, concept_index, capability_search, capability_counts, concept_score, rrf_fuse, weighted_fuse, hybrid_search, filtered_search, capability_filtered_search, concept_statistics, matched_concepts, cross_reference, keyword_score, grep_search, combined_search, tfidf_boost, file_dedup, aggregate_by_file)}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import program as P
 from ..operators import rewrite as W
-from ..operators import scan
+from ..operators import scan, search
 from ..runtime import materialize
 from . import corpus as C
 from . import retrieval as Q
@@ -33,11 +33,24 @@ def decompose_search(s, d):
     return W.search_parts(lambda q, qid, text, k: scan.lexical(docs, "doc_id", "text", q, qid, text, k), materialize(decompose_queries(s, d)), files).select("qid", "doc", "file", R("score").alias("score"), "rank")
 
 
+def decompose_results(s, d):
+    """The results of every part, each file where it comes first."""
+    docs = Q._docs(s, d)
+    parts = materialize(decompose_queries(s, d).withColumn("id", F.concat_ws(":", "qid", "part")))
+    found = scan.lexical(docs, "doc_id", "text", parts, "id", "query", 10).withColumnRenamed("qid", "id")
+    return W.results_by_part(found, parts, docs.select(F.col("doc_id").alias("doc"), F.col("source").alias("file"))).select("qid", "part", "doc", "file", R("score").alias("score"))
+
+
+def search_once(s, d):
+    """Widened by the relationships, boosted by the mined graph's weights, the best document of each source."""
+    return search.once(Q._docs(s, d), "doc_id", "text", "source", Q._asked(s, d), "qid", "q", Q._vocab(s, d), C._edges(s, d), C.mined_nodes(s, d), 5).select("qid", "doc", "file", R("score").alias("score"), "rank")
+
+
 def vocab_weights(s, d):
     return W.vocabulary_weights(Q._vocab(s, d), C._weighed(s, d).select("normalized", "tfidf"))
 
 
-QUERIES = {f.__name__: f for f in (decompose_queries, decompose_search, vocab_weights)}
+QUERIES = {f.__name__: f for f in (decompose_queries, decompose_search, decompose_results, search_once, vocab_weights)}
 
 _TOGETHER = "cd AS (SELECT DISTINCT doc, concept FROM ci), tg AS (SELECT a.concept AS source, b.concept AS target FROM cd a JOIN cd b ON a.doc = b.doc AND a.concept <> b.concept GROUP BY ALL HAVING count(*) >= 2)"
 _PARTS = rf"""{Q._CI}, {Q._matches('qm', 'asked', 'qid', 'q')}, {_TOGETHER},
@@ -74,3 +87,5 @@ _EACH = Q._BM25.replace("FROM asked)", "FROM pq)").replace(Q._ASKED + ",", f"{Q.
 SQL["decompose_search"] = f"""WITH {_EACH}, ls AS (SELECT split_part(qid, ':', 1)::BIGINT AS qid, split_part(qid, ':', 2) AS list, doc, score FROM {Q._top('bm', 20)}), {Q._RRF},
 bf AS (SELECT rn.qid, doc, source AS file, score FROM rn LEFT JOIN documents ON doc_id = doc QUALIFY row_number() OVER (PARTITION BY rn.qid, coalesce(source, doc::VARCHAR) ORDER BY round(score, 9) DESC, doc) = 1)
 SELECT qid, doc, file, round(score, 6) AS score, rank FROM {Q._top('bf', 10)}"""
+SQL["decompose_results"] = f"""WITH {_EACH}, tb AS (SELECT split_part(qid, ':', 1)::BIGINT AS qid, split_part(qid, ':', 2)::INT AS part, doc, source AS file, score, rank FROM {Q._top('bm', 10)} LEFT JOIN documents ON doc_id = doc)
+SELECT qid, part, doc, file, round(score, 6) AS score FROM tb QUALIFY row_number() OVER (PARTITION BY qid, coalesce(file, doc::VARCHAR) ORDER BY part, rank, doc) = 1"""
