@@ -243,6 +243,8 @@ def search(docs: DataFrame, key: str, text: str, queries: DataFrame, qid: str, q
                             best["vector"].add(b.scores(dense, occupied), docs_, j * QUERY_BLOCK)
             for name, b in best.items():
                 found = b.fold()
+                if not len(found):
+                    continue
                 yield pd.DataFrame({"list": name, "qid": ids[found["q"].to_numpy(int)], "doc": found["doc"].to_numpy(), "score": found["score"].to_numpy(float)})
 
         part = kept.select(F.col(key).alias("doc"), low).mapInPandas(run, schema)
@@ -282,7 +284,8 @@ def dense(vectors: DataFrame, key: str, vec: str, queries: DataFrame, qid: str,
                         s = (q[j : j + block] @ v.T) / (norms[j : j + block, None] * lengths[None, :] + 1e-8)
                         best.add(s, x["doc"].iloc[i : i + DOC_BLOCK].to_numpy(), j)
             found = best.fold()
-            yield pd.DataFrame({"qid": ids[found["q"].to_numpy(int)], "doc": found["doc"].to_numpy(np.int64), "score": found["score"].to_numpy(float)})
+            if len(found):
+                yield pd.DataFrame({"qid": ids[found["q"].to_numpy(int)], "doc": found["doc"].to_numpy(np.int64), "score": found["score"].to_numpy(float)})
 
         part = rows.mapInPandas(run, "qid long, doc long, score double")
         out = part if out is None else out.unionByName(part)

@@ -43,8 +43,11 @@ def route(path: Column, text: Column) -> Column:
     return F.when(ext.isin("tal", "tacl"), "tal").when(ext == "txt", sniffed).when(ext.isin(CODE), "code").when(ext.isin(LOG), "log").when(ext.isin(DOCUMENT), "document").otherwise("none")
 
 
-def domains(path: Column, mapping: dict[str, list[str]] | None = None) -> Column:
-    """Domains of a path: those whose directory it starts with, else its parent directory, else ``default``."""
+def domains(path: Column, mapping: dict[str, list[str]] | None = None, explicit: str | None = None) -> Column:
+    """Domains of a path: the ``explicit`` ones (a comma-separated list), else those whose directory it starts with,
+    else its parent directory, else ``default``."""
+    if explicit:
+        return F.array(*(F.lit(d.strip()) for d in explicit.split(",") if d.strip()))
     parent = F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
     inferred = F.array(F.when(parent != "", parent).otherwise("default"))
     if not mapping:
@@ -107,7 +110,3 @@ def read_docx(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "text"])
 
     return files.select("path", "content").mapInPandas(run, "path string, text string")
-
-
-def read_pdf(files: DataFrame) -> DataFrame:
-    raise NotImplementedError("no PDF library is part of the environment; pass text that was extracted elsewhere")

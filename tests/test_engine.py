@@ -59,3 +59,41 @@ def test_no_file_is_left_out(spark, tmp_path):
     assert "payment_record" in got["only.tal"][0][2] and "amount" in got["only.tal"][0][2]
     assert got["plain.md"] == [(0, "", "A note on nostro accounts without any header.")]
     assert [(n, t) for _, n, t in got["memo.docx"]] == [("", "A foreword about sanction screening."), ("Limits", "Every desk has a limit of its own.")]
+
+
+def test_contents_parsers_and_context(spark, tmp_path):
+    from quillstone.operators import graph as G
+
+    vocab = V.from_rows(spark, [(1, "wire transfer", ["wire"], ["ledger"], ["Pay"], "p"), (2, "ledger", ["ledger"], [], ["Books"], "b")])
+    e = Engine(spark, str(tmp_path / "i"), vocab, 512)
+    long = " ".join(f"The wire desk settles transfer {i} before noon." for i in range(70))
+    rows = [("a/notes.log", "# Not a log\nA note on wire transfers and holds.", "document"), ("b/guide.md", f"# Wires\n{long}", None), ("c/x.tal", "PROC send_wire;\nBEGIN\n  CALL post_ledger;\nEND;\n", None), ("d/app.json", '[{"msg": "wire sent to the bank"}, {"msg": "wire held by the desk"}]', None)]
+    out = e.index_content(spark.createDataFrame(rows, "path string, text string, kind string"), "pay, core")
+    assert out["files"] == 4 and out["chunks"] >= 6
+    got = {(r.path, r.source_type): r.domains for r in e.table("chunks").collect()}
+    assert ("a/notes.log", "document") in got and set(map(tuple, got.values())) == {("pay", "core")}
+    assert max(len(r.text) for r in e.table("chunks").collect()) <= 1500 and '"wire held' in e.table("chunks").filter("path = 'd/app.json'").first().text
+    try:
+        e.index_content(spark.createDataFrame([("x.bin", "some text that has no parser at all")], "path string, text string"))
+        raise AssertionError
+    except ValueError:
+        pass
+    own = {"bin": lambda path, text: [("part", 1, text)]}
+    told = []
+    assert e.index_content(spark.createDataFrame([("x.bin", "some text of a ledger with its own parser")], "path string, text string"), parsers=own)["generation"] == 2
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "empty.md").write_text("hi")
+    (tmp_path / "s" / "one.md").write_text("Some words about a wire in a file.")
+    again = Engine.open(spark, str(tmp_path / "i"))
+    assert again.dims == 512 and again.vocabulary.count() == 2
+    assert again.index(str(tmp_path / "s"), domain="docs", progress=lambda what, n: told.append((what, n)))["chunks"] == 1 and [w for w, _ in told] == ["files", "chunks"]
+    assert [r.path.rsplit("/", 1)[1] for r in again.without_chunks().collect()] == ["empty.md"]
+    asked = spark.createDataFrame([(1, "wire transfer")], "qid int, text string")
+    assert again.search(asked, 5, capabilities=["Pay"]).count() == 1 and again.search(asked, 5, capabilities=["None"]).filter("method not like '%concept%'").count() == 0
+    edge = spark.createDataFrame([("wire", "ledger", "contains", 2)], "source string, target string, type string, weight long")
+    node = spark.createDataFrame([("wire", "Wire", 0.5, "ledger")], "id string, label string, tf_idf_score double, co_occurs_with string")
+    assert again.search_once(asked, 3, edge, node).count() == 1
+    context = again.feature_context("wire desk", node, edge).collect()
+    assert len(context) == 1 and context[0].matched[:1] == ["wire"] and "wire" in context[0].content
+    again.export(str(tmp_path / "out"), node, edge)
+    assert spark.read.json(str(tmp_path / "out" / "expansion_map")).first().related == "ledger" and G.callers(spark.createDataFrame([("a", "b"), ("c", "b")], "caller string, callee string")).first().callers == "a,c"
