@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import json
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,7 +146,7 @@ def _value(tokens: list[str], a: int, b: int, quoting: str) -> str:
 
 def _skeletons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in batches:
-        yield pd.DataFrame({"skeleton": list({s for s in (cut(t)[0] for f in x for t in x[f] if t) if s})})
+        yield pd.DataFrame({"skeleton": np.array(list({s for s in (cut(t)[0] for f in x for t in x[f] if t) if s}), object)})
 
 
 #: Most bytes of rules that are broadcast.
@@ -168,7 +169,7 @@ def split_packed(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
             out[3].append(_value(tokens, a, b, q))
 
     def frame(out: list[list], like: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"_key": pd.Series(out[0], dtype=like.dtype), "field": out[1], "pos": out[2], "item": out[3]})
+        return pd.DataFrame({"_key": pd.Series(out[0], dtype=like.dtype), "field": np.array(out[1], object), "pos": np.array(out[2], np.int32), "item": np.array(out[3], object)})
 
     if small:
         table = {r["skeleton"]: [(x["a"], x["b"], x["q"]) for x in r["rules"]] for r in rules.collect()}

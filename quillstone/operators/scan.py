@@ -191,7 +191,7 @@ def _counted(docs: DataFrame, words: frozenset[str]) -> tuple[dict[str, int], in
                 found = words_of(low)
                 n, total = n + 1, total + len(found)
                 df.update(shared.value.intersection(found))
-        yield pd.DataFrame([*df.items(), (None, n)], columns=["term", "n"]).assign(total=[0] * len(df) + [total])
+        yield pd.DataFrame({"term": np.array([*df, None], object), "n": np.array([*df.values(), n], np.int64), "total": np.array([0] * len(df) + [total], np.int64)})
 
     rows = docs.select("low").mapInPandas(run, "term string, n long, total long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toPandas()
     whole = rows[rows["term"].isna()]

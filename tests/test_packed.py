@@ -60,3 +60,8 @@ def test_shuffled_rules_give_the_same(spark, monkeypatch):
     real = packed.bounded_broadcast
     monkeypatch.setattr(packed, "bounded_broadcast", lambda df, **kw: real(df, 0, **kw))
     assert sorted(map(tuple, split_packed(df, "id", ["f"]).collect())) == want
+
+
+def test_batches_without_values(spark):
+    df = spark.createDataFrame([("a", None), ("b", " ;; "), ("c", "")], "id string, f string").repartition(3)
+    assert split_packed(df, "id", ["f"]).collect() == []
