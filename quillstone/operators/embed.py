@@ -43,9 +43,9 @@ def _rows(docs: DataFrame, key: str, text: str, make: Callable[[], Callable[[str
     return docs.select(F.col(key).alias("doc"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("low")).mapInPandas(run, f"doc {kind}, {columns}")
 
 
-def features(docs: DataFrame, key: str, text: str, stop_first: bool = True) -> DataFrame:
+def features(docs: DataFrame, key: str, text: str, stop_first: bool = True, stem: bool = False) -> DataFrame:
     """``(doc, term, tf)`` of words and adjacent pairs, without stop words (dropped before or after pairing)."""
-    return _rows(docs, key, text, lambda: lambda low: list(scan.features_of(low, stop_first).items()), "term string, tf long")
+    return _rows(docs, key, text, lambda: lambda low: list(scan.features_of(low, stop_first, stem).items()), "term string, tf long")
 
 
 def hash_slot(term: Column, n: int) -> tuple[Column, Column]:
@@ -78,22 +78,22 @@ def hash_embed(docs: DataFrame, key: str, text: str, n: int = 1024, boosted: lis
     return _rows(docs, key, text, make, "idx int, w double")
 
 
-def tfidf_fit(docs: DataFrame, key: str, text: str, min_df: int = 1, most: int = 10_000) -> DataFrame:
-    """Vocabulary ``(term, df, total, idf, idx)``: the terms with the highest counts, ties by name."""
+def tfidf_fit(docs: DataFrame, key: str, text: str, min_df: int = 1, most: int = 10_000, stem: bool = True) -> DataFrame:
+    """Vocabulary ``(term, df, total, idf, idx)``: the stemmed terms with the highest counts, ties by name."""
     n = docs.agg(F.count("*").alias("n")).scalar()
-    stats = features(docs, key, text, stop_first=False).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
+    stats = features(docs, key, text, False, stem).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
     best = stats.orderBy(F.desc("total"), "term").limit(most)  # the best of each task, then of all
     return best.withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1).withColumn("idx", F.row_number().over(Window.orderBy(F.desc("total"), "term")) - 1)
 
 
-def tfidf_transform(docs: DataFrame, key: str, text: str, vocabulary: DataFrame, boosted: list[str] | None = None) -> DataFrame:
-    """``(doc, idx, w)`` of unit length; a vocabulary beyond what is broadcast is joined by term. Terms of ``boosted``
+def tfidf_transform(docs: DataFrame, key: str, text: str, vocabulary: DataFrame, boosted: list[str] | None = None, stem: bool = True) -> DataFrame:
+    """``(doc, idx, w)`` of unit length, stemmed as the vocabulary was; a vocabulary beyond what is broadcast is joined by term. Terms of ``boosted``
     weigh twice."""
     wanted = frozenset(boosted or ())
     known, small = bounded_broadcast(vocabulary.select("term", "idf", "idx"), size=F.length("term") + 100)
     if not small:
         twice = F.when(F.col("term").isin(*wanted), 2.0).otherwise(1.0) if wanted else F.lit(1.0)
-        rows = salted_join(features(docs, key, text, stop_first=False), known, ["term"], "inner", by="doc")
+        rows = salted_join(features(docs, key, text, False, stem), known, ["term"], "inner", by="doc")
         return unit(rows.select("doc", "idx", ((1 + F.log("tf")) * F.col("idf") * twice).alias("w")))
     table = {r["term"]: (r["idx"], r["idf"] * (2.0 if r["term"] in wanted else 1.0)) for r in known.collect()}
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -102,7 +102,7 @@ def tfidf_transform(docs: DataFrame, key: str, text: str, vocabulary: DataFrame,
         weights = shared.value
 
         def of(low: str) -> list[tuple[int, float]]:
-            found = [(weights[t], tf) for t, tf in scan.features_of(low, False).items() if t in weights]
+            found = [(weights[t], tf) for t, tf in scan.features_of(low, False, stem).items() if t in weights]
             out = [(idx, (1 + math.log(tf)) * idf) for (idx, idf), tf in found]
             norm = math.sqrt(sum(w * w for _, w in out))
             return [(idx, w / norm) for idx, w in out] if norm > 0 else []

@@ -36,8 +36,19 @@ def words_of(low: str) -> list[str]:
     return [w for w in _WORD.findall(low) if len(w) >= 2 or w in ("a", "i")]
 
 
-def features_of(low: str, stop_first: bool = True) -> Counter:
-    """Counts of the words and adjacent pairs of a lower-case text, without stop words (before or after pairing)."""
+def stem_of(word: str) -> str:
+    """As :func:`text.stem`."""
+    if len(word) <= 6:
+        return word
+    for suffix in T.SUFFIXES:
+        if word.endswith(suffix):
+            return word[: -len(suffix)]
+    return word[:-1] if word.endswith("s") and not word.endswith("ss") else word
+
+
+def features_of(low: str, stop_first: bool = True, stem: bool = False) -> Counter:
+    """Counts of the words and adjacent pairs of a lower-case text, without stop words (before or after pairing);
+    stemmed, pairs as a whole, if asked for."""
     words = _TOKEN.findall(low)
     if stop_first:
         words = [w for w in words if w not in _STOP]
@@ -46,6 +57,10 @@ def features_of(low: str, stop_first: bool = True) -> Counter:
     if not stop_first:
         for w in _STOP & out.keys():
             del out[w]
+    if stem:
+        plain, out = out, Counter()
+        for w, n in plain.items():
+            out[stem_of(w)] += n
     return out
 
 

@@ -507,7 +507,7 @@ SQL = {
     "call_edges": f"WITH {_TC} SELECT * FROM tc",
     "reverse_call_graph": f"WITH {_TC} SELECT callee, string_agg(DISTINCT caller, ',' ORDER BY caller) AS callers, count(*) AS n FROM tc GROUP BY callee",
     "tal_bodies": f"WITH {_TY} SELECT file_id, name, line_no, first, last FROM ty",
-    "tal_globals": f"WITH {_TB}, gl AS (SELECT * FROM tb WHERE caller IS NULL AND NOT declares) {_VARS('gl', 'file_id, line_no')}",
+    "tal_globals": f"WITH {_TL} {_VARS('tl', 'file_id, line_no')}",
     "tal_locals": f"WITH {_TY}, li AS (SELECT tb.file_id, tb.line_no, tb.line, caller AS proc, max(regexp_matches(tb.line, '(?i)^[ \\t]*(?:IF|WHILE|FOR|CALL|CASE|RETURN)\\b')::INT) OVER (PARTITION BY tb.file_id, spot ORDER BY tb.line_no ROWS UNBOUNDED PRECEDING) AS s FROM tb JOIN ty ON ty.file_id = tb.file_id AND ty.line_no = spot AND tb.line_no BETWEEN first AND last), lj AS (SELECT * FROM li WHERE s = 0) {_VARS('lj', 'file_id, proc, line_no')}",
     "tal_fixture_facts": tal_fixture.SQL,
     "call_graph": f"WITH {_TC} SELECT caller, string_agg(DISTINCT callee, ',' ORDER BY callee) AS callees, count(*) AS n FROM tc GROUP BY caller",

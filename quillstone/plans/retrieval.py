@@ -274,7 +274,7 @@ def tfidf_boost(s, d):
     results = _ranks(s, d, 10).join(docs.select(F.col("doc_id").alias("doc"), "text", F.col("file_path").alias("name")), "doc").withColumn("text", F.coalesce("text", F.lit("")))
     concepts = _index(s, d).groupBy("doc").agg(F.collect_set("concept").alias("concepts"))
     results = results.join(concepts, "doc", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>"))).drop("rank")
-    fit = embed.tfidf_fit(docs, "doc_id", "text").select("term", "idf")
+    fit = embed.tfidf_fit(docs, "doc_id", "text", stem=False).select("term", "idf")
     terms = _asked(s, d).select("qid", F.explode(F.array_distinct(F.split(F.lower("q"), " "))).alias("term")).join(fit, "term").select("qid", "term", F.col("idf").alias("tfidf"))
     return lexical.ranked(fusion.boost(results, terms), 10).select("qid", "doc", R("score").alias("score"), "rank")
 
@@ -375,9 +375,18 @@ _LISTS = lambda keep, told: f"ls AS (SELECT qid, 'bm25' AS list, doc, score FROM
 _HYBRID = lambda keep: f"WITH {_BM25}, {_VEC}, {_CONCEPT}, {_LISTS(keep, keep)}, {_RRF} SELECT qid, doc, round(score, 6) AS score, method, rank FROM {_top('rn', 10)}"
 _WEIGHTED = """mm AS (SELECT *, min(score) OVER (PARTITION BY qid, list) AS lo, max(score) OVER (PARTITION BY qid, list) AS hi FROM ls),
 wf AS (SELECT qid, doc, sum(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END * CASE list {w} END) / {t} AS score, string_agg(DISTINCT list, '+' ORDER BY list) AS method FROM mm GROUP BY ALL)"""
-_FIT = f"""{_features('tf', 'documents', 'doc_id', 'text', False)},
+def _stem_sql() -> str:
+    arms = " ".join(f"WHEN ends_with(term, '{x}') THEN left(term, length(term) - {len(x)})" for x in T.SUFFIXES)
+    return f"CASE WHEN length(term) > 6 THEN CASE {arms} WHEN ends_with(term, 's') AND NOT ends_with(term, 'ss') THEN left(term, length(term) - 1) ELSE term END ELSE term END"
+
+
+def _fit(stem: bool) -> str:
+    return f"""{_features('t0', 'documents', 'doc_id', 'text', False)}, tf AS (SELECT doc, {_stem_sql() if stem else 'term'} AS term, sum(tf)::BIGINT AS tf FROM t0 GROUP BY 1, 2),
 fs AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY term ORDER BY total DESC, term LIMIT 10000),
 fit AS (SELECT term, df, total, ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1 AS idf, row_number() OVER (ORDER BY total DESC, term) - 1 AS idx FROM fs)"""
+
+
+_FIT, _FIT_RAW = _fit(True), _fit(False)
 _DENSE = """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 s AS (SELECT q.vec_id AS qid, d.vec_id AS doc, list_dot_product(q.v, d.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v)) + 1e-8) AS score
   FROM e q JOIN e d ON q.vec_id % 50 = 0 {only}) SELECT qid, doc, round(score, 6) AS score, rank FROM """ + _top("s", 10)
@@ -391,11 +400,6 @@ gt AS (SELECT doc, (coalesce(in_lines, 0) + 2 * in_path)::BIGINT AS matches, coa
   FROM gn LEFT JOIN gh USING (doc) WHERE in_path > 0 OR in_lines > 0)"""
 
 
-def _stem_sql() -> str:
-    arms = " ".join(f"WHEN ends_with(term, '{x}') THEN left(term, length(term) - {len(x)})" for x in T.SUFFIXES)
-    return f"CASE WHEN length(term) > 6 THEN CASE {arms} WHEN ends_with(term, 's') AND NOT ends_with(term, 'ss') THEN left(term, length(term) - 1) ELSE term END ELSE term END"
-
-
 _TERMS = f"WITH t AS (SELECT unnest(list_filter({_TOK}, lambda x: x NOT IN {_STOP})) AS term FROM documents), c AS (SELECT term, count(*) AS n FROM t GROUP BY term)"
 _EXT = "CASE lower(regexp_extract(file_path, '\\.([A-Za-z0-9]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.EXTENSIONS.items()) + " ELSE 'unknown' END"
 
@@ -453,7 +457,7 @@ SQL = {
     "cross_reference": f"WITH {_BM25}, {_CI}, pr AS (SELECT qid, doc FROM {_top('bm', 10)}), cc AS (SELECT DISTINCT qid, concept FROM pr JOIN ci USING (doc)), c5 AS (SELECT * FROM cc QUALIFY row_number() OVER (PARTITION BY qid ORDER BY concept) <= 5), sh AS (SELECT qid, doc, count(*) AS score FROM c5 JOIN (SELECT DISTINCT doc, concept FROM ci) x USING (concept) WHERE doc IN (SELECT doc_id FROM documents WHERE source_type = 'code') GROUP BY ALL) SELECT qid, doc, score AS shared, rank FROM {_top('sh', 10)}",
     "grep_search": f"WITH {_GREP} SELECT doc, matches, n_lines, first_lines, round(score, 6)::DOUBLE AS score FROM gt",
     "combined_search": f"WITH {_BM25.replace(_ASKED, _ONE)}, {_GREP}, fi AS (SELECT qid, doc, score FROM {_top('bm', 10)}), al AS (SELECT * FROM fi UNION ALL SELECT 0, doc, score * 0.8 FROM gt WHERE doc NOT IN (SELECT doc FROM fi)) SELECT qid, doc, round(score, 6) AS score FROM al",
-    "tfidf_boost": f"WITH {_BM25}, {_CI}, {_FIT}, re AS (SELECT qid, doc, score FROM {_top('bm', 10)}), te AS (SELECT qid, term, idf FROM (SELECT DISTINCT qid, unnest(string_split(lower(q), ' ')) AS term FROM asked) JOIN fit USING (term)), sh AS (SELECT qid, term, idf / max(idf) OVER (PARTITION BY qid) AS share FROM te WHERE idf > 0), cn AS (SELECT doc, list(DISTINCT concept) AS concepts FROM ci GROUP BY doc), ga AS (SELECT re.qid, re.doc, least(0.3, sum(share * (len(list_filter(coalesce(concepts, []), lambda c: contains(c, term))) * 0.2 + CASE WHEN contains(lower(coalesce(text, '')), term) THEN 0.1 ELSE 0 END + CASE WHEN contains(lower(coalesce(file_path, '')), term) THEN 0.15 ELSE 0 END))) AS boost FROM re JOIN sh USING (qid) JOIN documents ON doc_id = re.doc LEFT JOIN cn ON cn.doc = re.doc GROUP BY ALL), bo AS (SELECT re.qid, re.doc, re.score + coalesce(boost, 0) AS score FROM re LEFT JOIN ga ON ga.qid = re.qid AND ga.doc = re.doc) SELECT qid, doc, round(score, 6) AS score, rank FROM {_top('bo', 10)}",
+    "tfidf_boost": f"WITH {_BM25}, {_CI}, {_FIT_RAW}, re AS (SELECT qid, doc, score FROM {_top('bm', 10)}), te AS (SELECT qid, term, idf FROM (SELECT DISTINCT qid, unnest(string_split(lower(q), ' ')) AS term FROM asked) JOIN fit USING (term)), sh AS (SELECT qid, term, idf / max(idf) OVER (PARTITION BY qid) AS share FROM te WHERE idf > 0), cn AS (SELECT doc, list(DISTINCT concept) AS concepts FROM ci GROUP BY doc), ga AS (SELECT re.qid, re.doc, least(0.3, sum(share * (len(list_filter(coalesce(concepts, []), lambda c: contains(c, term))) * 0.2 + CASE WHEN contains(lower(coalesce(text, '')), term) THEN 0.1 ELSE 0 END + CASE WHEN contains(lower(coalesce(file_path, '')), term) THEN 0.15 ELSE 0 END))) AS boost FROM re JOIN sh USING (qid) JOIN documents ON doc_id = re.doc LEFT JOIN cn ON cn.doc = re.doc GROUP BY ALL), bo AS (SELECT re.qid, re.doc, re.score + coalesce(boost, 0) AS score FROM re LEFT JOIN ga ON ga.qid = re.qid AND ga.doc = re.doc) SELECT qid, doc, round(score, 6) AS score, rank FROM {_top('bo', 10)}",
     "file_dedup": f"WITH {_BM25}, t5 AS (SELECT qid, doc, source, score FROM {_top('bm', 50)} JOIN documents ON doc_id = doc), b1 AS (SELECT * FROM t5 QUALIFY row_number() OVER (PARTITION BY qid, coalesce(source, doc::VARCHAR) ORDER BY round(score, 9) DESC, doc) = 1) SELECT qid, doc, source, round(score, 6) AS score, rank FROM {_top('b1', 10)}",
     "aggregate_by_file": f"WITH {_BM25}, t5 AS (SELECT qid, doc, source, score FROM {_top('bm', 50)} JOIN documents ON doc_id = doc) SELECT qid, source, count(*) AS docs, round(max(score), 6) AS best, round(sum(score), 6) AS total FROM t5 GROUP BY ALL",
 }

@@ -80,7 +80,7 @@ def facts(spark: SparkSession) -> DataFrame:
         ("literal", P.scan(files, "file_id", "content", P.literals, "line int, name string, kind string, value string"), "line", c("name"), text(c("kind"), " ", c("value"))),
         ("define", P.scan(files, "file_id", "content", P.defines, "line int, name string, parameters string, body string"), "line", c("name"), text(c("parameters"), " = ", c("body"))),
         ("field", P.scan(files, "file_id", "content", P.structs, "line int, struct string, field string, type string, offset int, bytes int, count int"), "line", text(c("struct"), ".", c("field")), text(c("type"), " at ", c("offset").cast("string"), ", ", c("bytes").cast("string"), " bytes")),
-        ("global", P.global_variables(lines), "line_no", c("name"), text(c("type"), pointer, bounds)),
+        ("global", P.global_variables(lines, False), "line_no", c("name"), text(c("type"), pointer, bounds)),
         ("procedure", P.procedures(lines), "line_no", c("name"), text(c("returns"), F.when(c("is_main"), " main").otherwise(""), F.when(c("is_external"), " external").otherwise(""))),
         ("parameter", P.parameters(lines), "n", c("name"), text(c("n").cast("string"), " ", c("parameter"))),
         ("body", P.bodies(lines), "line_no", c("name"), text(c("first").cast("string"), " to ", c("last").cast("string"))),
