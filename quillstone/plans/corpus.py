@@ -464,6 +464,16 @@ tc AS (SELECT file_id, caller, unnest(regexp_extract_all(line, '(?i)\bCALL[ \t]+
 _TY = rf"""{_TB}, ty AS (SELECT caller AS name, file_id, spot AS line_no, min(CASE WHEN regexp_matches(line, '(?i)\bBEGIN\b') THEN line_no END) AS first, max(CASE WHEN regexp_matches(line, '(?i)\bEND[ \t]*;') THEN line_no END) AS last FROM tb WHERE caller IS NOT NULL AND (file_id, spot) IN (SELECT file_id, line_no FROM tp WHERE NOT is_external) GROUP BY ALL HAVING first IS NOT NULL AND last > first)"""
 _VARS = lambda src, keep: rf"""SELECT {keep}, regexp_extract(v, '^[.*]*[ \t]*(?i:EXT[ \t]+)?([A-Za-z_][A-Za-z0-9_^]*)', 1) AS name, type, starts_with(v, '.') AS is_pointer, nullif(regexp_extract(v, '\[[ \t]*(-?[0-9]+)[ \t]*:[ \t]*(-?[0-9]+)[ \t]*\]', 1), '')::INT AS low, nullif(regexp_extract(v, '\[[ \t]*(-?[0-9]+)[ \t]*:[ \t]*(-?[0-9]+)[ \t]*\]', 2), '')::INT AS high
  FROM (SELECT {keep}, upper(regexp_extract(line, '{P._VARIABLES}', 1)) AS type, trim(unnest(string_split(regexp_extract(line, '{P._VARIABLES}', 2), ','))) AS v FROM {src} WHERE regexp_matches(line, '{P._VARIABLES}') AND NOT regexp_matches(line, '(?i)\b(?:SUB)?PROC\b')) WHERE v <> ''"""
+_DOMAIN = lambda c: f"(length({c}) >= 3 AND lower({c}) NOT IN ({', '.join(repr(g) for g in M.GENERIC)}) AND regexp_matches(lower({c}), '{'|'.join(M.DOMAIN)}'))"
+_ONE = lambda p: f"regexp_extract(line, '{p}', 1)"
+_DS, _DF, _DP, _DC = r"(?i)^\s*STRUCT\s+([A-Za-z0-9_]+)", r"(?i)^\s*(?:INT|STRING|FIXED|UNSIGNED|REAL)\s+\.?([A-Za-z0-9_]+)", r"(?i)^\s*(?:SUB)?PROC\s+([A-Za-z0-9_]+)", r"(?i)^\s*(?:DEFINE|LITERAL)\s+([A-Za-z0-9_]+)"
+_TT = rf"""{_TL}, do1 AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '{_DS}') AND {_DOMAIN(_ONE(_DS))} THEN {_ONE(_DS)} WHEN regexp_matches(line, '(?i)^\s*END\s*;') THEN '' END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS own FROM tl),
+do2 AS (SELECT CASE WHEN regexp_matches(line, '{_DS}') THEN struct_pack(kind := 'structure', term := {_ONE(_DS)}, parent := '') WHEN coalesce(own, '') <> '' AND regexp_matches(line, '{_DF}') THEN struct_pack(kind := 'field', term := {_ONE(_DF)}, parent := own)
+  WHEN regexp_matches(line, '{_DP}') THEN struct_pack(kind := 'procedure', term := {_ONE(_DP)}, parent := '') WHEN regexp_matches(line, '{_DC}') THEN struct_pack(kind := 'constant', term := {_ONE(_DC)}, parent := '') END AS m FROM do1),
+tt AS (SELECT m.kind AS kind, {_NORM('m.term')} AS normalized, m.parent AS parent FROM do2 WHERE m IS NOT NULL AND {_DOMAIN('m.term')})"""
+_TOGETHER = "co0 AS (SELECT a.normalized AS source, b.normalized AS target, count(*) AS n FROM dm a JOIN dm b ON a.doc = b.doc AND a.normalized <> b.normalized GROUP BY ALL), co AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, target) AS r FROM co0) WHERE r <= 5 AND n >= 2)"
+_MINED = f"""{_CROSS}, {_TT}, {_TOGETHER}, im AS (SELECT DISTINCT p.normalized AS source, t.normalized AS target FROM (SELECT DISTINCT normalized FROM cm) p JOIN (SELECT DISTINCT normalized FROM dm) t ON p.normalized <> t.normalized AND p.normalized <> '' AND t.normalized <> '' AND (contains(p.normalized, t.normalized) OR contains(t.normalized, p.normalized))),
+mg AS (SELECT DISTINCT {_NORM('parent')} AS source, normalized AS target, 'contains' AS type FROM tt WHERE parent <> '' UNION SELECT source, target, 'co_occurs_with' FROM co UNION SELECT source, target, 'implements' FROM im)"""
 _ROLL = "SELECT coalesce(source_type, '') AS source_type, coalesce(lang, '') AS lang, n_chars FROM documents"
 
 SQL = {
@@ -485,6 +495,10 @@ SQL = {
  n1 AS (SELECT source, target, max(weight) AS w FROM b WHERE replace(type, 'rev_', '') IN ('co_occurs_with', 'implements', 'related_to') GROUP BY source, target QUALIFY row_number() OVER (PARTITION BY source ORDER BY max(weight) DESC, target) <= 5),
  n2 AS (SELECT source, target, max(weight) AS w FROM b WHERE replace(type, 'rev_', '') = 'co_occurs_with' GROUP BY source, target QUALIFY row_number() OVER (PARTITION BY source ORDER BY max(weight) DESC, target) <= 3),
  u AS (SELECT qid, word FROM wd UNION SELECT qid, replace(target, '_', ' ') FROM wn JOIN (SELECT source, target FROM n1 UNION SELECT source, target FROM n2) ON source = seed) SELECT qid, string_agg(word, ' ' ORDER BY word) AS expanded FROM u GROUP BY qid""",
+    "mined_nodes": f"WITH {_MINED}, cl AS (SELECT source, string_agg(target, ',' ORDER BY n DESC, target) AS near FROM co GROUP BY source) SELECT normalized AS id, label, kind AS type, wt.source AS source, round(confidence, 2)::DOUBLE AS confidence, round(tfidf, 3) AS tf_idf_score, tf AS term_frequency, df AS document_frequency, coalesce(near, '') AS co_occurs_with FROM wt LEFT JOIN cl ON cl.source = normalized",
+    "mined_edges": f"WITH {_MINED} SELECT type, count(*) AS edges, count(DISTINCT source) AS sources FROM mg GROUP BY type",
+    "mined_statistics": f"WITH {_MINED} SELECT count(*) AS nodes, count(*) FILTER (source = 'both') AS both, count(*) FILTER (source = 'document') AS document, count(*) FILTER (source = 'code') AS code, (SELECT count(*) FROM mg) AS edges FROM wt",
+    "tal_domain_terms": f"WITH {_TT} SELECT kind, normalized, parent, count(*) AS n FROM tt GROUP BY ALL",
     "expansion_map": f"WITH {_KE}, u AS (SELECT source AS id, target FROM ke WHERE type IN {_REL} OR type = 'co_occurs_with' UNION SELECT target, source FROM ke WHERE type = 'co_occurs_with') SELECT id, string_agg(target, ',' ORDER BY target) AS related FROM u GROUP BY id",
     "html_strip": f"SELECT doc_id, {_STRIP('text')} AS bare FROM documents WHERE contains(lower(text), '<html')",
     "heading_detect": rf"WITH r AS (SELECT DISTINCT section_id, content FROM document_sections), l AS (SELECT section_id, unnest(regexp_split_to_array(coalesce(content, ''), '\r\n|\n|\r')) AS line FROM r) SELECT section_id, count(*) AS headings FROM l WHERE {_HEADING} GROUP BY section_id",
