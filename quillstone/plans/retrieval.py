@@ -29,7 +29,7 @@ def _vocab(s: SparkSession, d: str) -> DataFrame:
     return materialize(V.from_packed(spread(table(s, d, "keywords")), "entry_id", "keywords", "related_keywords", "business_capability", "metadata"))
 
 
-def _index(s: SparkSession, d: str, vocab: DataFrame | None = None) -> DataFrame:
+def _index(s: SparkSession, d: str, vocab: DataFrame | V.Prepared | None = None) -> DataFrame:
     return V.concept_index(V.matches(_docs(s, d), "doc_id", "text", _vocab(s, d) if vocab is None else vocab))
 
 
@@ -207,7 +207,7 @@ def capability_counts(s, d):
 
 
 def concept_score(s, d):
-    vocab = _vocab(s, d)
+    vocab = V.prepare(_vocab(s, d))
     return V.concept_scores(_asked(s, d), "qid", "q", vocab, _index(s, d, vocab)).select("qid", "doc", R("score").alias("score"))
 
 
@@ -245,7 +245,7 @@ def concept_statistics(s, d):
 
 
 def matched_concepts(s, d):
-    vocab = _vocab(s, d)
+    vocab = V.prepare(_vocab(s, d))
     return V.matched_concepts(_ranks(s, d, 10), _asked(s, d), "qid", "q", vocab, _index(s, d, vocab)).select("qid", "doc", "rank", "concepts", "capabilities")
 
 
