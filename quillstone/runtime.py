@@ -26,13 +26,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def by_key(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a key in one partition: later groupings and joins by the key (and more) need no other exchange.
-
-    The number is explicit, so that it isn't coalesced before the rows are exploded into many."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the shared folder of the cluster; choose one only where none is set (tests, local mode)."""
     sc = spark.sparkContext

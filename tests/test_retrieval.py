@@ -135,6 +135,26 @@ def test_scan_equals_index(spark, docs):
     assert scan.lexical(many, "id", "text", asked, "qid", "q", 0).count() == 0 and scan.lexical(many.limit(0), "id", "text", asked, "qid", "q").count() == 0 and scan.vector(many, "id", "text", asked.limit(0), "qid", "q").count() == 0
 
 
+def test_scan_of_string_keys_and_empty_partitions(spark):
+    from quillstone.operators import scan
+
+    d = spark.createDataFrame([("c1", "a wire in a file"), ("c2", None), ("c3", "")], "k string, t string").repartition(5)
+    asked = ask(spark, "wire", "none of it")
+    for kinds in (("bm25",), ("vector",)):
+        assert [(r.qid, r.doc) for r in scan.search(d, "k", "t", asked, "qid", "q", 3, kinds).filter("qid = 0").collect()] == [(0, "c1")]
+    assert embed.hash_embed(d, "k", "t").select("doc").distinct().count() == 1 and embed.tfidf_transform(d, "k", "t", embed.tfidf_fit(d, "k", "t")).count() > 0
+    v = V.from_rows(spark, [(1, "wire", ["wire"], [], [], None)])
+    assert [r.doc for r in V.matches(d, "k", "t", v, 5).collect()] == ["c1"]
+
+
+def test_stems(spark):
+    from quillstone.operators import scan
+
+    words = ["validation", "posting", "access", "wires", "payments", "transfers_processed", "boxes", "fastly", "statement"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert {r.w: r.s for r in df.select("w", T.stem(F.col("w")).alias("s")).collect()} == {w: scan.stem_of(w) for w in words}
+
+
 def test_query_blocks(spark, docs, monkeypatch):
     from quillstone.operators import scan
 
