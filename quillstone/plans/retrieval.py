@@ -246,7 +246,10 @@ def concept_statistics(s, d):
 
 def matched_concepts(s, d):
     vocab = V.prepare(_vocab(s, d))
-    return V.matched_concepts(_ranks(s, d, 10), _asked(s, d), "qid", "q", vocab, _index(s, d, vocab)).select("qid", "doc", "rank", "concepts", "capabilities")
+    found = materialize(_ranks(s, d, 10))
+    texts = _docs(s, d).join(found.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    index = V.concept_index(V.matches(texts, "doc_id", "text", vocab))
+    return V.matched_concepts(found, _asked(s, d), "qid", "q", vocab, index).select("qid", "doc", "rank", "concepts", "capabilities")
 
 
 def cross_reference(s, d):
@@ -271,8 +274,9 @@ def combined_search(s, d):
 
 def tfidf_boost(s, d):
     docs = _docs(s, d)
-    results = _ranks(s, d, 10).join(docs.select(F.col("doc_id").alias("doc"), "text", F.col("file_path").alias("name")), "doc").withColumn("text", F.coalesce("text", F.lit("")))
-    concepts = _index(s, d).groupBy("doc").agg(F.collect_set("concept").alias("concepts"))
+    results = materialize(_ranks(s, d, 10)).join(docs.select(F.col("doc_id").alias("doc"), "text", F.col("file_path").alias("name")), "doc").withColumn("text", F.coalesce("text", F.lit("")))
+    # Only the results' texts are matched.
+    concepts = V.matches(results.select("doc", "text").distinct(), "doc", "text", _vocab(s, d)).groupBy("doc").agg(F.collect_set("concept").alias("concepts"))
     results = results.join(concepts, "doc", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>"))).drop("rank")
     fit = embed.tfidf_fit(docs, "doc_id", "text", stem=False).select("term", "idf")
     terms = _asked(s, d).select("qid", F.explode(F.array_distinct(F.split(F.lower("q"), " "))).alias("term")).join(fit, "term").select("qid", "term", F.col("idf").alias("tfidf"))
