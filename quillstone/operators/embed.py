@@ -9,8 +9,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,6 +144,49 @@ def concept_embed(matches: DataFrame) -> DataFrame:
     return unit(one.unionByName(two).unionByName(three).groupBy("doc", "dim").agg(F.sum("w").alias("w")))
 
 
+def document_concepts(docs: DataFrame, key: str, text: str, vocabulary: DataFrame | V.Prepared, best: int | None = None) -> DataFrame:
+    """:func:`concept_embed` of the documents' matches, made in the tasks where a key is of one document and the patterns
+    are one block. With ``best``, at least the dimensions that may be among the best so many to six digits."""
+    ready = V.prepare(vocabulary)
+    own, twice = V.apart(docs, key) if len(ready.tables) == 1 else (None, docs)
+
+    def run(known: V.Coded, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict = {}
+        number = lambda x: names.setdefault(x, len(names))
+        named = np.array([number(x) for x in known.strings["canonical"].to_pylist()], np.int64)
+        kinds = np.array([-1 if x is None else number(x) for x in known.strings["category"].to_pylist()], np.int64)
+        several = [[number(c) for c in x or ()] for x in known.strings["capabilities"].to_pylist()]
+        n = np.array([len(x) for x in several], np.int64)
+        first, ids = np.cumsum(n) - n, np.array([i for x in several for i in x], np.int64)
+        texts = pa.array(list(names), pa.string())
+        for x in batches:
+            held, size = [], 0
+            low = x.column("low").to_pylist()
+            for i, t in enumerate(low):
+                rows = known.row[known.found(t)[0]]
+                able, kind = ids[V._spread(first[rows], n[rows])], kinds[rows]
+                kind = kind[kind >= 0]
+                sums = np.bincount(named[rows], minlength=len(names)) + 0.5 * np.bincount(able, minlength=len(names)) + 0.3 * np.bincount(kind, minlength=len(names))
+                dims = np.flatnonzero(sums)
+                w = sums[dims] / np.sqrt((sums[dims] * sums[dims]).sum())
+                if best is not None and len(w) > best:
+                    near = w >= np.partition(w, len(w) - best)[len(w) - best] - 2e-6
+                    dims, w = dims[near], w[near]
+                held.append((np.full(len(dims), i), dims, w))
+                size += len(dims)
+                if size > V.MATCH_ROWS or i == len(low) - 1:
+                    at, dims, w = map(np.concatenate, zip(*held))
+                    yield pa.RecordBatch.from_arrays([x.column("doc").take(pa.array(at)), texts.take(pa.array(dims)), pa.array(w)], ["doc", "dim", "w"])
+                    held, size = [], 0
+
+    out = []
+    if own is not None:
+        out.append(V.scanned(V.lowered(own, key, text), ready, run, f"doc {docs.schema[key].dataType.simpleString()}, dim string, w double"))
+    if twice is not None:
+        out.append(concept_embed(V.matches(twice, key, text, ready, columns=("doc", "canonical", "capabilities", "category"))))
+    return reduce(DataFrame.unionByName, out)
+
+
 def max_dim_embed(docs: DataFrame, key: str, text: str, dims: DataFrame) -> DataFrame:
     """Largest weight per dimension among the terms that the text contains; unit length. ``dims``: term, dim, weight."""
     none = F.array().cast("array<string>")
@@ -198,7 +244,7 @@ def embedder(kind: str, **given):
     if kind in ("domain", "hybrid") and "concepts" not in given:
         raise ValueError(f"a {kind} embedder needs a vocabulary of concepts")
     if kind == "domain":
-        return lambda d, k, t: concept_embed(V.matches(d, k, t, given["concepts"]))
+        return lambda d, k, t: document_concepts(d, k, t, given["concepts"])
     if kind == "hybrid":
         return lambda d, k, t: domain_hybrid(d, k, t, given["concepts"], given.get("n", 512), given.get("share", 0.6), given.get("vocabulary"))
     if kind == "payment":
@@ -213,6 +259,6 @@ def embedder(kind: str, **given):
 
 def domain_hybrid(docs: DataFrame, key: str, text: str, concepts: DataFrame, n: int = 512, share: float = 0.6, vocabulary: DataFrame | None = None) -> DataFrame:
     """``(doc, dim, w)``: concept dimensions at ``share``, hashed (or, with a fitted vocabulary, tfidf) ones at the rest."""
-    first = concept_embed(V.matches(docs, key, text, concepts)).select("doc", F.concat(F.lit("c:"), "dim").alias("dim"), (F.col("w") * share).alias("w"))
+    first = document_concepts(docs, key, text, concepts).select("doc", F.concat(F.lit("c:"), "dim").alias("dim"), (F.col("w") * share).alias("w"))
     other = hash_embed(docs, key, text, n) if vocabulary is None else tfidf_transform(docs, key, text, vocabulary)
     return first.unionByName(other.select("doc", F.concat(F.lit("t:"), F.col("idx").cast("string")).alias("dim"), (F.col("w") * (1 - share)).alias("w")))
