@@ -200,7 +200,8 @@ def relevant_sections(s, d):
 
 
 def embedding_text(s, d):
-    found = V.matches(_docs(s, d), "doc_id", "text", retrieval._vocab(s, d))
+    # What a text names: five concepts and five capabilities, two of each match.
+    found = V.matches(_docs(s, d), "doc_id", "text", retrieval._vocab(s, d), columns=("doc", "concept", "canonical", "term", "entry", "end", "capabilities"), keep=V.leading(5, 5, 2))
     spot = F.struct("end", (-F.length("term")).alias("n"), "entry", "concept")
     order = Window.partitionBy("doc").orderBy(spot)
     found = found.select("doc", "canonical", F.slice("capabilities", 1, 2).alias("two"), F.row_number().over(order).alias("m"))
