@@ -103,3 +103,12 @@ def test_scores_of_documents_without_concepts(spark, vocab):
         assert V.document_scores(asked, "qid", "q", V.prepare(vocab), many, "id", "text").count() == 35
     finally:
         V.MATCH_ROWS = before
+
+
+def test_nearest_counts_only_pairs_of_a_query(spark, vocab, docs):
+    index = V.concept_index(V.matches(docs, "id", "text", V.prepare(vocab))).select("doc", "concept").distinct()
+    pairs = index.withColumnRenamed("concept", "source").join(index.withColumnRenamed("concept", "target"), "doc").filter("target < source")
+    together = pairs.groupBy("source", "target").agg(F.count("*").alias("n")).filter("n >= 2")
+    asked = spark.createDataFrame([(q, c) for q, cs in ((1, ["wire", "ledger", "fee", "payout"]), (2, ["wire", "payout"]), (3, ["fee"])) for c in cs], "qid long, concept string")
+    want = asked.join(together, asked["concept"] == together["source"]).join(asked.select(F.col("qid").alias("q2"), F.col("concept").alias("c2")), (F.col("q2") == F.col("qid")) & (F.col("c2") == F.col("target")))
+    assert same(search.conceptlist.nearest(asked, vocab, docs, "id", "text"), want.groupBy("qid", "concept").agg(F.min("target").alias("near")))
