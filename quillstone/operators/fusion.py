@@ -40,14 +40,16 @@ def weighted(several: DataFrame, weights: dict[str, float]) -> DataFrame:
     return scaled.groupBy("qid", "doc").agg((F.sum(F.col("score") * F.coalesce(F.try_element_at(table, F.col("list")), F.lit(0.0))) / total).alias("score"))
 
 
-def boost(results: DataFrame, term_scores: DataFrame, most: float = 0.3) -> DataFrame:
+def boost(results: DataFrame, term_scores: DataFrame, most: float = 0.3, held: DataFrame | None = None) -> DataFrame:
     """Add to each ``(qid, doc, score, text, concepts, name)`` what it holds of its query's terms ``(qid, term,
     tfidf)``: 0.2 for each concept, 0.1 for the text, 0.15 for the name, by tfidf over the query's highest; at most
-    ``most`` in all."""
+    ``most`` in all. ``held`` ``(doc, term, n)``, the numbers of concepts that hold a term, may stand for ``concepts``."""
     top = Window.partitionBy("qid")
     shares = term_scores.filter("tfidf > 0").withColumn("share", F.col("tfidf") / F.max("tfidf").over(top))
     joined = results.join(shares.select("qid", "term", "share"), "qid")
-    gain = F.size(F.filter("concepts", lambda c: F.contains(F.lower(c), F.col("term")))) * 0.2 + F.when(F.contains(F.lower("text"), F.col("term")), 0.1).otherwise(0.0) + F.when(F.contains(F.lower(F.coalesce("name", F.lit(""))), F.col("term")), 0.15).otherwise(0.0)
+    named = F.size(F.filter("concepts", lambda c: F.contains(F.lower(c), F.col("term")))) if held is None else F.coalesce("n", F.lit(0))
+    joined = joined if held is None else joined.join(held, ["doc", "term"], "left")
+    gain = named * 0.2 + F.when(F.contains(F.lower("text"), F.col("term")), 0.1).otherwise(0.0) + F.when(F.contains(F.lower(F.coalesce("name", F.lit(""))), F.col("term")), 0.15).otherwise(0.0)
     gains = joined.groupBy("qid", "doc").agg(F.least(F.sum(gain * F.col("share")), F.lit(most)).alias("boost"))
     return results.join(gains, ["qid", "doc"], "left").withColumn("score", F.col("score") + F.coalesce("boost", F.lit(0.0))).drop("boost")
 

@@ -120,3 +120,25 @@ def test_keyword_scores_join_no_pairs(spark):
     got = search.keyword(docs, "id", "text", "path", asked, "qid", "q")
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
     assert {(r.qid, r.doc): round(r.score, 6) for r in got.collect()} == {(7, 1): 1.0, (7, 3): 1.0, (8, 1): 1.0, (8, 3): 0.5}
+
+
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_search_once_gathers_no_concepts(spark, vocab, docs, monkeypatch, block):
+    """Concepts that hold a term are counted in the tasks as in the index of all matches, and boost the same."""
+    ready = V.prepare(vocab, block)
+    asked = docs.select(F.col("id").alias("doc")).distinct().crossJoin(spark.createDataFrame([("e",), ("wire",), ("ut",), ("zz",), ("",)], "term string"))
+    concepts = V.concept_index(V.matches(docs, "id", "text", ready)).select("doc", "concept").distinct()
+    want = concepts.join(asked, "doc").filter(F.contains("concept", "term")).groupBy("doc", "term").agg(F.count("*").alias("n"))
+    assert want.count() > 8 and same(V.concepts_holding(docs, "id", "text", ready, asked), want)
+    queries = spark.createDataFrame([(7, "wire fee"), (8, " payout e"), (9, None)], "qid long, q string")
+    node = spark.createDataFrame([("wire", 2.0), ("fee", 1.0), ("e", 3.0), ("payout", None), ("", 0.5)], "id string, tf_idf_score double")
+    found = search.hybrid(docs, "id", "text", queries, "qid", "q", ready, 15)
+    told = found.join(docs.select(F.col("id").alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.col("kind").alias("file")), "doc").withColumn("name", F.col("file"))
+    told = told.join(concepts.groupBy("doc").agg(F.collect_set("concept").alias("concepts")), "doc", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>")))
+    words = queries.select("qid", F.explode(F.split(F.lower(F.coalesce("q", F.lit(""))), " ")).alias("term"))
+    boosted = search.fusion.boost(told, words.join(node.select(F.col("id").alias("term"), F.col("tf_idf_score").alias("tfidf")), "term"))
+    want = lexical.ranked(search.fusion.best_per_file(boosted.drop("rank"), "file"), 5)
+    r = lambda x: x.select("qid", "doc", "file", F.round("score", 9).alias("score"), "rank")
+    want = sorted(map(str, r(want).collect()))
+    monkeypatch.setattr(V, "concept_index", None)
+    assert sorted(map(str, r(search.once(docs, "id", "text", "kind", queries, "qid", "q", ready, None, node)).collect())) == want
