@@ -64,6 +64,7 @@ def expand(edge: DataFrame, queries: DataFrame, qid: str, text: str, n_related:
     with it, each once and sorted; underscores become spaces."""
     words = materialize(queries.select(F.col(qid).alias("qid"), F.explode(F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[ \t\r\n]+"), lambda w: w != "")).alias("word")).distinct())
     keys = words.withColumn("seed", T.normalize_term(F.col("word")))
+    edge = materialize(edge)  # it is read eight times
     one = related(edge, keys.filter("seed <> ''"), "seed", 1, n_related, ["co_occurs_with", "implements", "related_to"])
     two = related(edge, keys.filter("seed <> ''"), "seed", 1, n_together, ["co_occurs_with"])
     adds = keys.join(one.select("seed", "id").unionByName(two.select("seed", "id")), "seed").select("qid", F.regexp_replace("id", "_", " ").alias("word"))

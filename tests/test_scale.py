@@ -142,3 +142,20 @@ def test_search_once_gathers_no_concepts(spark, vocab, docs, monkeypatch, block)
     want = sorted(map(str, r(want).collect()))
     monkeypatch.setattr(V, "concept_index", None)
     assert sorted(map(str, r(search.once(docs, "id", "text", "kind", queries, "qid", "q", ready, None, node)).collect())) == want
+
+
+def test_expanding_reads_the_relationships_once(spark, tmp_path):
+    """Edges are made once for a query's expansion, as a plan over their table."""
+    from quillstone.operators import graph
+
+    calls = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(f"a{i}", f"b{i}", "related_to", i + 1) for i in range(6)], "source string, target string, type string, weight long").coalesce(1)
+
+    def seen(batches):
+        calls.add(1)
+        yield from batches
+
+    edge = rows.mapInPandas(seen, rows.schema)
+    asked = spark.createDataFrame([(1, "a1 b2")], "qid long, q string")
+    assert [tuple(r) for r in graph.expand(edge, asked, "qid", "q").collect()] == [(1, "a1 a2 b1 b2")]
+    assert calls.value == 1
