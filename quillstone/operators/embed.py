@@ -144,47 +144,66 @@ def concept_embed(matches: DataFrame) -> DataFrame:
     return unit(one.unionByName(two).unionByName(three).groupBy("doc", "dim").agg(F.sum("w").alias("w")))
 
 
-def document_concepts(docs: DataFrame, key: str, text: str, vocabulary: DataFrame | V.Prepared, best: int | None = None) -> DataFrame:
-    """:func:`concept_embed` of the documents' matches, made in the tasks where a key is of one document and the patterns
-    are one block. With ``best``, at least the dimensions that may be among the best so many to six digits."""
+def document_concepts(docs: DataFrame, key: str, text: str, vocabulary: DataFrame | V.Prepared, best: int | None = None, digits: int | None = None, share: float = 1.0, prefix: str = "") -> DataFrame:
+    """:func:`concept_embed` of the documents' matches, made in the tasks where a key is of one document. With ``best``, at
+    least the dimensions that may be among the best so many to six digits. Weights are multiplied by ``share`` and rounded
+    to ``digits``, names begin with ``prefix``: there are so many rows that this is done in the tasks, too."""
     ready = V.prepare(vocabulary)
-    own, twice = V.apart(docs, key) if len(ready.tables) == 1 else (None, docs)
+    own, twice = V.apart(docs, key)
 
-    def run(known: V.Coded, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(sums: Callable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: dict = {}
-        number = lambda x: names.setdefault(x, len(names))
-        named = np.array([number(x) for x in known.strings["canonical"].to_pylist()], np.int64)
-        kinds = np.array([-1 if x is None else number(x) for x in known.strings["category"].to_pylist()], np.int64)
-        several = [[number(c) for c in x or ()] for x in known.strings["capabilities"].to_pylist()]
-        n = np.array([len(x) for x in several], np.int64)
-        first, ids = np.cumsum(n) - n, np.array([i for x in several for i in x], np.int64)
-        texts = pa.array(list(names), pa.string())
-        for x in batches:
-            held, size = [], 0
-            low = x.column("low").to_pylist()
-            for i, t in enumerate(low):
-                rows = known.row[known.found(t)[0]]
-                able, kind = ids[V._spread(first[rows], n[rows])], kinds[rows]
-                kind = kind[kind >= 0]
-                sums = np.bincount(named[rows], minlength=len(names)) + 0.5 * np.bincount(able, minlength=len(names)) + 0.3 * np.bincount(kind, minlength=len(names))
-                dims = np.flatnonzero(sums)
-                w = sums[dims] / np.sqrt((sums[dims] * sums[dims]).sum())
-                if best is not None and len(w) > best:
-                    near = w >= np.partition(w, len(w) - best)[len(w) - best] - 2e-6
-                    dims, w = dims[near], w[near]
-                held.append((np.full(len(dims), i), dims, w))
-                size += len(dims)
-                if size > V.MATCH_ROWS or i == len(low) - 1:
-                    at, dims, w = map(np.concatenate, zip(*held))
-                    yield pa.RecordBatch.from_arrays([x.column("doc").take(pa.array(at)), texts.take(pa.array(dims)), pa.array(w)], ["doc", "dim", "w"])
-                    held, size = [], 0
-
-    out = []
-    if own is not None:
-        out.append(V.scanned(V.lowered(own, key, text), ready, run, f"doc {docs.schema[key].dataType.simpleString()}, dim string, w double"))
+        texts = pa.array([], pa.string())
+        for x, at, dims, w in sums(batches, lambda known: named(known, names)):
+            norm = np.sqrt(np.bincount(at, weights=w * w, minlength=len(x)))
+            w = w / norm[at]
+            if best is not None:
+                n = np.bincount(at, minlength=len(x))
+                ends = np.cumsum(n)
+                for i in np.flatnonzero(n > best).tolist():
+                    one = w[ends[i] - n[i] : ends[i]]
+                    one[one < np.partition(one, len(one) - best)[len(one) - best] - 2e-6] = 0
+                near = w > 0
+                at, dims, w = at[near], dims[near], w[near]
+            if len(texts) < len(names):
+                texts = pa.array([x if x is None else prefix + x for x in names], pa.string())
+            for i in range(0, len(at), 2 * V.MATCH_ROWS):
+                j = slice(i, i + 2 * V.MATCH_ROWS)
+                yield pa.RecordBatch.from_arrays([x.column("doc").take(pa.array(at[j])), texts.take(pa.array(dims[j])), pa.array(V.rounded(w[j] * share, digits))], ["doc", "dim", "w"])
+
+    out = V.whole(V.lowered(own, key, text), ready, run, f"doc {docs.schema[key].dataType.simpleString()}, dim string, w double")
     if twice is not None:
-        out.append(concept_embed(V.matches(twice, key, text, ready, columns=("doc", "canonical", "capabilities", "category"))))
-    return reduce(DataFrame.unionByName, out)
+        several = concept_embed(V.matches(twice, key, text, ready, columns=("doc", "canonical", "capabilities", "category")))
+        w = F.col("w") * share
+        out = out.unionByName(several.select("doc", F.concat(F.lit(prefix), "dim").alias("dim"), (w if digits is None else F.round(w, digits)).alias("w")))
+    return out
+
+
+def named(known: V.Coded, names: dict) -> Callable:
+    """Of a text's patterns the dimensions, numbered by ``names``, and their sums."""
+    able = known.strings["capabilities"]
+    n = able.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first, flat = np.cumsum(n) - n, able.flatten().to_pylist()
+    kind, canonical = known.strings["category"].to_pylist(), known.strings["canonical"].to_pylist()
+    # Those that several concepts share are numbered first, from 0 on in this block; a concept has one canonical name.
+    own: dict = {}
+    number = lambda xs: np.array([own.setdefault(x, len(own)) for x in xs], np.int64)
+    ids, kinds = number(flat), np.full(len(kind), -1, np.int64)
+    has = [i for i, x in enumerate(kind) if x is not None]
+    kinds[has] = number([kind[i] for i in has])
+    shared = len(own)
+    names_at = number(canonical)
+    to = np.array([names.setdefault(x, len(names)) for x in own], np.int64)
+
+    def of(pids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = known.row[pids]
+        k, c = kinds[rows], names_at[rows]
+        both = c < shared
+        total = 0.5 * np.bincount(ids[V._spread(first[rows], n[rows])], minlength=shared) + 0.3 * np.bincount(k[k >= 0], minlength=shared) + np.bincount(c[both], minlength=shared)
+        hit, alone = np.flatnonzero(total), c[~both]
+        return to[np.concatenate([hit, alone])], np.concatenate([total[hit], np.ones(len(alone))])
+
+    return of
 
 
 def max_dim_embed(docs: DataFrame, key: str, text: str, dims: DataFrame) -> DataFrame:

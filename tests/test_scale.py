@@ -159,3 +159,31 @@ def test_expanding_reads_the_relationships_once(spark, tmp_path):
     asked = spark.createDataFrame([(1, "a1 b2")], "qid long, q string")
     assert [tuple(r) for r in graph.expand(edge, asked, "qid", "q").collect()] == [(1, "a1 a2 b1 b2")]
     assert calls.value == 1
+
+
+@pytest.mark.parametrize("block, held", [(2, 4), (3, 4_000_000), (100, 4)])
+def test_dimensions_of_several_blocks_leave_no_pairs(spark, vocab, docs, monkeypatch, block, held):
+    """Dimensions are summed over all blocks in the tasks, a group of blocks after the other; no match is shuffled."""
+    monkeypatch.setattr(V, "TOGETHER", 2)
+    monkeypatch.setattr(V, "HELD", held)
+    more = spark.createDataFrame([(100 + i, " ".join(w for j, w in enumerate(["wire", "ledger", "fee", "payout", "out"]) if (i * 7 + j * j) % (j + 2) == 0), "code") for i in range(40)], "id long, text string, kind string")
+    every = docs.unionByName(more)
+    # Names that are a concept's, a capability and a category at once, of different blocks.
+    entries = vocab.unionByName(V.from_rows(spark, [(9, "Pay", ["wire fee", "out"], [], ["b", "Fee", "ledger"], "Books"), (10, "b", ["fee"], [], ["Pay"], "Pay")]))
+    ready = V.prepare(entries, block)
+    want = embed.concept_embed(V.matches(every, "id", "text", ready))
+    r = lambda x: x.select("doc", "dim", F.round("w", 9).alias("w"))
+    assert same(r(embed.document_concepts(every, "id", "text", ready)), r(want))
+    assert same(embed.document_concepts(every, "id", "text", ready, digits=6, share=0.6, prefix="c:"), want.select("doc", F.concat(F.lit("c:"), "dim").alias("dim"), F.round(F.col("w") * 0.6, 6).alias("w")))
+    monkeypatch.setattr(V, "matches", None)
+    unique = more.coalesce(1)
+    got = embed.document_concepts(unique, "id", "text", ready)
+    assert got.count() > 200 and "HashAggregate" not in got._jdf.queryExecution().toString()
+
+
+def test_rounding_in_tasks_equals_sparks(spark):
+    import numpy as np
+
+    some = np.concatenate([np.random.default_rng(1).random(2000), np.arange(1, 4000, 2) / 2e6, np.arange(1, 4000, 2) / 2e6 + 1e-16, [0.0, 1.0, 2.5, 1234.5678905]])
+    want = spark.createDataFrame([(i, float(x)) for i, x in enumerate(some)], "i int, w double").select("i", F.round("w", 6).alias("w")).orderBy("i").toPandas()["w"]
+    assert (V.rounded(some, 6) == want.to_numpy()).all() and V.rounded(some, None) is some
