@@ -181,6 +181,23 @@ def test_dimensions_of_several_blocks_leave_no_pairs(spark, vocab, docs, monkeyp
     assert got.count() > 200 and "HashAggregate" not in got._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("block, pairs, held", [(2, 3, 4), (3, 100, 4_000_000), (100, 1, 4)])
+def test_scores_of_several_blocks_leave_no_pairs(spark, vocab, docs, monkeypatch, block, pairs, held):
+    """Documents are scored in the tasks, with several blocks of the vocabulary and of pairs that aren't broadcast."""
+    for name, n in (("TOGETHER", 2), ("HELD", held), ("PAIR_BLOCK", pairs)):
+        monkeypatch.setattr(V, name, n)
+    wanted = V._wanted
+    monkeypatch.setattr(V, "_wanted", lambda *a: (wanted(*a)[0], False))
+    ready = V.prepare(vocab, block)
+    asked = spark.createDataFrame([(7, "wire fee"), (8, "payout"), (9, "ledger fee out"), (10, "none"), (11, None)], "qid long, q string")
+    want = V.concept_scores(asked, "qid", "q", ready, V.concept_index(V.matches(docs, "id", "text", ready)))
+    assert want.count() > 8 and same(V.document_scores(asked, "qid", "q", ready, docs, "id", "text", digits=6), want)
+    unique = docs.filter("id > 2").coalesce(1)
+    got = V.document_scores(asked, "qid", "q", ready, unique, "id", "text")
+    assert "Join" not in got._jdf.queryExecution().toString() and same(got, want.filter("doc > 2"))
+    assert V.document_scores(asked.filter("qid = 10"), "qid", "q", ready, unique, "id", "text").count() == 0
+
+
 def test_rounding_in_tasks_equals_sparks(spark):
     import numpy as np
 
