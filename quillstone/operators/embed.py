@@ -249,8 +249,8 @@ def custom_embed(docs: DataFrame, key: str, text: str, function) -> DataFrame:
 
 def embedder(kind: str, **given):
     """An embedder by name, as a function of (docs, key, text). ``given``: ``n`` and ``boosted`` for hash; a fitted
-    ``vocabulary`` for tfidf; a ``concepts`` vocabulary for domain; ``concepts``, ``text`` (hash or tfidf), ``n`` and
-    ``share`` for hybrid, whose result is (doc, dim, w) with dimensions ``c:<name>`` and ``t:<index>``; ``dims`` for
+    ``vocabulary`` for tfidf; a ``concepts`` vocabulary for domain; ``concepts``, ``text`` (hash or tfidf), ``n``,
+    ``share`` and ``digits`` for hybrid, whose result is (doc, dim, w) with dimensions ``c:<name>`` and ``t:<index>``; ``dims`` for
     payment; ``dims``, ``n`` and ``share`` for payment_hybrid; ``function`` for custom."""
     if kind == "hash":
         return lambda d, k, t: hash_embed(d, k, t, given.get("n", 1024), given.get("boosted"))
@@ -265,7 +265,7 @@ def embedder(kind: str, **given):
     if kind == "domain":
         return lambda d, k, t: document_concepts(d, k, t, given["concepts"])
     if kind == "hybrid":
-        return lambda d, k, t: domain_hybrid(d, k, t, given["concepts"], given.get("n", 512), given.get("share", 0.6), given.get("vocabulary"))
+        return lambda d, k, t: domain_hybrid(d, k, t, given["concepts"], given.get("n", 512), given.get("share", 0.6), given.get("vocabulary"), given.get("digits"))
     if kind == "payment":
         return lambda d, k, t: max_dim_embed(d, k, t, given["dims"])
     if kind == "payment_hybrid":
@@ -276,8 +276,9 @@ def embedder(kind: str, **given):
     raise ValueError(f"no embedder is called {kind}")
 
 
-def domain_hybrid(docs: DataFrame, key: str, text: str, concepts: DataFrame, n: int = 512, share: float = 0.6, vocabulary: DataFrame | None = None) -> DataFrame:
-    """``(doc, dim, w)``: concept dimensions at ``share``, hashed (or, with a fitted vocabulary, tfidf) ones at the rest."""
-    first = document_concepts(docs, key, text, concepts).select("doc", F.concat(F.lit("c:"), "dim").alias("dim"), (F.col("w") * share).alias("w"))
+def domain_hybrid(docs: DataFrame, key: str, text: str, concepts: DataFrame, n: int = 512, share: float = 0.6, vocabulary: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+    """``(doc, dim, w)``: concept dimensions at ``share``, hashed (or, with a fitted vocabulary, tfidf) ones at the rest; rounded to ``digits``."""
+    first = document_concepts(docs, key, text, concepts, digits=digits, share=share, prefix="c:")
     other = hash_embed(docs, key, text, n) if vocabulary is None else tfidf_transform(docs, key, text, vocabulary)
-    return first.unionByName(other.select("doc", F.concat(F.lit("t:"), F.col("idx").cast("string")).alias("dim"), (F.col("w") * (1 - share)).alias("w")))
+    w = F.col("w") * (1 - share)
+    return first.unionByName(other.select("doc", F.concat(F.lit("t:"), F.col("idx").cast("string")).alias("dim"), (w if digits is None else F.round(w, digits)).alias("w")))

@@ -181,6 +181,16 @@ def test_dimensions_of_several_blocks_leave_no_pairs(spark, vocab, docs, monkeyp
     assert got.count() > 200 and "HashAggregate" not in got._jdf.queryExecution().toString()
 
 
+def test_hybrid_dimensions_of_several_blocks_leave_no_pairs(spark, vocab):
+    rows = spark.createDataFrame([(1, "a wire fee"), (2, "ledger then payout"), (3, None)], "id long, text string").coalesce(1)
+    ready = V.prepare(vocab, 3)
+    got = embed.embedder("hybrid", concepts=ready, digits=6)(rows, "id", "text")
+    one = embed.concept_embed(V.matches(rows, "id", "text", ready)).select("doc", F.concat(F.lit("c:"), "dim").alias("dim"), (F.col("w") * 0.6).alias("w"))
+    two = embed.hash_embed(rows, "id", "text", 512).select("doc", F.concat(F.lit("t:"), F.col("idx").cast("string")).alias("dim"), (F.col("w") * 0.4).alias("w"))
+    assert "HashAggregate" not in got._jdf.queryExecution().toString()
+    assert same(got, one.unionByName(two).withColumn("w", F.round("w", 6)))
+
+
 @pytest.mark.parametrize("block, pairs, held", [(2, 3, 4), (3, 100, 4_000_000), (100, 1, 4)])
 def test_scores_of_several_blocks_leave_no_pairs(spark, vocab, docs, monkeypatch, block, pairs, held):
     """Documents are scored in the tasks, with several blocks of the vocabulary and of pairs that aren't broadcast."""
